@@ -14,10 +14,10 @@ WRONG_READERS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "gbk")
 #: One-byte encodings that are commonly taken for one another.
 ONE_BYTE = ("cp1252", "mac_roman", "cp437", "cp1251", "latin-1")
 
-#: One well-formed UTF-8 sequence of two to four bytes.
-SEQUENCE = re.compile(
-    rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
-    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+#: Well-formed UTF-8 sequences of two to four bytes.
+SEQUENCES = re.compile(
+    rb"(?:[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+    rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})+"
 )
 HIGH = re.compile(r"[^\x00-\x7f]+")
 
@@ -48,7 +48,7 @@ def utf8_sequences(run: str, encoding: str) -> tuple[str, int]:
             at += len(b)
         starts[at] = len(stretch)
         i = 0
-        for m in SEQUENCE.finditer(data):
+        for m in SEQUENCES.finditer(data):
             a, z = starts.get(m.start()), starts.get(m.end())
             if a is None or a < i:
                 continue
@@ -59,8 +59,9 @@ def utf8_sequences(run: str, encoding: str) -> tuple[str, int]:
                     continue
                 tail = chr(data[m.end()])
             out.extend(c for c, _ in stretch[i:a])
-            out.append(m.group().decode("utf-8") + tail)
-            fixed += 1
+            text = m.group().decode("utf-8")
+            out.append(text + tail)
+            fixed += len(text)
             i = z
         out.extend(c for c, _ in stretch[i:])
         stretch.clear()
