@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chunking, components, garble, packing, tokens
+from lodestrata.llm import chunking, components, garble, packing, tokens, transcripts
 from lodestrata.session import cut, spread, table
 
 
+def _events(spark: SparkSession, d: str, texts: bool) -> DataFrame:
+    return transcripts.speech_events(spread(table(spark, d, "chunks")), table(spark, d, "speakers"), texts)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_turns(spark, d).select("document_id", "speaker_no", "first_chunk_id", "last_chunk_id")
+
+
+def p2_turns(spark: SparkSession, d: str) -> DataFrame:
+    return transcripts.turns(_events(spark, d, False))
+
+
+def p2_utterances(spark: SparkSession, d: str) -> DataFrame:
+    """Clean utterances with their turn, canonical speaker and repaired times."""
+    said = transcripts.with_turns(_events(spark, d, True))
+    return said.select("document_id", "turn", "speaker_no", F.col("id").alias("chunk_id"), "seq", "start_s", "end_s", "text")
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(spread(table(spark, d, "chunks").select("id", "content", "char_start", "section")))
 
@@ -49,6 +67,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances,
     "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_restored": p6_restored, "p6_found": p6_found,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill,
 }
