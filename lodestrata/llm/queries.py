@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chunking, components, garble, packing, tokens, transcripts
+from lodestrata.llm import chunking, components, garble, neighbours, packing, tokens, transcripts
 from lodestrata.session import cut, spread, table
 
 
@@ -27,6 +27,13 @@ def p2_utterances(spark: SparkSession, d: str) -> DataFrame:
     return said.select("document_id", "turn", "speaker_no", F.col("id").alias("chunk_id"), "seq", "start_s", "end_s", "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    reports = table(spark, d, "reports").select("id", F.col("text_embedding").alias("v"))
+    images = table(spark, d, "images").select("id", F.col("image_embedding").alias("v"))
+    near = [neighbours.similar_pairs(spread(df), width).select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, df, width in (("reports", reports, 384), ("images", images, 512))]
+    return near[0].unionByName(near[1])
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunking.split_oversized(spread(table(spark, d, "chunks").select("id", "content", "char_start", "section")))
 
@@ -68,7 +75,7 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances,
-    "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_restored": p6_restored, "p6_found": p6_found,
+    "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_restored": p6_restored, "p6_found": p6_found,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill,
 }
 
