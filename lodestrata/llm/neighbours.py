@@ -49,7 +49,7 @@ def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.
     k = min(k, len(sample))
     centre = sample[rng.choice(len(sample), k, replace=False)]
     for _ in range(rounds):
-        home = (sample @ centre.T).argmax(axis=1)
+        home = np.concatenate([(sample[i : i + 2000] @ centre.T).argmax(axis=1) for i in range(0, len(sample), 2000)])
         sums = np.zeros_like(centre)
         np.add.at(sums, home, sample)
         full = np.linalg.norm(sums, axis=1) > 1e-6
@@ -278,9 +278,7 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
     usable = vectors.filter(F.col("id").isNotNull() & (F.size("v") == width)).select("id", F.col("v").cast("array<float>").alias("v"))
     spark = vectors.sparkSession
     total = usable.count()
-    rows = usable.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()  # at most SAMPLE rows
-    sample = np.stack([np.asarray(v, np.float32) for v in rows.v]) if len(rows) else np.empty((0, width), np.float32)
-    sample = sample[np.isfinite(sample).all(axis=1) & (np.abs(sample) > 0).any(axis=1)]
+    sample = _sample(usable, total, width)
     if not len(sample):
         sample = np.eye(1, width, dtype=np.float32)
     sample = unit(sample)
@@ -333,6 +331,19 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
     return _best(found.unionByName(copies(usable, k)), k)
 
 
+def _sample(usable: DataFrame, total: int, width: int) -> np.ndarray:
+    """About SAMPLE usable vectors, chosen by hash of their id."""
+    share = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SAMPLE / max(1, total))))
+
+    def packed(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"v": [pack(np.asarray(v, np.float32)) for v in pdf.v]})
+
+    rows = usable.filter(share).mapInPandas(packed, "v binary").limit(2 * SAMPLE).toPandas()
+    sample = unpack(list(rows.v), width) if len(rows) else np.empty((0, width), np.float32)
+    return sample[np.isfinite(sample).all(axis=1) & (np.abs(sample) > 0).any(axis=1)]
+
+
 def copies(vectors: DataFrame, k: int) -> DataFrame:
     """a, b, cosine 1: every member of a large group of equal vectors with the group's k smallest ids, which are its nearest."""
     keys = vectors.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g")).filter(F.exists("v", lambda x: x != 0))

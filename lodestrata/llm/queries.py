@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import chunking, components, garble, neighbours, packing, tokens, transcripts
+from lodestrata.llm import abuse, chunking, components, garble, neighbours, packing, tokens, transcripts
 from lodestrata.session import cut, spread, table
 
 
@@ -73,10 +73,23 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p9_containers(spark, d))
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.score_documents(spread(table(spark, d, "documents")), table(spark, d, "doc_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p10_scores(spark, d))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).filter("found").select("doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_turns": p2_turns, "p2_utterances": p2_utterances,
     "p3_found": p3_found, "p4_pieces": p4_pieces, "p4_found": p4_found, "p5_found": p5_found, "p6_restored": p6_restored, "p6_found": p6_found,
     "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill,
+    "p10_scores": p10_scores, "p10_rates": p10_rates, "p10_found": p10_found,
 }
 
 _SQL_GROUPS = """
