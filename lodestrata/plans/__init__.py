@@ -3,7 +3,7 @@
 from importlib import import_module
 from types import ModuleType
 
-NAMES = ("numbered",)
+NAMES = ("numbered", "retrieval", "tables", "triage", "quality", "sources")
 
 
 def modules() -> list[ModuleType]:
