@@ -91,7 +91,7 @@ def archive_path(cik: Column, accession: Column, document: Column) -> Column:
 
 def item_list(items: Column) -> Column:
     """Parts of a comma list, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(items, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(items, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def citation(table_id: Column, row_label: Column, column: Column) -> Column:

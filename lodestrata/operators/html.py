@@ -82,8 +82,8 @@ def page_cells(pages: DataFrame) -> DataFrame:
                 reader.close()
                 rows += [(doc, t, r, c, "".join(x)) for t, r, c, x in reader.cells]
                 rows += [(doc, t, None, k, x) for k, (t, x) in enumerate(reader.prose)]
-            out = pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "col_no", "text"])
-            yield out.astype({"row_no": "Int32"})
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "table_no", "row_no", "col_no", "text"]).astype({"row_no": "Int32"})
 
     kind = pages.schema["doc_id"].dataType.simpleString()
     cells = pages.select("doc_id", "html").filter("html is not null").mapInPandas(parse, f"doc_id {kind}, table_no int, row_no int, col_no int, text string")

@@ -164,9 +164,9 @@ def anchors(anchored: DataFrame, corpus: DataFrame, most: int = 3) -> DataFrame:
     hits = rarest.join(held, "term").filter(F.contains("text", "anchor")).select("anchor_id", "doc_id")
     counts = hits.groupBy("anchor_id").agg(F.count("*").alias("n"), F.collect_list("doc_id").alias("docs"))
     out = anchored.select("anchor_id").join(counts, "anchor_id", "left")
-    wrong = F.raise_error(F.concat(F.lit("anchor without one to three hits: "), F.col("anchor_id").cast("string")))
-    out = out.filter(F.when(F.coalesce(F.col("n"), F.lit(0)).between(1, most), F.lit(True)).otherwise(wrong.cast("boolean")))
-    return out.select("anchor_id", F.explode("docs").alias("doc_id"))
+    wrong = F.raise_error(F.concat(F.lit(f"anchor without 1 to {most} hits: "), F.col("anchor_id").cast("string")))
+    docs = F.when(F.coalesce(F.col("n"), F.lit(0)).between(1, most), F.col("docs")).otherwise(F.array(wrong.cast(corpus.schema["doc_id"].dataType)))
+    return out.select("anchor_id", F.explode(docs).alias("doc_id"))
 
 
 def drift(corpus: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: headings of a filing's items and parts.
-HEADING = re.compile(r"^\s*(Item\s+\d+[A-Z]?\.?|PART\s+[IVX]+)\b", re.IGNORECASE | re.MULTILINE)
+HEADING = re.compile(r"^\s*(Item\s+\d+[A-Z]?\.?[^\n]{0,80}|PART\s+[IVX]+[^\n]{0,40})\s*$", re.IGNORECASE | re.MULTILINE)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -68,7 +68,8 @@ def chunk_texts(texts: DataFrame, target: int = 1200, overlap: int = 150) -> Dat
                         if piece:
                             rows.append((doc, n, piece, a, a + len(piece), name))
                             n += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "content", "char_start", "char_end", "section"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "content", "char_start", "char_end", "section"])
 
     schema = T.StructType([T.StructField("doc_id", texts.schema["doc_id"].dataType), *T._parse_datatype_string("ordinal int, content string, char_start int, char_end int, section string").fields])
     return texts.select("doc_id", "text").filter("text is not null").mapInPandas(cut, schema)
