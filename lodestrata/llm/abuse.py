@@ -162,6 +162,13 @@ def train(bags: list[np.ndarray], targets: np.ndarray, weights: np.ndarray, epoc
     return Model(table, layer)
 
 
+def nothing_known() -> Model:
+    """A model that finds nothing."""
+    layer = np.zeros((DIMENSIONS + 1, len(CLASSES)), np.float32)
+    layer[-1, 0] = 20.0
+    return Model(np.zeros((BUCKETS, DIMENSIONS), np.float32), layer)
+
+
 def fit(labelled: pd.DataFrame, rounds: int = 3) -> Model:
     """labelled: label (class number), windows (list of word tuples) per document."""
     distinct: dict[tuple[str, ...], int] = {}
@@ -172,7 +179,7 @@ def fit(labelled: pd.DataFrame, rounds: int = 3) -> Model:
             win.append(distinct.setdefault(tuple(w), len(distinct)))
     texts = list(distinct)
     if not texts:
-        return Model(np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((DIMENSIONS + 1, len(CLASSES)), np.float32))
+        return nothing_known()
     kept: dict[str, list[int]] = {}
     bags = []
     for t in texts:
@@ -210,6 +217,8 @@ def _fit_once(bags: list[np.ndarray], win: np.ndarray, label: np.ndarray, weight
     total = np.zeros((len(bags), len(CLASSES)))
     np.add.at(total, (win, label), weight)
     use = np.nonzero(total.sum(axis=1) > 0)[0]
+    if not len(use):
+        return nothing_known()
     best = np.where(total[use, 0] > total[use, 1:].max(axis=1) * 0.5, 0, total[use, 1:].argmax(axis=1) + 1)
     strength = np.sqrt(np.minimum(total[use, best], 25.0))
     return train([bags[i] for i in use], best, strength)
@@ -258,7 +267,7 @@ def score_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
                         k = int(own[:, 0].argmin())
                         worst[i], which[i] = 1.0 - own[k, 0], int(own[k, 1:].argmax())
                         at += len(ws)
-                yield pd.DataFrame({"doc_id": some.doc_id, "source": some.source, "score": worst, "label": np.array(CLASSES[1:])[which], "found": worst >= THRESHOLD})
+                yield pd.DataFrame({"doc_id": some.doc_id, "source": some.source.tolist(), "score": worst, "label": np.array(CLASSES[1:])[which], "found": worst >= THRESHOLD})
 
     return documents.select("doc_id", "source", "text").mapInPandas(score, "doc_id long, source string, score double, label string, found boolean")
 

@@ -300,9 +300,12 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
                 matrix, ids = matrix[good], some.id.to_numpy()[good]
                 if not len(ids):
                     continue
-                data = pd.DataFrame({"id": ids, "v": [pack(v) for v in matrix], "at": np.arange(len(ids))})
-                data = data.sort_values("id").groupby("v", sort=False).agg(ids=("id", lambda x: list(x)[: k + 1]), at=("at", "first")).reset_index()
-                sims = unit(matrix[data["at"]]) @ rotation[:, :CELL_COMPONENTS] @ cells.T
+                equal: dict[bytes, list[int]] = {}
+                for i in np.argsort(ids, kind="stable").tolist():
+                    equal.setdefault(pack(matrix[i]), []).append(i)
+                first = np.array([at[0] for at in equal.values()])
+                data = pd.DataFrame({"v": list(equal), "ids": [ids[at[: k + 1]].tolist() for at in equal.values()]})
+                sims = unit(matrix[first]) @ rotation[:, :CELL_COMPONENTS] @ cells.T
                 n = min(NEAR, sims.shape[1])
                 order = np.argpartition(-sims, n - 1, axis=1)[:, :n]
                 near = np.take_along_axis(sims, order, 1)
@@ -314,7 +317,7 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
                 parts = cuts[shard]  # every part of a cut shard is asked, one of them is home
                 part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 row, shard = np.repeat(row, parts), np.repeat(shard, parts)
-                lot = np.array([x[0] for x in data.ids], np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+                lot = ids[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
                 at_home = (shard == own[row]) & (part == lot[row].astype(np.int64) % cuts[shard])
                 some = data.iloc[row]
                 yield pd.DataFrame({"ids": some.ids, "v": some.v, "shard": shard.astype(np.int32), "part": part.astype(np.int32), "visits": ~at_home})

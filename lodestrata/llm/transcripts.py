@@ -159,7 +159,7 @@ def speech_events(chunks: DataFrame, speakers: DataFrame, texts: bool = False) -
     def take(batches):
         for pdf in batches:
             said = [[{"label": a, "text": t if texts else "x" if t else ""} for a, t in parts(c)] for c in pdf.content]
-            some = pdf.drop(columns="content").assign(parts=said)
+            some = pdf.drop(columns="content").assign(parts=said, speaker=pdf.speaker.astype(object))
             some["ordinal"] = some.ordinal.astype("Int32")
             yield some[["document_id", "id", "ordinal", "start", "stop", "speaker", "parts"]]
 
