@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = re.compile(r"\s+")
-_BREAK = re.compile("[\n\r\v\f\x1c-\x1e\x85\u2028\u2029]")
+#: U+0085 is no white space here: in stored texts it is a byte of a garbled letter, hardly ever a line break.
+_SPACE = re.compile(r"[^\S\x85]+")
+_BREAK = re.compile("[\n\r\v\f\x1c-\x1e\u2028\u2029]")
 _WINDOW = 48
 
 
