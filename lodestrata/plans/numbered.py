@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.operators import proximity, units
+from lodestrata.plans.triage import metres_sql, points_sql
 from lodestrata.session import table
 
 
@@ -27,4 +28,22 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_amounts": p1_amounts, "p1_by_unit": p1_by_unit, "p7_found": p7_found}
-SQL: dict[str, str] = {}
+
+_LINES = r"""
+vx as (select id, list_transform(string_split_regex(trim(regexp_extract(regexp_replace(geom, '\s+', ' ', 'g'), '(?i)^\s*(?:srid=\d+;)?\s*linestring\s*(?:zm|z|m)?\s*\(([^()]*)\)', 1)), '\s*,\s*'),
+  lambda p: {'x': try_cast(string_split(p, ' ')[1] as double), 'y': try_cast(string_split(p, ' ')[2] as double)}) as v from segments),
+vy as (select id, list_filter(v, lambda p: p.x is not null and p.y is not null) as v from vx),
+pi as (select id, v[i].x as x1, v[i].y as y1, v[i + 1].x as x2, v[i + 1].y as y2 from (select id, v, unnest(range(1, len(v))) as i from vy where len(v) > 1)),
+pc as (select id, x1, y1, x1 + case when x2 - x1 > 180 then x2 - x1 - 360 when x2 - x1 < -180 then x2 - x1 + 360 else x2 - x1 end as x2, y2 from pi)"""
+_DEGREE = "(pi() * 6371000 / 180)"
+SQL: dict[str, str] = {
+    "p7_found": f"""with r as materialized {points_sql('reports')}, im as materialized {points_sql('images')}, {_LINES},
+pl as (select r.id as rid, pc.id as sid, (x1 - lon - 360 * round((x1 - lon) / 360)) * cos(radians(lat)) * {_DEGREE} as ax, (y1 - lat) * {_DEGREE} as ay, (x2 - x1) * cos(radians(lat)) * {_DEGREE} as dx, (y2 - y1) * {_DEGREE} as dy
+  from r join pc on lat between least(y1, y2) - 0.0006 and greatest(y1, y2) + 0.0006),
+pt as (select *, case when dx * dx + dy * dy > 0 then greatest(0.0, least(1.0, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) else 0.0 end as t from pl),
+on_line as (select rid, sid from pt where round(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)), 6) <= 50
+  qualify row_number() over (partition by rid order by round(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2)), 6), sid) = 1)
+select 'reports' as other_table, a.id as report_id, b.id as other_id from r a join r b on a.id < b.id and b.lat between a.lat - 0.0003 and a.lat + 0.0003 where {metres_sql('a', 'b')} <= 20
+union all select 'images', a.id, b.id from r a join im b on b.lat between a.lat - 0.0004 and a.lat + 0.0004 where {metres_sql('a', 'b')} <= 30
+union all select 'segments', rid, sid from on_line""",
+}
