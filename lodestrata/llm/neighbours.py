@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lodestrata.session import cut
+
 #: Rows the centroids and the rotation are fitted on, at most.
 SAMPLE = 12_000
 #: Vectors a shard should hold, and the most that one task's graph holds; larger shards are cut into parts by hash.
@@ -27,6 +29,7 @@ COMPONENTS, LINKS, MOST_LINKS, LEVEL = 192, 12, 24, 16
 #: Breadth of the walk and nodes opened at a step.
 BREADTH, STEP = 48, 6
 _BLOCK = 512
+_CACHED = 512
 
 
 def pack(vector: np.ndarray) -> bytes:
@@ -151,12 +154,13 @@ class SmallWorld:
     def _walk(self, graph: np.ndarray, queries: np.ndarray, entries: np.ndarray, breadth: int) -> tuple[np.ndarray, np.ndarray]:
         """(rows, similarities), best first, of a best-first walk from `entries` (one row of entries a query)."""
         b = len(queries)
-        stamp = np.full((b, len(self.points)), -1, np.int32)
+        n = len(self.points)
+        seen = np.zeros(b * n, bool)
         ids = np.full((b, max(breadth, entries.shape[1])), -1, np.int32)
         sims = np.full(ids.shape, -3.0, np.float32)
         ids[:, : entries.shape[1]] = entries
         sims[:, : entries.shape[1]] = np.where(entries >= 0, np.einsum("ikj,ij->ik", self.points[entries], queries), -3.0)
-        stamp[np.arange(b)[:, None], entries] = 0
+        seen[(np.arange(b)[:, None] * n + entries)[entries >= 0]] = True
         order = np.argsort(-sims, axis=1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         open_ = ids >= 0
@@ -170,18 +174,18 @@ class SmallWorld:
             r, c = np.nonzero(waiting & (np.cumsum(waiting, axis=1) <= STEP))
             open_[live[r], c] = False
             found = graph[ids[live[r], c]]
-            local = np.repeat(r, found.shape[1])
-            node = found.ravel()
-            q = live[local]
-            fresh = (node >= 0) & (stamp[q, node] < 0)
-            local, node, q = local[fresh], node[fresh], q[fresh]
+            there = found >= 0
+            local, node = np.repeat(r, there.sum(axis=1)), found[there]
+            place = live[local] * n + node
+            fresh = ~seen[place]
+            local, node, place = local[fresh], node[fresh], place[fresh]
             if not len(node):
                 continue
-            mark = np.arange(len(node), dtype=np.int32)
-            stamp[q, node] = mark
-            once = stamp[q, node] == mark  # a node reached twice in one step counts once
-            local, node, q = local[once], node[once], q[once]
-            s = np.einsum("ij,ij->i", self.points[node], queries[q])
+            seen[place] = True
+            s, asked = np.empty(len(node), np.float32), live[local]
+            for at in range(0, len(node), _CACHED):  # few enough rows at a time to stay in the processor's cache
+                some = slice(at, at + _CACHED)
+                np.einsum("ij,ij->i", self.points[node[some]], queries[asked[some]], out=s[some])
             count = np.bincount(local, minlength=len(live))
             place = np.arange(len(node)) - np.repeat(np.cumsum(count) - count, count)
             width = int(count.max())
@@ -190,8 +194,10 @@ class SmallWorld:
             all_ids, all_sims = np.concatenate([ids[live], new_ids], 1), np.concatenate([sims[live], new_sims], 1)
             all_open = np.concatenate([open_[live], new_ids >= 0], 1)
             order = np.argsort(-all_sims, axis=1)[:, : ids.shape[1]]
-            ids[live], sims[live] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1)
-            open_[live] = np.take_along_axis(all_open, order, 1)
+            best, worth, new = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_sims, order, 1), np.take_along_axis(all_open, order, 1)
+            again = (best[:, 1:] == best[:, :-1]) & (best[:, 1:] >= 0)  # a node reached twice in one step lies beside itself
+            best[:, 1:][again], worth[:, 1:][again], new[:, 1:][again] = -1, -3.0, False
+            ids[live], sims[live], open_[live] = best, worth, new
 
     def search(self, queries: np.ndarray, breadth: int, start: np.ndarray | None = None) -> np.ndarray:
         """Rows near each query, best first; from the top level down, or from a known row each."""
@@ -206,7 +212,8 @@ class SmallWorld:
 
 def _exact(found: np.ndarray, queries: np.ndarray, vectors: np.ndarray, whole: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """The `keep` best of the rows found, by the cosine of the whole vectors, rounded to 6 decimals; -3 where there are fewer."""
-    s = np.matmul(whole[found], queries[:, :, None])[:, :, 0]
+    rows = max(1, _CACHED // found.shape[1])
+    s = np.concatenate([np.matmul(whole[found[i : i + rows]], queries[i : i + rows, :, None])[:, :, 0] for i in range(0, len(found), rows)])
     s[found < 0] = -3.0
     at = np.argsort(-s, axis=1)[:, :keep]
     found, s = np.take_along_axis(found, at, 1), np.take_along_axis(s, at, 1)
@@ -277,7 +284,8 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
     """
     usable = vectors.filter(F.col("id").isNotNull() & (F.size("v") == width)).select("id", F.col("v").cast("array<float>").alias("v"))
     spark = vectors.sparkSession
-    total = usable.count()
+    keys = cut(usable.filter(F.exists("v", lambda x: x != 0)).select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g")))
+    total = keys.count()
     sample = _sample(usable, total, width)
     if not len(sample):
         sample = np.eye(1, width, dtype=np.float32)
@@ -331,7 +339,7 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
         return search_shard(own, pdf[pdf.visits], width, shared.value[2], k, least)
 
     found = placed.groupBy("shard", "part").applyInPandas(find, "a long, b long, cosine double")
-    return _best(found.unionByName(copies(usable, k)), k)
+    return _best(found.unionByName(copies(keys, k)), k)
 
 
 def _sample(usable: DataFrame, total: int, width: int) -> np.ndarray:
@@ -347,9 +355,11 @@ def _sample(usable: DataFrame, total: int, width: int) -> np.ndarray:
     return sample[np.isfinite(sample).all(axis=1) & (np.abs(sample) > 0).any(axis=1)]
 
 
-def copies(vectors: DataFrame, k: int) -> DataFrame:
-    """a, b, cosine 1: every member of a large group of equal vectors with the group's k smallest ids, which are its nearest."""
-    keys = vectors.select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g")).filter(F.exists("v", lambda x: x != 0))
+def copies(keys: DataFrame, k: int) -> DataFrame:
+    """a, b, cosine 1: every member of a large group of equal vectors with the group's k smallest ids, which are its nearest.
+
+    keys: id and two hashes (h, g) of its vector.
+    """
     hot = keys.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).drop("n")
     hot = keys.join(hot, ["h", "g"], "left_semi")
     rank = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
