@@ -77,7 +77,10 @@ def calibration(rows: DataFrame, confidence: str, correct: str, bins: int = 10)
     bin but count in the weights; summing gap gives the expected calibration error."""
     c = F.col(confidence)
     total = rows.agg(F.count("*").alias("total"))  # one row
-    inside = rows.filter(c.between(0, 1)).withColumn("bin", F.greatest(F.ceil(c * bins) - 1, F.lit(0)).cast("int"))
+    about = F.greatest(F.ceil(c * bins) - 1, F.lit(0)).cast("int")
+    # the product may round past a bound that the quotient has exactly
+    exact = F.when((about > 0) & (c <= about / F.lit(float(bins))), about - 1).when(c > (about + 1) / F.lit(float(bins)), about + 1).otherwise(about)
+    inside = rows.filter(c.between(0, 1)).withColumn("bin", exact)
     out = inside.groupBy("bin").agg(F.count("*").alias("n"), F.avg(c).alias("confidence"), F.avg(F.coalesce(F.col(correct), F.lit(False)).cast("double")).alias("accuracy"))
     gap = F.col("n") / F.col("total") * F.abs(F.col("confidence") - F.col("accuracy"))
     return out.crossJoin(F.broadcast(total)).withColumn("gap", gap).drop("total")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions.numbers import cosine, extent_cm, focal_px, mask_area_m2, rescaled_similarity
 from lodestrata.functions.text import jaccard, report_words
-from lodestrata.operators.proximity import located, pairs_within
+from lodestrata.operators.proximity import located, pairs_within, point_of
 from lodestrata.session import cut
 
 
@@ -47,44 +47,61 @@ def one_per_source(reports: DataFrame, keys: tuple[str, ...] = ("source", "exter
     return reports.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def candidate_pairs(reports: DataFrame, rule: DedupeRule, strict_category: bool = True) -> DataFrame:
-    """a_id, b_id (a_id < b_id), metres, same_segment, text_similarity (null where unknown), score of every pair in reach.
+def near_pairs(reports: DataFrame, rule: DedupeRule) -> DataFrame:
+    """a_id < b_id of the reports within reach of each other, metres, and a_, b_ category, segment_id, reported_at, text_embedding, words.
 
-    Reports join by place alone, then time and category are tested: `strict_category` takes null and null as equal and null and a
-    name as different; otherwise only two different names bar a pair. Reports without a usable point have no pairs. Pairs meet the
-    reports' other columns by equi-joins.
+    Reports join by place alone and meet their other columns by equi-joins; those without a usable point have no pairs.
     """
     points = located(reports, "id", "lid")
     near = pairs_within(points, points.withColumnRenamed("lid", "rid"), rule.radius_m).filter("lid < rid")
     extra = reports.select("id", F.nullif(F.trim("category"), F.lit("")).alias("category"), "segment_id", "reported_at", "text_embedding", report_words(F.col("description")).alias("words"))
     side = lambda p: extra.select([F.col(c).alias(f"{p}{c}") for c in extra.columns])
-    pairs = near.withColumnsRenamed({"lid": "a_id", "rid": "b_id"}).join(side("a_"), "a_id").join(side("b_"), "b_id")
-    named = F.col("a_category").isNotNull() & F.col("b_category").isNotNull()
-    same_kind = F.col("a_category").eqNullSafe(F.col("b_category")) if strict_category else ~(named & (F.col("a_category") != F.col("b_category")))
-    pairs = pairs.filter(within_window(F.col("a_reported_at"), F.col("b_reported_at"), rule.window_days) & same_kind)
-    if rule.semantic_floor is None:
-        similarity = jaccard(F.col("a_words"), F.col("b_words"))
-    else:
-        similarity = rescaled_similarity(cosine(F.col("a_text_embedding"), F.col("b_text_embedding")), rule.semantic_floor)
-    same = F.coalesce(F.col("a_segment_id") == F.col("b_segment_id"), F.lit(False))
-    pairs = pairs.select("a_id", "b_id", "metres", same.alias("same_segment"), similarity.alias("text_similarity"))
-    score = rule.w_distance * (1 - F.least(F.col("metres") / rule.radius_m, F.lit(1.0))) + rule.w_text * F.coalesce("text_similarity", F.lit(0.0)) + rule.w_segment * F.col("same_segment").cast("double")
-    return pairs.withColumn("score", score)
+    return near.withColumnsRenamed({"lid": "a_id", "rid": "b_id"}).join(side("a_"), "a_id").join(side("b_"), "b_id")
+
+
+def _score(rule: DedupeRule) -> Column:
+    return rule.w_distance * (1 - F.least(F.col("metres") / rule.radius_m, F.lit(1.0))) + rule.w_text * F.coalesce("text_similarity", F.lit(0.0)) + rule.w_segment * F.col("same_segment").cast("double")
 
 
 def duplicate_candidates(reports: DataFrame, rule: DedupeRule | None = None, limit: int = 25) -> DataFrame:
-    """report_id, other_id, metres, same_segment, text_similarity, score, rank: the `limit` likeliest duplicates of every report."""
-    pairs = candidate_pairs(reports, rule or DedupeRule())
-    rest = ["metres", "same_segment", "text_similarity", "score"]
-    both = pairs.select(F.col("a_id").alias("report_id"), F.col("b_id").alias("other_id"), *rest).unionByName(pairs.select(F.col("b_id").alias("report_id"), F.col("a_id").alias("other_id"), *rest))
+    """report_id, other_id, metres, same_segment, text_similarity, score, rank: the `limit` likeliest duplicates of every report.
+
+    A report without a category takes others of any, one with a category only its like. Two missing segments count as the same.
+    text_similarity is the cosine of the text vectors, null (and 0 in the score) where either has none. Missing times pass.
+    """
+    rule = rule or DedupeRule()
+    pairs = near_pairs(reports, rule).filter(within_window(F.col("a_reported_at"), F.col("b_reported_at"), rule.window_days))
+    pairs = pairs.select("a_id", "b_id", "metres", F.col("a_category").alias("ca"), F.col("b_category").alias("cb"), F.col("a_segment_id").eqNullSafe(F.col("b_segment_id")).alias("same_segment"), cosine(F.col("a_text_embedding"), F.col("b_text_embedding")).alias("text_similarity"))
+    way = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("report_id", "other_id", "own", "other"), strict=True)])
+    ways = F.array(way("a_id", "b_id", "ca", "cb"), way("b_id", "a_id", "cb", "ca"))
+    both = pairs.select(F.explode(ways).alias("w"), "metres", "same_segment", "text_similarity").filter(F.col("w.own").isNull() | (F.col("w.own") == F.col("w.other")))
+    both = both.select("w.report_id", "w.other_id", "metres", "same_segment", "text_similarity", _score(rule).alias("score"))
     order = Window.partitionBy("report_id").orderBy(F.desc(F.round("score", 9)), "other_id")
     return both.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def scored_pairs(reports: DataFrame, rule: DedupeRule | None = None) -> DataFrame:
+    """a_id < b_id, metres, in_time, same_segment, text_similarity, score of the pairs in reach whose categories don't differ.
+
+    Words, or vectors if the rule names a floor for them, give text_similarity, 0 where either is missing; missing segments are
+    never the same. in_time tells whether the pair lies within the rule's days, which the score leaves out.
+    """
+    rule = rule or DedupeRule()
+    pairs = near_pairs(reports, rule).filter(F.coalesce(F.col("a_category") == F.col("b_category"), F.lit(True)))
+    if rule.semantic_floor is None:
+        similarity = jaccard(F.col("a_words"), F.col("b_words"))
+    else:
+        similarity = rescaled_similarity(cosine(F.col("a_text_embedding"), F.col("b_text_embedding")), rule.semantic_floor)
+    in_time = within_window(F.col("a_reported_at"), F.col("b_reported_at"), rule.window_days)
+    same = F.coalesce(F.col("a_segment_id") == F.col("b_segment_id"), F.lit(False))
+    pairs = pairs.select("a_id", "b_id", "metres", in_time.alias("in_time"), same.alias("same_segment"), similarity.alias("text_similarity"))
+    return pairs.withColumn("score", _score(rule))
+
+
 def duplicates(reports: DataFrame, rule: DedupeRule | None = None) -> DataFrame:
     """a_id, b_id, score of the pairs that count as duplicates."""
     rule = rule or DedupeRule()
-    return candidate_pairs(reports, rule, strict_category=False).filter(F.round("score", 9) >= rule.threshold).select("a_id", "b_id", "score")
+    return scored_pairs(reports, rule).filter(F.col("in_time") & (F.round("score", 9) >= rule.threshold)).select("a_id", "b_id", "score")
 
 
 def least_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -92,7 +109,7 @@ def least_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Rounds alternate between taking the least label among neighbours and following labels to theirs, until none changes.
     """
-    e = edges.filter("a <> b").select("a", "b")
+    e = cut(edges.filter("a <> b").select("a", "b"))
     e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = cut(e.groupBy(F.col("a").alias("vertex")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     for _ in range(most_rounds):
@@ -107,10 +124,23 @@ def least_labels(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def clusters(reports: DataFrame, rule: DedupeRule | None = None) -> DataFrame:
-    """report_id, cluster_id (the smallest report id) of every report; reports without a duplicate are their own cluster."""
-    found = duplicates(reports, rule)
+    """report_id, cluster_id (the smallest report id) of every report; reports without a duplicate are their own cluster.
+
+    Copies (same point, category, segment, words, vector and time) that the rule takes for duplicates by themselves are one report
+    while pairs are made, so that a place that holds very many of them makes no pair of any two.
+    """
+    rule = rule or DedupeRule()
+    lon, lat = point_of(F.col("geom"))
+    alike = F.lit(0.0) if rule.semantic_floor is not None else F.when(F.size(report_words(F.col("description"))) > 0, rule.w_text).otherwise(0.0)
+    sure = (lat.isNotNull() & (rule.w_distance + alike + F.when(F.col("segment_id").isNotNull(), rule.w_segment).otherwise(0.0) >= rule.threshold)) & F.col("reported_at").isNotNull()
+    mark = F.when(sure, F.xxhash64(lat, lon, F.coalesce("category", F.lit("")), "segment_id", "description", "text_embedding", "reported_at")).otherwise(F.col("id"))
+    marked = reports.withColumn("_m", F.struct(sure.alias("s"), mark.alias("m")))
+    first = marked.groupBy("_m").agg(F.min("id").alias("_first"))
+    member = marked.select("id", "_m").join(first, "_m").select(F.col("id").alias("report_id"), F.col("_first").alias("first"))
+    needed = reports.select("id", "geom", "category", "description", "segment_id", "reported_at", (F.col("text_embedding") if rule.semantic_floor is not None else F.lit(None).cast("array<float>")).alias("text_embedding"))
+    found = duplicates(cut(needed.join(first.select(F.col("_first").alias("id")), "id", "left_semi")), rule)
     labels = least_labels(found.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    return reports.select(F.col("id").alias("report_id")).join(labels.withColumnRenamed("vertex", "report_id"), "report_id", "left").select("report_id", F.coalesce("label", "report_id").alias("cluster_id"))
+    return member.join(labels.withColumnRenamed("vertex", "first"), "first", "left").select("report_id", F.coalesce("label", "first").alias("cluster_id"))
 
 
 def measured_extent(masks: DataFrame, fov_degrees: float = 70.0, oblique: float = 1.0) -> DataFrame:

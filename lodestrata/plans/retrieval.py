@@ -66,10 +66,11 @@ def arm_parity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    """How well fusion finds the reports of a question's own category on its street."""
-    r = table(spark, d, "reports").filter("category is not null and segment_id is not null").select("id", "category", "segment_id")
-    q = r.filter("id % 50 = 0").select(F.col("id").alias("query_id"), "category", "segment_id")
-    gold = q.join(r, ["category", "segment_id"]).filter("id <> query_id").select("query_id", F.col("id").alias("doc_id"))
+    """How well fusion finds the reports that a matcher accepted as the question's own."""
+    key = lambda c: F.lower(F.trim(c))
+    ids = table(spark, d, "reports").select(key("point_id").alias("p"), "id")
+    m = table(spark, d, "report_matches").select(F.explode(F.array(*[F.struct(key(x).alias("p"), key(y).alias("q")) for x, y in (("point_a", "point_b"), ("point_b", "point_a"))])).alias("m")).select("m.*").distinct()
+    gold = m.join(ids.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), "p").select("query_id", F.col("q").alias("p")).join(ids.withColumnRenamed("id", "doc_id"), "p").filter("query_id <> doc_id").select("query_id", "doc_id")
     return _rounded(metrics.ranking_quality(gold, retrieval.hybrid(_lexical(spark, d), _dense(spark, d), 10)), "recall", "precision", "rr", "ndcg")
 
 
@@ -168,7 +169,8 @@ select query_id, bool_and(coalesce(lr = rr, false)) as exact_order, bool_or(coal
   round(count(*) filter (lr is not null and rr is not null) / count(*), 6) as overlap, round(coalesce(avg(abs(lr - rr)), 0.0), 6) as displacement,
   (count(lr) = 0) <> (count(rr) = 0) as one_empty from b group by query_id""",
     "retrieval_quality": f"""{_ARMS}, {_fused(10)},
-g as (select q.id as query_id, r.id as doc_id, row_number() over (partition by q.id order by r.id) as place from reports q join reports r on q.category = r.category and q.segment_id = r.segment_id and q.id <> r.id where q.id % 50 = 0),
+mm as (select lower(trim(point_a)) as p, lower(trim(point_b)) as q from report_matches union select lower(trim(point_b)), lower(trim(point_a)) from report_matches),
+g as (select x.id as query_id, y.id as doc_id, row_number() over (partition by x.id order by y.id) as place from mm join reports x on lower(trim(x.point_id)) = p join reports y on lower(trim(y.point_id)) = q where x.id % 50 = 0 and x.id <> y.id),
 h as (select g.*, rank from g left join fu using (query_id, doc_id))
 select query_id, round(count(rank) / count(*), 6) as recall, round(count(rank) / 10, 6) as precision, round(coalesce(1 / min(rank), 0.0), 6) as rr,
   round(coalesce(sum(1 / log2(rank + 1)), 0.0) / sum(case when place <= 10 then 1 / log2(place + 1) else 0 end), 6) as ndcg from h group by query_id""",

@@ -55,7 +55,7 @@ def _judged_pairs(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, "report_matches").select(key("point_a").alias("p"), key("point_b").alias("pb")).distinct()
     m = m.join(ids.withColumnRenamed("id", "x"), "p").drop("p").withColumnRenamed("pb", "p").join(ids.withColumnRenamed("id", "y"), "p")
     m = m.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id")).distinct().withColumn("matched", F.lit(True))
-    return triage.candidate_pairs(r, triage.DedupeRule(), strict_category=False).join(m, ["a_id", "b_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    return triage.scored_pairs(r).join(m, ["a_id", "b_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
 def duplicate_sweep(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def duplicate_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 def duplicate_quality(spark: SparkSession, d: str) -> DataFrame:
     """The same at the rule's threshold, for all pairs and for those on one segment."""
-    pairs = cut(_judged_pairs(spark, d).select("matched", (F.round("score", 9) >= triage.DedupeRule().threshold).alias("said"), "same_segment"))
+    pairs = cut(_judged_pairs(spark, d).select("matched", (F.col("in_time") & (F.round("score", 9) >= triage.DedupeRule().threshold)).alias("said"), "same_segment"))
     parts = pairs.withColumn("slice", F.explode(F.array(F.lit("all"), F.when(F.col("same_segment"), "one segment").otherwise("two segments"))))
     out = metrics.binary_scores(parts, "matched", "said", ["slice"])
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
@@ -121,13 +121,14 @@ _NOISE = "('the','a','an','of','on','at','in','near','by','and','to','is','are',
 _WORDS = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]+'), lambda t: t not in {_NOISE}))"
 
 
-def _pairs(similarity: str, category: str) -> str:
+def _pairs(similarity: str, category: str, same: str = "coalesce(a.segment_id = b.segment_id, false)", gate: str = "true") -> str:
     return f"""
 pt as materialized {points_sql('reports')},
 xx as materialized (select a.id as a_id, b.id as b_id, {metres_sql('a', 'b')} as metres from pt a join pt b on a.id < b.id and b.lat between a.lat - 0.0004 and a.lat + 0.0004 where {metres_sql('a', 'b')} <= 30),
 rx as (select id, nullif(trim(category), '') as category, segment_id, reported_at, text_embedding, {_WORDS} as w from reports),
-pa as (select a_id, b_id, metres, coalesce(a.segment_id = b.segment_id, false) as same_segment, {similarity} as text_similarity from xx join rx a on a.id = a_id join rx b on b.id = b_id
-  where coalesce(abs(epoch_us(a.reported_at) - epoch_us(b.reported_at)) <= 45 * 86400000000, true) and {category}),
+pb as (select a_id, b_id, metres, {same} as same_segment, {similarity} as text_similarity, a.category as ca, b.category as cb,
+  coalesce(abs(epoch_us(a.reported_at) - epoch_us(b.reported_at)) <= 45 * 86400000000, true) as in_time from xx join rx a on a.id = a_id join rx b on b.id = b_id where {category}),
+pa as (select * from pb where {gate}),
 sc as (select *, 0.45 * (1 - least(metres / 30, 1.0)) + 0.35 * coalesce(text_similarity, 0) + 0.2 * same_segment::int as score from pa)"""
 
 
@@ -140,12 +141,13 @@ ma as (select distinct least(x.id, y.id) as a_id, greatest(x.id, y.id) as b_id f
 ju as (select sc.*, ma.a_id is not null as matched from sc left join ma on ma.a_id = sc.a_id and ma.b_id = sc.b_id)"""
 
 SQL = {
-    "duplicate_candidates": f"""with {_pairs(_JACCARD, "a.category is not distinct from b.category")},
-bo as (select a_id as report_id, b_id as other_id, * exclude (a_id, b_id) from sc union all by name select b_id as report_id, a_id as other_id, * exclude (a_id, b_id) from sc)
+    "duplicate_candidates": f"""with {_pairs(_COSINE, "true", "a.segment_id is not distinct from b.segment_id", "in_time")},
+bo as (select a_id as report_id, b_id as other_id, * exclude (a_id, b_id) from sc where ca is null or ca = cb union all by name
+  select b_id as report_id, a_id as other_id, * exclude (a_id, b_id) from sc where cb is null or ca = cb)
 select report_id, other_id, round(metres, 4) as metres, same_segment, round(text_similarity, 6) as text_similarity, round(score, 6) as score, rank
 from (select *, row_number() over (partition by report_id order by round(score, 9) desc, other_id) as rank from bo) where rank <= 25""",
-    "semantic_duplicates": f"with {_pairs(_SEMANTIC, _NAMED)} select a_id, b_id, round(score, 6) as score from sc where round(score, 9) >= 0.47",
-    "report_clusters": f"""with recursive {_pairs(_JACCARD, _NAMED)},
+    "semantic_duplicates": f"with {_pairs(_SEMANTIC, _NAMED, gate="in_time")} select a_id, b_id, round(score, 6) as score from sc where round(score, 9) >= 0.47",
+    "report_clusters": f"""with recursive {_pairs(_JACCARD, _NAMED, gate="in_time")},
 du as (select a_id, b_id from sc where round(score, 9) >= 0.62), un as materialized (select a_id as a, b_id as b from du union select b_id, a_id from du),
 re as (select a as v, a as r from un union select un.b, re.r from re join un on un.a = re.v),
 la as (select v, min(r) as label from re group by v)
@@ -160,7 +162,7 @@ select threshold, count(*) filter (matched and p) as tp, count(*) filter (not ma
   round(case when count(*) filter (p) > 0 then count(*) filter (matched and p) / count(*) filter (p) else 0 end, 6) as precision,
   round(case when count(*) filter (matched) > 0 then count(*) filter (matched and p) / count(*) filter (matched) else 0 end, 6) as recall
 from (select matched, threshold, round(score, 9) >= threshold as p from ju, (select unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8])::double as threshold)) group by threshold""",
-    "duplicate_quality": f"""with {_JUDGED}, sl as (select matched, round(score, 9) >= 0.62 as p, unnest(['all', case when same_segment then 'one segment' else 'two segments' end]) as slice from ju),
+    "duplicate_quality": f"""with {_JUDGED}, sl as (select matched, in_time and round(score, 9) >= 0.62 as p, unnest(['all', case when same_segment then 'one segment' else 'two segments' end]) as slice from ju),
 c as (select slice, count(*) filter (matched and p) as tp, count(*) filter (not matched and p) as fp, count(*) filter (matched and not p) as fn from sl group by slice)
 select slice, tp, fp, fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall,
   round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1, tp + fn as support from c""",
