@@ -17,7 +17,9 @@ from lodestrata.functions.text import squeezed
 from lodestrata.operators.tables import inferred_row_unit, scale_note
 
 YEAR = r"^(?:FY)?(?:19|20)\d{2}$"
-REASONS = ("too few rows", "no year header", "no aligned rows", "mostly ragged", "duplicate row labels")
+FIGURE = r"^\(?\s*[$]?\s*[\d,]+(?:\.\d+)?\s*\)?%?$"
+REASONS = ("too few rows", "no year header", "stacked header", "no aligned rows", "mostly ragged", "duplicate row labels")
+PLACE = ["doc_id", "table_no"]
 
 
 class _Cells(HTMLParser):
@@ -115,21 +117,56 @@ def _rows(pages: DataFrame) -> DataFrame:
     names = (F.size(years) >= 2) & (F.size(F.array_distinct(years)) == F.size(years)) & (F.col("row_no") < 10)
     whole = Window.partitionBy("doc_id", "table_no")
     rows = rows.withColumn("header_row", F.max(F.when(names, F.col("row_no"))).over(whole)).withColumn("columns", F.max(F.when(F.col("row_no") == F.col("header_row"), years)).over(whole))
+    words = F.filter("vals", lambda v: ~v.rlike(r"\b(?:19|20)\d{2}\b") & scale_note(v).isNull() & (F.length(v) > 2))
+    above = (F.col("row_no") < F.col("header_row")) & (F.col("row_no") >= F.col("header_row") - 2) & (F.size(words) >= 2)
+    rows = rows.withColumn("stacked", F.max(F.coalesce(above, F.lit(False))).over(whole))
     return rows.withColumn("rows", F.count("*").over(whole)).withColumn("label", F.col("vals")[0]).withColumn("given", F.slice("vals", 2, F.greatest(F.size("vals"), F.lit(1))))
 
 
+def banded_rows(rows: DataFrame) -> DataFrame:
+    """doc_id, table_no, row_no, label, col_idx, column, raw of tables whose years are bands of rows under a header of other names.
+
+    Every (row, name) becomes a row of its own, 'row -- name', with one column per band. There must be two bands or more, all of other
+    years; rows as wide as most are read, those that a band lacks are left out, and a label twice in a band bars the whole table.
+    """
+    whole = Window.partitionBy(*PLACE)
+    down = whole.orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    odd = F.exists("vals", lambda v: v.rlike(r"\b(?:19|20)\d{2}\b") | v.rlike(FIGURE))
+    naming = (F.size("vals") >= 3) & ~odd & (F.size(F.array_distinct("vals")) == F.size("vals")) & (F.col("row_no") < 12)
+    r = rows.filter("header_row is null and rows >= 3").withColumn("top", F.min(F.when(naming, F.col("row_no"))).over(whole)).filter("top is not null")
+    r = r.withColumn("names", F.max(F.when(F.col("row_no") == F.col("top"), F.col("vals"))).over(whole))
+    alone = (F.col("row_no") > F.col("top")) & (F.size("vals") == 1) & F.col("vals")[0].rlike(r"^(?:19|20)\d{2}$")
+    r = r.withColumn("mark", F.when(alone, F.col("vals")[0])).withColumn("column", F.last("mark", ignorenulls=True).over(down)).withColumn("band", F.count("mark").over(down))
+    marks = r.groupBy(*PLACE).agg(F.count("mark").alias("bands"), F.size(F.collect_set("mark")).alias("years"))
+    body = r.filter(F.col("column").isNotNull() & (F.size("vals") > 1)).withColumn("w", F.size("given"))
+    usual = body.groupBy(*PLACE, "w").agg(F.count("*").alias("n"), F.min("row_no").alias("first")).groupBy(*PLACE).agg(F.max_by("w", F.struct("n", -F.col("first"))).alias("width"))
+    body = body.join(marks.filter("bands > 1 and bands = years"), PLACE).join(usual, PLACE).filter("w = width and size(names) in (width, width + 1)")
+    body = body.withColumn("names", F.slice("names", F.size("names") - F.col("width") + 1, F.col("width")))
+    body = body.withColumn("twice", F.count("*").over(Window.partitionBy(*PLACE, "label", "band")) > 1).withColumn("barred", F.max("twice").over(whole)).filter("not barred")
+    body = body.withColumn("in_bands", F.count("*").over(Window.partitionBy(*PLACE, "label"))).filter("in_bands = bands")
+    each = body.select(*PLACE, "row_no", "label", (F.col("band") - 1).cast("int").alias("col_idx"), "column", F.explode(F.arrays_zip("names", F.col("given").alias("raw"))).alias("x"))
+    return each.select(*PLACE, "row_no", F.concat_ws(" -- ", "label", "x.names").alias("label"), "col_idx", "column", "x.raw")
+
+
 def table_verdicts(pages: DataFrame) -> DataFrame:
     """doc_id, table_no, reason: null for a table that can be read, else the first reason that applies."""
+    return _verdicts(_rows(pages))
+
+
+def _verdicts(rows: DataFrame) -> DataFrame:
     body = (F.col("row_no") > F.col("header_row")) & (F.size("vals") > 1)
     aligned = body & (F.size("given") == F.size("columns"))
-    each = _rows(pages).groupBy("doc_id", "table_no").agg(
-        F.max("rows").alias("rows"), F.max("header_row").alias("header"), F.count_if(aligned).alias("kept"), F.count_if(body & ~aligned).alias("ragged"),
+    banded = banded_rows(rows).select(*PLACE, F.lit(True).alias("banded")).distinct()
+    each = rows.groupBy(*PLACE).agg(
+        F.max("rows").alias("rows"), F.max("header_row").alias("header"), F.max("stacked").alias("stacked"), F.count_if(aligned).alias("kept"), F.count_if(body & ~aligned).alias("ragged"),
         F.size(F.collect_set(F.when(aligned, F.col("label")))).alias("labels"),
     )
-    reason = (
-        F.when(F.col("rows") < 3, REASONS[0]).when(F.col("header").isNull(), REASONS[1]).when(F.col("kept") == 0, REASONS[2]).when(F.col("ragged") > F.col("kept"), REASONS[3]).when(F.col("labels") < F.col("kept"), REASONS[4])
-    )
-    return each.select("doc_id", "table_no", reason.alias("reason"))
+    each = each.join(banded, PLACE, "left")
+    tests = (F.col("rows") < 3, F.col("header").isNull(), F.col("stacked"), F.col("kept") == 0, F.col("ragged") > F.col("kept"), F.col("labels") < F.col("kept"))
+    reason = F.when(F.col("banded"), None)
+    for test, name in zip(tests, REASONS, strict=True):
+        reason = reason.when(test, name)
+    return each.select(*PLACE, reason.cast("string").alias("reason"))
 
 
 def read_tables(pages: DataFrame) -> DataFrame:
@@ -137,16 +174,20 @@ def read_tables(pages: DataFrame) -> DataFrame:
 
     unit is what label and cells suggest; scale the last note at or before the table, in the page's order.
     """
-    rows = _rows(pages).join(table_verdicts(pages).filter("reason is null").select("doc_id", "table_no"), ["doc_id", "table_no"])
+    every = _rows(pages)
+    rows = every.join(_verdicts(every).filter("reason is null").select(*PLACE), PLACE)
     rows = rows.filter((F.col("row_no") > F.col("header_row")) & (F.size("given") == F.size("columns")))
+    rows = rows.select(*PLACE, "row_no", "label", F.posexplode("given").alias("col_idx", "raw"), "columns", inferred_row_unit(F.col("label"), F.col("given")).alias("unit"))
+    rows = rows.select(*PLACE, "row_no", "label", "col_idx", F.col("columns")[F.col("col_idx")].alias("column"), "raw", "unit")
+    banded = banded_rows(every)
+    rows = rows.unionByName(banded.withColumn("unit", inferred_row_unit(F.col("label"), F.array("raw"))))
     notes = page_cells(pages).withColumn("scale", scale_note(F.col("text"))).filter("scale is not null")
     # text after table n counts for table n + 1 and later, cells of a table for itself
     notes = notes.select("doc_id", F.when(F.col("row_no").isNull(), F.col("table_no") + 1).otherwise(F.col("table_no")).alias("table_no"), F.when(F.col("row_no").isNull(), 0).otherwise(1).alias("near"), F.coalesce("row_no", "col_no").alias("at"), "scale")
     notes = notes.groupBy("doc_id", "table_no").agg(F.max_by("scale", F.struct("near", "at")).alias("own"))
     known = rows.select("doc_id", "table_no").distinct().join(notes, ["doc_id", "table_no"], "full_outer")
     carried = F.last("own", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("table_no").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.join(known.select("doc_id", "table_no", carried.alias("scale")), ["doc_id", "table_no"]).withColumn("unit", inferred_row_unit(F.col("label"), F.col("given")))
-    return rows.select("doc_id", "table_no", "row_no", "label", F.posexplode("given").alias("col_idx", "raw"), "columns", "unit", "scale").select("doc_id", "table_no", "row_no", "label", "col_idx", F.col("columns")[F.col("col_idx")].alias("column"), "raw", "unit", "scale")
+    return rows.join(known.select(*PLACE, carried.alias("scale")), PLACE)
 
 
 def _escaped(text: Column) -> Column:

@@ -168,6 +168,18 @@ def test_html_tables(spark):
     assert {(r.doc_id, r.table_no): r.reason for r in html.table_verdicts(pages).collect()} == {(1, 0): None, (1, 1): "too few rows", (3, 0): "too few rows"}
 
 
+BANDED = """<table><tr><td>(Millions of dollars)</td><td>North</td><td>South</td><td>Asia</td></tr><tr><td>2031</td></tr><tr><td>Sales</td><td>1</td><td>2</td><td>3</td></tr><tr><td>Less:</td></tr>
+<tr><td>Costs</td><td>4</td><td>5</td><td>6</td></tr><tr><td>2030</td></tr><tr><td>Sales</td><td>7</td><td>8</td><td>9</td></tr><tr><td>Costs</td><td>7</td><td>8</td></tr></table>"""
+STACKED = "<table><tr><td></td><td>Machines</td><td>Services</td></tr><tr><td></td><td>2031</td><td>2030</td></tr><tr><td>Sales</td><td>1</td><td>2</td></tr></table>"
+
+
+def test_banded_and_stacked_tables(spark):
+    pages = spark.createDataFrame([(1, BANDED), (2, STACKED), (3, BANDED.replace("2030", "2031")), (4, BANDED.replace("Costs</td><td>4", "Sales</td><td>4"))], "doc_id long, html string")
+    got = rows(html.read_tables(pages).select("doc_id", "label", "column", "raw", "col_idx", "scale"))
+    assert got == sorted((1, f"Sales -- {name}", year, raw, i, 1e6) for i, year, raws in ((0, "2031", "123"), (1, "2030", "789")) for name, raw in zip(("North", "South", "Asia"), raws, strict=True))
+    assert {r.doc_id: r.reason for r in html.table_verdicts(pages).collect()} == {1: None, 2: "stacked header", 3: "no year header", 4: "no year header"}
+
+
 # --------------------------------------------------------------------- triage
 
 
