@@ -100,4 +100,11 @@ u as (select a, b from e union select b, a from e),
 reach as (select a as v, a as r from u union select u.b, reach.r from reach join u on u.a = reach.v)
 select v as report_id, min(r) as group_id from reach group by v"""
 
-SQL = {"p5_found": _SQL_GROUPS}
+_SPACE = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BREAK = r"[\n-\r\x{2028}\x{2029}]"
+# every boundary becomes one line break, then the longest line tells
+_SQL_FORCED = f"""
+select id as chunk_id, (list_max(list_transform(string_split_regex(marked, '{_SPACE}*{_BREAK}+{_SPACE}*'), lambda x: length(x))) > 1200)::int as forced
+from (select id, regexp_replace(regexp_replace(content, '^{_SPACE}+|{_SPACE}+$', '', 'g'), '([.!?]){_SPACE}+', '\\1' || chr(10), 'g') as marked from chunks where length(content) > 1200)"""
+
+SQL = {"p4_found": _SQL_FORCED, "p5_found": _SQL_GROUPS}
