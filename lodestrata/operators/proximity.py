@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import cut
+
 RADIUS_M = 6_371_000.0
 #: Metres by which a chord computed in double precision and the haversine formula may differ, with room to spare.
 SLACK_M = 0.01
@@ -235,7 +237,7 @@ def nearest_line(points: DataFrame, lines: DataFrame, radius_m: float, **sizes)
     """
     points = points.filter("lat is not null and lon is not null")
     places = places_of(points)
-    pieces = line_pieces(lines).withColumn("piece", F.xxhash64("sid", "x1", "y1", "x2", "y2"))
+    pieces = cut(line_pieces(lines)).withColumn("piece", F.xxhash64("sid", "x1", "y1", "x2", "y2"))
     middle = F.col("x1") / 2 + F.col("x2") / 2
     balls = pieces.select(F.col("piece").alias("place"), ((F.col("y1") + F.col("y2")) / 2).alias("lat"), middle.alias("lon"), "x1", "y1", "x2", "y2")
     reach = F.greatest(haversine(F.col("lat"), F.col("lon"), F.col("y1"), F.col("x1")), haversine(F.col("lat"), F.col("lon"), F.col("y2"), F.col("x2")))
@@ -256,9 +258,9 @@ def located(df: DataFrame, id_column: str, out: str) -> DataFrame:
 
 def near_reports(reports: DataFrame, images: DataFrame, segments: DataFrame, report_m: float = 20.0, image_m: float = 30.0, segment_m: float = 50.0, **sizes) -> DataFrame:
     """other_table, report_id, other_id: reports near reports (smaller id first), images near reports, each report's segment."""
-    r = located(reports, "id", "lid")
+    r = cut(located(reports, "id", "lid"))  # parsed once, joined three times
     pairs = pairs_within(r, r.withColumnRenamed("lid", "rid"), report_m, **sizes).filter("lid < rid")
-    shots = pairs_within(r, located(images, "id", "rid"), image_m, **sizes)
+    shots = pairs_within(r, cut(located(images, "id", "rid")), image_m, **sizes)
     on = nearest_line(r, segments, segment_m, **sizes)
     parts = [("reports", pairs, "rid"), ("images", shots, "rid"), ("segments", on, "sid")]
     frames = [df.select(F.lit(name).alias("other_table"), F.col("lid").alias("report_id"), F.col(other).alias("other_id")) for name, df, other in parts]
