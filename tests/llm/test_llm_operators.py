@@ -222,6 +222,28 @@ def test_garbled_records(spark):
     assert garble.find_garbled(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("share", [20, 3, 1])
+def test_frequent_garbling_is_found(spark, share):
+    """Also where garbled records are copies or make up a third or all of the corpus, and the right character occurs nowhere."""
+    sound = "Большой «БВП» Größe naïve 北京 “quoted” São ┌┐ — x"
+    rows = [("chunks", i, f"row {i} {sound}") for i in range(1200 if share > 1 else 0)]
+    wrong = [f"row {i} margin â€“ 5 and CafÃ© of Â£{i}" for i in range(1200 // share)]
+    rows += [("chunks", 10_000 + i, t) for i, t in enumerate(wrong)] + [("table_cells", 20_000 + i, "â€”") for i in range(1200 // share)]
+    rows += [("table_cells", 30_000 + i, "a chunk of ‚Äúlonger‚Äù text that was reposted") for i in range(1200 // share)]
+    got = {r.record_id: r for r in garble.find_garbled(spark.createDataFrame(rows, "table_name string, record_id long, text string")).collect()}
+    assert set(got) == {i for _, i, _ in rows if i >= 10_000}
+    assert got[10_000].restored == "row 0 margin – 5 and Café of £0" and got[20_000].restored == "—"
+    assert got[30_000].restored == "a chunk of “longer” text that was reposted"
+
+
+def test_copies_of_a_one_byte_mix_up_are_found(spark):
+    """A nil mark read with another one-byte encoding, a third as often as the sound one."""
+    rows = [("chunks", i, f"row {i} of the plain text") for i in range(1000)]
+    rows += [("table_cells", 10_000 + i, "—" if i % 4 else "Ñ") for i in range(800)]
+    got = {r.record_id: r.restored for r in garble.find_garbled(spark.createDataFrame(rows, "table_name string, record_id long, text string")).collect()}
+    assert got == {10_000 + i: "—" for i in range(0, 800, 4)}
+
+
 def test_maximal_segments_against_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(30):
