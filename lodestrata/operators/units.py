@@ -4,7 +4,8 @@ A figure's unit and scale may be stated by the cell, its row, its table (unit te
 The most specific level that states something holds. Where one level states several things that disagree, the
 combinations left are settled by identities among quantities: `solve_combinations` takes log values, candidate factors and
 identities such as mass = density x volume, and returns for every group the combination with the least sum of squared log
-residuals, flagged when the runner-up fits as well.
+residuals, flagged when the runner-up fits as well. Where no level states a unit or a scale the usual one is taken, and the same
+identities tell whether it is the only one that fits.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ SCALES = {
 }
 #: Units whose rows take no scale from table or filing.
 OWN_SCALE = ["percent", "count", "USD_per_share", "months", "ratio"]
+#: Scales that a figure may have for which none is stated.
+POSSIBLE = [1.0, 1e3, 1e6, 1e9]
 
 _SCALE_WORD = r"(\b(?:thousands?|millions?|billions?|trillions?|bln|bn|mn|mm|000)\b|(?<=usd |\$ )[km]\b)"
 _NUMBER = r"\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+"
@@ -169,7 +172,8 @@ def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> Dat
 
     Cells whose table or filing is missing keep what cell and row say, a scale of 1, and USD for want of a unit. Repeated cell ids
     give repeated rows. A figure too long for 13 digits before the point states no figure. `unique` is false where statements of one
-    level disagree and the identity check could not tell them apart.
+    level disagree, or no level states a unit or a scale, and the issuer's clear figures under the same label and unit don't confirm
+    the choice.
     """
     t = tables.select(F.col("id").alias("table_id"), "document_id", F.col("scale_hint").alias("_hint"), F.col("unit").alias("_tunit"), F.col("caption").alias("_cap"))
     f = filings.select(F.col("id").alias("document_id"), F.col("scale_hint").alias("_fscale"))
@@ -196,18 +200,24 @@ def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> Dat
         .when(F.col("_fscale").isNotNull() & ~F.isnan("_fscale"), F.array("_fscale"))
         .otherwise(one)
     )
-    p = p.withColumn("_scales", options)
+    bare = options == F.array(F.lit(1.0))
+    bare &= F.col("said_scale").isNull() & F.col("said_unit").isNull() & (F.size(row_scales) == 0) & ~F.col("unit").isin(OWN_SCALE)
+    bare &= (F.coalesce(F.size("_tscales"), F.lit(0)) <= 0) & (F.col("_fscale").isNull() | F.isnan("_fscale"))
+    p = p.withColumn("_scales", options).withColumn("_unstated", bare | F.coalesce(F.col("said_unit"), row_unit, F.col("_tunit")).isNull())
     milli = _lookup({k: v[1].split("/")[0] for k, v in UNITS.items()}, F.col("_word"), "decimal(20,5)")
     p = p.withColumn("_milli", F.coalesce(milli, F.lit("1000").cast("decimal(20,5)"))).withColumn("_third", F.col("_word") == "tj")
-    clear = p.filter(F.size("_scales") < 2).withColumn("_scale", F.col("_scales")[0]).withColumn("unique", F.lit(True))
-    # statements of one level that disagree: the issuer's other amounts under this label in this unit are the yardstick
+    settled_by_level = (F.size("_scales") < 2) & ~F.col("_unstated")
+    clear = p.filter(settled_by_level).withColumn("_scale", F.col("_scales")[0]).withColumn("unique", F.lit(True))
+    # statements of one level that disagree, or none at all: the issuer's other amounts under this label in this unit are the yardstick
     label = F.regexp_replace(_clean(F.col("row_label")), r"\s*[(,—].*$", "")
     size = F.log(F.abs(F.col("figure")).cast("double") * F.col("_milli").cast("double"))
-    open_ = p.filter(F.size("_scales") > 1).withColumn("_label", label)
+    open_ = p.filter(~settled_by_level).withColumn("_label", label).withColumn("_usual", F.col("_scales")[0])
+    open_ = open_.withColumn("_scales", F.when(F.col("_unstated") & (F.size("_scales") < 2), F.array_union("_scales", F.array(*map(F.lit, POSSIBLE)))).otherwise(F.col("_scales")))
+    open_ = open_.withColumn("_alone", F.col("_unstated") & (F.size("_scales") >= len(POSSIBLE)))
     open_ = open_.withColumn("_log", F.when(F.col("figure") != 0, size))
     yard = clear.filter("figure <> 0").withColumn("_label", label).groupBy("cik", "_label", "unit").agg(F.avg(size + F.log("_scale")).alias("_yard"))
     seen = open_.join(yard, ["cik", "_label", "unit"], "left")
-    by = ["table_id", "_label", "unit"]
+    by = ["table_id", "_label", "unit", "_alone", "_usual"]
     values = seen.select(*by, F.col("cell_id").alias("obs"), F.explode(F.array(F.struct(F.lit("printed").alias("q"), F.col("_log").alias("v")), F.struct(F.lit("known").alias("q"), F.col("_yard").alias("v")))).alias("s"))
     values = values.select(*by, "obs", F.col("s.q").alias("quantity"), F.col("s.v").alias("log_value"))
     options = open_.select(*by, F.explode("_scales").alias("x")).distinct()
@@ -215,7 +225,9 @@ def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> Dat
         options.select(*by, F.lit("known").alias("quantity"), F.lit(1.0).alias("option"), F.lit(0.0).alias("log_factor")).distinct()
     )
     solved = solve_combinations(values, candidates, by, [{"printed": 1.0, "known": -1.0}])
-    settled = open_.join(solved, by, "left").withColumn("_scale", F.coalesce(F.col("choice")["printed"], F.col("_scales")[0]))
+    # what is stated holds: the identities choose among statements, and of an unstated scale only tell whether the usual one is sure
+    settled = open_.join(solved, by, "left").withColumn("_scale", F.when(F.col("_alone"), F.col("_usual")).otherwise(F.coalesce(F.col("choice")["printed"], F.col("_usual"))))
+    settled = settled.withColumn("unique", F.col("unique") & (F.col("choice")["printed"] == F.col("_scale")))
     both = clear.select("cell_id", "unit", "figure", "_milli", "_scale", "_third", "unique").unionByName(settled.select("cell_id", "unit", "figure", "_milli", "_scale", "_third", F.coalesce("unique", F.lit(False)).alias("unique")))
     exact = F.col("figure") * (F.col("_milli") * F.col("_scale").cast("decimal(15,0)")).cast("decimal(20,5)")
     amount = F.when(F.col("_third"), F.round(exact.cast("decimal(28,9)") / F.lit(36).cast("decimal(2,0)"), 0)).otherwise(F.round(exact, 0))

@@ -312,6 +312,16 @@ def test_levels_of_statements(spark):
     assert units.common_units(cells.limit(0), t, f).count() == 0
 
 
+def test_unstated_scales_are_flagged_unless_confirmed(spark):
+    """With no scale stated anywhere the figure stays as printed, and is unique only if the issuer's clear figures agree."""
+    cells = [(1, "a", 1, "Sales", "5,000,000"), (2, "a", 2, "Sales", "5.1"), (3, "a", 3, "Sales", "4,900,000"), (4, "a", 3, "Rent", "70"), (5, "a", 9, "Sales", "5,050,000"), (6, "a", 1, "Margin", "7 %")]
+    df = spark.createDataFrame([(i, c, t, la, None, None, raw, False) for i, c, t, la, raw in cells], "cell_id long, cik string, table_id long, row_label string, row_unit string, row_scale double, raw string, is_header boolean")
+    t = spark.createDataFrame([(1, 1, "Results", 1.0, "USD"), (2, 2, "Results", None, "USD"), (3, 2, "Results", None, "USD")], "id long, document_id long, caption string, scale_hint double, unit string")
+    f = spark.createDataFrame([(1, 1e3), (2, None)], "id long, scale_hint double")
+    got = {r.cell_id: (r.amount_milli, r.unique) for r in units.common_units(df, t, f).collect()}
+    assert got == {1: (5_000_000_000, True), 2: (5100, False), 3: (4_900_000_000, True), 4: (70_000, False), 5: (5_050_000_000, True), 6: (7000, True)}
+
+
 def test_identities_pick_the_units(spark):
     """mass = density x volume settles which units were meant; with one observation free, two choices fit alike."""
     obs = [("a", i, q, math.log(v)) for i, (m, d, v3) in enumerate([(2000.0, 1.0, 2.0), (900.0, 0.9, 1.0)]) for q, v in (("mass", m), ("density", d), ("volume", v3))]
