@@ -167,13 +167,13 @@ def solve_combinations(values: DataFrame, candidates: DataFrame, by: list[str],
     return fit.filter("rank = 1").select(*by, choice.alias("choice"), "residual", (F.col("next").isNull() | (F.col("next") > F.col("residual") + tolerance)).alias("unique"))
 
 
-def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> DataFrame:
+def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame, judged: bool = True) -> DataFrame:
     """One row per non-header cell that states a figure: cell_id, unit, amount_milli, unique.
 
     Cells whose table or filing is missing keep what cell and row say, a scale of 1, and USD for want of a unit. Repeated cell ids
     give repeated rows. A figure too long for 13 digits before the point states no figure. `unique` is false where statements of one
     level disagree, or no level states a unit or a scale, and the issuer's clear figures under the same label and unit don't confirm
-    the choice.
+    the choice. Without `judged` the amounts are the same, and `unique` is null where nothing is stated.
     """
     t = tables.select(F.col("id").alias("table_id"), "document_id", F.col("scale_hint").alias("_hint"), F.col("unit").alias("_tunit"), F.col("caption").alias("_cap"))
     f = filings.select(F.col("id").alias("document_id"), F.col("scale_hint").alias("_fscale"))
@@ -206,8 +206,10 @@ def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> Dat
     p = p.withColumn("_scales", options).withColumn("_unstated", bare | F.coalesce(F.col("said_unit"), row_unit, F.col("_tunit")).isNull())
     milli = _lookup({k: v[1].split("/")[0] for k, v in UNITS.items()}, F.col("_word"), "decimal(20,5)")
     p = p.withColumn("_milli", F.coalesce(milli, F.lit("1000").cast("decimal(20,5)"))).withColumn("_third", F.col("_word") == "tj")
-    settled_by_level = (F.size("_scales") < 2) & ~F.col("_unstated")
-    clear = p.filter(settled_by_level).withColumn("_scale", F.col("_scales")[0]).withColumn("unique", F.lit(True))
+    settled_by_level = F.size("_scales") < 2
+    if judged:
+        settled_by_level &= ~F.col("_unstated")
+    clear = p.filter(settled_by_level).withColumn("_scale", F.col("_scales")[0]).withColumn("unique", F.when(~F.col("_unstated"), True))
     # statements of one level that disagree, or none at all: the issuer's other amounts under this label in this unit are the yardstick
     label = F.regexp_replace(_clean(F.col("row_label")), r"\s*[(,—].*$", "")
     size = F.log(F.abs(F.col("figure")).cast("double") * F.col("_milli").cast("double"))
@@ -215,7 +217,7 @@ def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> Dat
     open_ = open_.withColumn("_scales", F.when(F.col("_unstated") & (F.size("_scales") < 2), F.array_union("_scales", F.array(*map(F.lit, POSSIBLE)))).otherwise(F.col("_scales")))
     open_ = open_.withColumn("_alone", F.col("_unstated") & (F.size("_scales") >= len(POSSIBLE)))
     open_ = open_.withColumn("_log", F.when(F.col("figure") != 0, size))
-    yard = clear.filter("figure <> 0").withColumn("_label", label).groupBy("cik", "_label", "unit").agg(F.avg(size + F.log("_scale")).alias("_yard"))
+    yard = clear.filter("figure <> 0 and not _unstated").withColumn("_label", label).groupBy("cik", "_label", "unit").agg(F.avg(size + F.log("_scale")).alias("_yard"))
     seen = open_.join(yard, ["cik", "_label", "unit"], "left")
     by = ["table_id", "_label", "unit", "_alone", "_usual"]
     values = seen.select(*by, F.col("cell_id").alias("obs"), F.explode(F.array(F.struct(F.lit("printed").alias("q"), F.col("_log").alias("v")), F.struct(F.lit("known").alias("q"), F.col("_yard").alias("v")))).alias("s"))

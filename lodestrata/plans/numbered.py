@@ -11,7 +11,8 @@ from lodestrata.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return p1_amounts(spark, d).select("cell_id", "unit", "amount_milli")
+    found = units.common_units(table(spark, d, "table_cells"), table(spark, d, "fin_tables"), table(spark, d, "filings"), judged=False)
+    return found.select("cell_id", "unit", "amount_milli")
 
 
 def p1_amounts(spark: SparkSession, d: str) -> DataFrame:

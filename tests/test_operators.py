@@ -320,6 +320,7 @@ def test_unstated_scales_are_flagged_unless_confirmed(spark):
     f = spark.createDataFrame([(1, 1e3), (2, None)], "id long, scale_hint double")
     got = {r.cell_id: (r.amount_milli, r.unique) for r in units.common_units(df, t, f).collect()}
     assert got == {1: (5_000_000_000, True), 2: (5100, False), 3: (4_900_000_000, True), 4: (70_000, False), 5: (5_050_000_000, True), 6: (7000, True)}
+    assert {r.cell_id: r.amount_milli for r in units.common_units(df, t, f, judged=False).collect()} == {i: amount for i, (amount, _) in got.items()}
 
 
 def test_identities_pick_the_units(spark):
