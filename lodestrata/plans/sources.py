@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lodestrata.functions.text import archive_path, normal_cik
 from lodestrata.session import cut, table
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import intake
 
+#: Ids that one payload page of filings covers, and so the most rows that a page holds.
+PAGE = 1000
 SPLIT = "timestamp '2031-06-01 00:00:00'"
 
 
@@ -26,17 +29,28 @@ def image_payloads(spark: SparkSession, d: str) -> DataFrame:
     return readers.street_images(i)
 
 
-def filing_index(spark: SparkSession, d: str) -> DataFrame:
-    """Filings in column-wise payloads per registrant and year, read back as rows: annual and quarterly reports, five a payload."""
+def filing_index_all(spark: SparkSession, d: str) -> DataFrame:
+    """Filings in column-wise payloads per registrant, year and page, read back as rows: all annual and quarterly reports.
+
+    pos counts a registrant's filings of a year of any form. A page covers PAGE ids, and starts where the pages before it end.
+    """
     f = table(spark, d, "filings").filter("cik is not null and filed_at is not null")
     names = {"accession": "accessionNumber", "form": "form", "filed_at": "filingDate", "period_end": "reportDate", "raw_path": "primaryDocument", "title": "primaryDocDescription", "kind": "items"}
-    rows = f.select("cik", F.year("filed_at").alias("y"), F.struct("id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in names.items()]).alias("r"))
-    page = rows.groupBy("cik", "y").agg(F.sort_array(F.collect_list("r")).alias("rs"))  # one registrant's filings of a year
-    page = page.select(F.concat_ws("", "cik").alias("cik"), F.struct(*[F.col(f"rs.{n}").alias(n) for n in names.values()]).alias("recent"))
-    out = readers.recent_filings(page, ["10-k", "10-q", "20-f"]).filter("pos < 5")
+    rows = f.select("cik", F.year("filed_at").alias("y"), F.coalesce(F.floor(F.col("id") / PAGE), F.lit(-1)).alias("page"), F.struct("id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in names.items()]).alias("r"))
+    page = rows.groupBy("cik", "y", "page").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    sizes = rows.groupBy("cik", "y", "page").agg(F.count("*").alias("n"))  # one narrow row a page
+    before = F.sum("n").over(Window.partitionBy("cik", "y").orderBy("page")) - F.col("n")
+    page = page.join(sizes.select("cik", "y", "page", before.cast("int").alias("start")), ["cik", "y", "page"])
+    page = page.select(F.concat_ws("", "cik").alias("cik"), "start", F.struct(*[F.col(f"rs.{n}").alias(n) for n in names.values()]).alias("recent"))
+    out = readers.recent_filings(page, ["10-k", "10-q", "20-f"], keep=["start"]).withColumn("pos", F.col("pos") + F.col("start"))
     return out.select("cik", "pos", "accession", "form", "filed_at", "period_end", "document", archive_path(F.col("cik"), F.col("accession"), F.col("document")).alias("path"), F.array_join("items", ",").alias("items"))
 
 
+def filing_index(spark: SparkSession, d: str) -> DataFrame:
+    """A short report beside filing_index_all, as its SQL has it: annual and quarterly reports among a registrant's first five filings of a year."""
+    return filing_index_all(spark, d).filter("pos < 5")
+
+
 def registrants(spark: SparkSession, d: str) -> DataFrame:
     """Registrant numbers as written and in their normal form."""
     f = table(spark, d, "filings").select("cik").distinct()
@@ -82,7 +96,7 @@ def streamed_intake(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "open_data": open_data, "image_payloads": image_payloads, "filing_index": filing_index, "registrants": registrants, "upserted_reports": upserted_reports, "replaced_chunks": replaced_chunks,
+    "open_data": open_data, "image_payloads": image_payloads, "filing_index": filing_index, "filing_index_all": filing_index_all, "registrants": registrants, "upserted_reports": upserted_reports, "replaced_chunks": replaced_chunks,
     "inserted_filings": inserted_filings, "vector_cache": vector_cache, "json_rows": json_rows, "streamed_intake": streamed_intake,
 }
 
@@ -99,6 +113,10 @@ select external_id as id, date_trunc('milliseconds', captured_at) as captured_at
 with p as (select *, row_number() over (partition by cik, year(filed_at) order by id) - 1 as pos from filings where cik is not null and filed_at is not null)
 select lpad(ltrim(cik, '0'), 10, '0') as cik, pos::int as pos, coalesce(accession, '') as accession, form, filed_at, period_end, coalesce(raw_path, '') as document,
   'edgar/data/' || ltrim(cik, '0') || '/' || replace(coalesce(accession, ''), '-', '') || '/' || coalesce(raw_path, '') as path, coalesce(kind, '') as items from p where pos < 5 and upper(form) in ('10-K', '10-Q', '20-F')""",
+    "filing_index_all": """
+with p as (select *, row_number() over (partition by cik, year(filed_at) order by id) - 1 as pos from filings where cik is not null and filed_at is not null)
+select lpad(ltrim(cik, '0'), 10, '0') as cik, pos::int as pos, coalesce(accession, '') as accession, form, filed_at, period_end, coalesce(raw_path, '') as document,
+  'edgar/data/' || ltrim(cik, '0') || '/' || replace(coalesce(accession, ''), '-', '') || '/' || coalesce(raw_path, '') as path, coalesce(kind, '') as items from p where upper(form) in ('10-K', '10-Q', '20-F')""",
     "registrants": "select distinct cik, lpad(ltrim(cik, '0'), 10, '0') as normal from filings",
     "upserted_reports": """
 with r as (select id, source, external_id, category, status, ingested_at, (ingested_at >= timestamp '2031-06-01')::int as side from reports where ingested_at is not null)

@@ -35,22 +35,23 @@ def tagged(examples: DataFrame, tag: str) -> DataFrame:
     return examples.filter(F.array_contains("tags", tag))
 
 
-def recent_filings(indexes: DataFrame, forms: list[str] | None = None, limit: int | None = None) -> DataFrame:
+def recent_filings(indexes: DataFrame, forms: list[str] | None = None, limit: int | None = None, keep: list[str] | None = None) -> DataFrame:
     """cik, pos, accession, form, filed_at, period_end, document, description, items of column-wise indexes.
 
     indexes (cik, recent struct of parallel arrays accessionNumber, form, filingDate, reportDate, primaryDocument,
     primaryDocDescription, items). Rows end with the shortest array; forms compare without case, none meaning all; the first `limit`
-    of each registrant in the index's order stay. Unreadable dates are null.
+    of each registrant in the index's order stay. Unreadable dates are null. Columns named in `keep` are carried along.
     """
+    keep = keep or []
     arrays = ["accessionNumber", "form", "filingDate", "reportDate", "primaryDocument", "primaryDocDescription", "items"]
     n = F.least(*[F.size(f"recent.{a}") for a in arrays])
-    rows = indexes.select("cik", F.posexplode(F.slice(F.arrays_zip(*[F.col(f"recent.{a}").alias(a) for a in arrays]), 1, n)).alias("pos", "f"))
+    rows = indexes.select("cik", *keep, F.posexplode(F.slice(F.arrays_zip(*[F.col(f"recent.{a}").alias(a) for a in arrays]), 1, n)).alias("pos", "f"))
     if forms:
         rows = rows.filter(F.upper("f.form").isin([x.upper() for x in forms]))
     date = lambda c: F.to_date(F.try_to_timestamp(c, F.lit("yyyy-MM-dd")))
     rows = rows.select(
         normal_cik(F.col("cik").cast("string")).alias("cik"), "pos", F.col("f.accessionNumber").alias("accession"), F.col("f.form").alias("form"), date(F.col("f.filingDate")).alias("filed_at"),
-        date(F.col("f.reportDate")).alias("period_end"), F.col("f.primaryDocument").alias("document"), F.col("f.primaryDocDescription").alias("description"), item_list(F.col("f.items")).alias("items"),
+        date(F.col("f.reportDate")).alias("period_end"), F.col("f.primaryDocument").alias("document"), F.col("f.primaryDocDescription").alias("description"), item_list(F.col("f.items")).alias("items"), *keep,
     )
     if limit is not None:
         from pyspark.sql.window import Window

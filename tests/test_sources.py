@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.plans import sources
 from lodestrata.session import cut
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import intake
@@ -34,6 +35,18 @@ def test_recent_filings(spark):
     assert [r.accession for r in readers.recent_filings(df, limit=1).collect()] == ["a"]
 
 
+def test_all_filings_of_a_busy_registrant_are_indexed(spark, tmp_path):
+    """None is left out beyond the fifth of a year, and positions run on from page to page."""
+    n = 2500
+    f = spark.range(1, n + 1).select(
+        "id", F.lit("0000000012").alias("cik"), F.lit("filing").alias("kind"), F.when(F.col("id") % 2 == 0, "10-K").otherwise("8-K").alias("form"), F.col("id").cast("string").alias("accession"),
+        F.lit("t").alias("title"), F.lit("2031-02-01").cast("date").alias("filed_at"), F.lit(None).cast("date").alias("period_end"), F.lit("p").alias("raw_path"),
+    )
+    f.write.parquet(str(tmp_path / "filings.parquet"))
+    got = sorted((r.pos, r.accession) for r in sources.filing_index_all(spark, str(tmp_path)).collect())
+    assert got == [(i - 1, str(i)) for i in range(2, n + 1, 2)]
+
+
 def test_payloads(spark):
     raws = [
         json.dumps({"sr_number": "1", "sr_type": "", "location": {"coordinates": [10.5, 50.0]}, "latitude": "1"}), json.dumps({":id": "2", "latitude": "x", "longitude": "7", "created_date": "2031-01-02T03:04:05Z"}),
