@@ -1,15 +1,21 @@
 """Printed figures in common units.
 
-A figure's unit and scale may be stated by the cell, its row, its table (unit text, scale hint, caption) or its filing.
-The most specific level that states something holds. Where one level states several things that disagree, the
-combinations left are settled by identities among quantities: `solve_combinations` takes log values, candidate factors and
-identities such as mass = density x volume, and returns for every group the combination with the least sum of squared log
-residuals, flagged when the runner-up fits as well. Where no level states a unit or a scale the usual one is taken, and the same
-identities tell whether it is the only one that fits.
+A figure's unit and scale may be stated by the cell, its row, its table (unit text, scale hint, caption) or its filing. Every
+combination of a unit and a scale that is stated, or possible where nothing is, is a candidate, and the one with the least squared log
+residuals holds. Statements weigh by how specific they are, each level infinitely more than the next, as the problem demands; the
+combination that deviates least from them is therefore the most specific level's own, and needs no arithmetic where that level
+states one unit and one scale. What statements leave open - a level that contradicts itself, a unit or a scale that no level
+states - is solved by identities among quantities (`solve_combinations`): products and sums of a table's column
+(`PRODUCTS`, `SUMS`), the physical dimension that a label has elsewhere, and the size of the issuer's other figures under the label. Where the
+runner-up fits as well, the figure is flagged.
+
+Cells are parsed once and kept; amounts are exact integers, rounded once at the end.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestrata.functions.encoding import one_byte_readings, repair_text
+from lodestrata.session import cut
 
 #: Spelled unit -> (common unit, thousandths of the common unit in one of it).
 UNITS = {
@@ -48,24 +55,67 @@ OWN_SCALE = ["percent", "count", "USD_per_share", "months", "ratio"]
 #: Scales that a figure may have for which none is stated.
 POSSIBLE = [1.0, 1e3, 1e6, 1e9]
 
+#: Identities that hold between labels of one table column, in common units. PRODUCTS: exponents, and the factor that the product of
+#: powers equals (a margin is in percent). SUMS: coefficients of amounts that add up to nothing.
+PRODUCTS = (
+    ({"gross profit": 1.0, "net sales": -1.0, "gross margin": -1.0}, 0.01),
+    ({"net earnings": 1.0, "diluted earnings per share": -1.0, "diluted weighted shares": -1.0}, 1.0),
+    ({"operating profit": 1.0, "interest paid": -1.0, "interest cover": -1.0}, 1.0),
+)
+SUMS = ({"net sales": 1.0, "cost of goods sold": -1.0, "gross profit": -1.0},)
+#: Relative error of printed figures in an identity, least spread of an issuer's figures, and by how much the runner-up's weighted
+#: squared residuals must exceed the best's (twice the log of 20) for the best to be the only one. Share of a label's clear figures
+#: that must have one dimension for a figure without a unit to have it for sure.
+PRINT_ERROR, LEAST_SPREAD, MARGIN, DIMENSION = 0.02, 0.25, 6.0, 0.9
+
 _SCALE_WORD = r"(\b(?:thousands?|millions?|billions?|trillions?|bln|bn|mn|mm|000)\b|(?<=usd |\$ )[km]\b)"
-_NUMBER = r"\d{1,3}(?:[ ,]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+"
-_FIGURE = r"^([-(]?)\s*(us\$|usd|\$)?\s*([-(]*)\s*(us\$|usd|\$)?\s*(" + _NUMBER + r")\s*([^\d()]*?2?)\s*\)?\s*$"
-_FOOTNOTE = r"(?<=[\p{L}\d)%¢×.])\s*(?:\(\d{1,2}\)|\[\w{1,2}\]|\*+|†+|‡+|[¹²³⁰-⁹]+)$"
+_NUMBER = r"\d{1,3}(?:[ ,'’]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?|\.\d+"
+_SIGN = r"(?:us\$|usd|\$)?\s*"
+#: sign or bracket, number, scale word, unit
+_FIGURE = r"^([-(]?)\s*" + _SIGN + r"([-(]*)\s*" + _SIGN + "(" + _NUMBER + r")\s*(?:((?:thousand|million|billion|trillion)s?|bln|bn|mn|mm|tn|k|m)\b)?\s*([^\d()]*?2?)\s*\)?\s*$"
+_FOOTNOTE = r"(?<=[\p{L}\d)%¢×.])(?:\s*(?:\(\d{1,2}\)|\[\w{1,2}\]|\*+|†+|‡+|[¹²³⁰-⁹]+)){1,2}$"
+#: White space other than the blank.
+BLANKS = "\t\n\r\f\x0b\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Characters beyond ASCII that sound cells hold: signs, marks and blanks.
+_SOUND = "−–—·’¢×¹²³⁰⁴-⁹†‡" + BLANKS
+_MARK = "\x01"
+
+
+def _factor(thousandths: str) -> tuple[int, int, int]:
+    """(mantissa, power of ten, divisor) of a unit's thousandths, as integers."""
+    number, _, divisor = thousandths.partition("/")
+    sign, digits, power = Decimal(number).normalize().as_tuple()
+    return int("".join(map(str, digits))), int(power), int(divisor or 1)
+
+
+def _sql_map(pairs: dict[str, str]) -> str:
+    quoted = ", ".join("'" + k.replace("'", "\\'") + "', " + v for k, v in pairs.items())
+    return f"map({quoted})"
+
+
+def _facts() -> str:
+    """The fixed map of unit words: struct(unit, mantissa, power, divisor, log of the common unit's amount in one)."""
+    pairs = {}
+    for word, (unit, thousandths) in UNITS.items():
+        m, p, d = _factor(thousandths)
+        size = math.log(m) + (p - 3) * math.log(10) - math.log(d)
+        pairs[word] = f"named_struct('unit', '{unit}', 'm', {m}L, 'p', {p}, 'd', {d}, 'log', {size!r}D)"
+    return _sql_map(pairs)
+
 
+_FACTS, _SCALES = _facts(), _sql_map({k: f"{v!r}D" for k, v in SCALES.items()})
 
-def _lookup(pairs: dict[str, object], key: Column, kind: str) -> Column:
-    """A fixed map's value for `key`, null where the map has none."""
-    flat = [F.lit(x) for k, v in pairs.items() for x in (k, v)]
-    return F.try_element_at(F.create_map(*flat), key).cast(kind)
+
+def _fact(word: Column) -> Column:
+    return F.try_element_at(F.expr(_FACTS), word)
 
 
 def _clean(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"[\s    ]+", " "))
+    return F.trim(F.regexp_replace(F.translate(F.lower(text), BLANKS, " " * len(BLANKS)), " +", " "))
 
 
 def _scale_in(text: Column) -> Column:
-    return _lookup(SCALES, F.nullif(F.regexp_extract(_clean(text), _SCALE_WORD, 1), F.lit("")), "double")
+    return F.try_element_at(F.expr(_SCALES), F.nullif(F.regexp_extract(_clean(text), _SCALE_WORD, 1), F.lit("")))
 
 
 def _unit_in(text: Column) -> Column:
@@ -78,25 +128,30 @@ def _caption_unit(caption: Column) -> Column:
     """A unit named in the caption's last brackets or after its last comma, else null."""
     inner = F.regexp_extract(_clean(caption), r"[(\[,—]\s*([^()\[\],—]+?)\s*[)\]]?$", 1)
     word = _unit_in(F.regexp_replace(inner, r"\s+in\s+(?=thousand|million|billion|trillion)", " "))
-    return F.when(_lookup({k: v[0] for k, v in UNITS.items()}, word, "string").isNotNull(), word)
+    return F.when(_fact(word).isNotNull(), word)
+
+
+def _stated(*scales: Column) -> Column:
+    """The distinct scales among statements; null, zero, negative and non-finite ones state nothing."""
+    return F.array_distinct(F.filter(F.array(*scales), lambda x: (x > 0) & (x < float("inf")) & ~F.isnan(x)))
 
 
 @F.pandas_udf(T.StringType())
 def _ungarble(raws):
-    """Repairs the few non-ASCII cells; a one-byte mix-up is undone only if a plain figure comes out."""
+    """Repairs the few cells with odd characters; a one-byte mix-up is undone only if a plain figure comes out."""
     import re
 
     grammar = re.compile(r"[-−(]?\s*(?:US\$|USD|\$)?\s*[-−(]*\s*\d[\d.,’\s  ]*(?:¢|×|%|[A-Za-z %]*)\s*\)?\s*[¹²³]?")
-    known = set("−’¹²³×¢  ·—–²")
+    known = set("−’¹²³×¢\u00a0\u202f·—–")
 
     def one(raw):
         if raw is None:
             return None
         text = repair_text(raw)
         if any(ord(c) > 127 and c not in known for c in text):
-            for encoding_pair_reading in ("".join(x) for x in _readings(text)):
-                if grammar.fullmatch(encoding_pair_reading):
-                    return encoding_pair_reading
+            for reading in ("".join(x) for x in _readings(text)):
+                if grammar.fullmatch(reading):
+                    return reading
         return text
 
     def _readings(text):
@@ -110,127 +165,225 @@ def _ungarble(raws):
 
 
 def parse_figures(cells: DataFrame, raw: str = "raw") -> DataFrame:
-    """Adds figure decimal(17,4), said_unit, said_scale, per printed cell; figure is null where none is stated.
+    """Adds digits (of the figure, without its point), places (behind the point), negative, said_unit, said_scale per printed cell; digits
+    is null where no figure is stated.
 
     Nil marks, remarks, blanks and nulls state none. Footnote marks are dropped. A minus of any kind or brackets make the figure negative.
-    A currency sign alone is neither unit nor scale.
+    A currency sign alone is neither unit nor scale. Figures are of any length: nothing is rounded here.
+    """
+    odd = F.col(raw).rlike(rf"[^\x00-\x7F{_SOUND}]")
+    text = F.coalesce(_ungarble(F.when(odd, F.col(raw))), F.col(raw))
+    text = F.translate(text, BLANKS + "−–" + _MARK, " " * len(BLANKS) + "--")
+    df = cells.withColumn("_t", F.lower(F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, " +", " ")), _FOOTNOTE, ""))))
+    df = df.withColumn("_p", F.split(F.regexp_replace("_t", _FIGURE, f"{_MARK}$1$2{_MARK}$3{_MARK}$4{_MARK}$5"), _MARK, 5)).drop("_t")
+    part = lambda n: F.get("_p", F.lit(n))
+    known = _fact(F.trim(part(4))).isNotNull()
+    df = df.withColumn("_good", (F.size("_p") == 5) & ((F.trim(part(4)) == "") | known))
+    number = F.translate(part(2), " ,'’", "")
+    point = F.instr(number, ".")
+    df = df.withColumns({
+        "digits": F.when(F.col("_good"), F.translate(number, ".", "")), "places": F.when(F.col("_good"), F.when(point > 0, F.length(number) - point).otherwise(0)),
+        "negative": F.col("_good") & (part(1) != ""), "said_scale": F.when(F.col("_good"), F.try_element_at(F.expr(_SCALES), part(3))), "said_unit": F.when(F.col("_good") & known, F.trim(part(4))),
+    })
+    return df.drop("_p", "_good")
+
+
+def with_amounts(figures: DataFrame, word: str = "word", scale: str = "scale") -> DataFrame:
+    """Adds amount_milli: the figure in thousandths of its common unit as a bigint, halves rounded away from zero; null where a
+    bigint can't hold it.
+
+    digits / 10^places x scale x m x 10^p / d is one quotient of integers, so that nothing is rounded before the last step and nothing
+    overflows. Of figures of more than 25 digits the rest only tells whether there is one.
     """
-    mixed = F.col(raw).rlike(r"[^\x00-\x7F]")
-    odd = F.coalesce(_ungarble(F.when(mixed, F.col(raw))), F.col(raw))
-    t = F.regexp_replace(odd, r"[\s    ]+", " ")
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, r"[−–]", "-"), r"(?<=\d)[’'](?=\d{3})", ","))
-    t = F.regexp_replace(t, _FOOTNOTE, "")
-    t = F.lower(F.trim(F.regexp_replace(t, _FOOTNOTE, "")))
-    part = lambda n: F.regexp_extract(F.col("_t"), _FIGURE, n)
-    df = cells.withColumn("_t", t).withColumn("_n", F.regexp_replace(part(5), "[ ,]", ""))
-    df = df.withColumn("_neg", F.concat(part(1), part(3)).rlike(r"[-(]")).withColumn("_w", F.trim(F.regexp_replace(part(6), r"[()]", "")))
-    # the word after the number: a scale word, a unit, or a scale word and a unit
-    first = F.regexp_extract("_w", r"^(?:(thousand|million|billion|trillion|bln|bn|mn|mm|k|m)\b\s*)?(.*)$", 1)
-    rest = F.trim(F.regexp_extract("_w", r"^(?:(thousand|million|billion|trillion|bln|bn|mn|mm|k|m)\b\s*)?(.*)$", 2))
-    known = _lookup({k: v[0] for k, v in UNITS.items()}, rest, "string").isNotNull()
-    stated = F.col("_n") != ""
-    value = F.col("_n").try_cast("decimal(17,4)")
-    figure = F.when(stated & ((rest == "") | known), F.when(F.col("_neg"), -value).otherwise(value))
-    df = df.withColumn("figure", figure.cast("decimal(17,4)"))
-    df = df.withColumn("said_scale", _lookup(SCALES, F.nullif(first, F.lit("")), "double")).withColumn("said_unit", F.when(known, rest))
-    return df.drop("_t", "_n", "_neg", "_w")
-
-
-def solve_combinations(values: DataFrame, candidates: DataFrame, by: list[str], identities: list[dict[str, float]], tolerance: float = 0.05) -> DataFrame:
+    whole, long = F.regexp_replace("digits", "^0+", ""), F.length("_w") > 25
+    rest = F.when(F.substring(F.col("_w"), 25, 1 << 30).rlike("[1-9]"), "1").otherwise("0")
+    number = lambda c: c.try_cast("decimal(38,0)")
+    ten = lambda n: number(F.rpad(F.lit("1"), (F.least(n, F.lit(38)) + 1).cast("int"), F.lit("0")))
+    df = figures.withColumns({"_w": whole, "_f": _fact(F.col(word)), "_s": F.translate(F.format_string("%.6f", scale), ".", "")})
+    df = df.withColumns({"_k": F.when(F.col("_w") == "", "0").when(long, F.concat(F.substring("_w", 1, 24), rest)).otherwise(F.col("_w")), "_m": F.regexp_replace("_s", "0+$", "")})
+    shift = F.col("_f.p") + F.length("_s") - F.length("_m") - 6 - F.col("places") + F.when(long, F.length("_w") - 25).otherwise(0)
+    times = F.try_multiply(number(F.try_multiply(number(F.col("_k")), number(F.col("_f.m").cast("string")))), number(F.col("_m")))
+    df = df.withColumns({"_n": number(times), "_e": shift})
+    df = df.withColumns({"_n": F.when(F.col("_n") == 0, F.col("_n")).otherwise(number(F.try_multiply("_n", ten(F.greatest("_e", F.lit(0)))))), "_d": number(F.try_multiply(ten(F.greatest(-F.col("_e"), F.lit(0))), number(F.col("_f.d").cast("string"))))})
+    df = df.withColumn("_r", F.try_mod("_n", "_d"))
+    held = F.col("_n").cast("double") < F.col("_d").cast("double") * 9.2e18
+    size = F.when(F.col("_e") < -36, F.lit(0).cast("bigint")).when(held, F.expr("_n div _d") + F.when(F.col("_r") >= F.col("_d") - F.col("_r"), 1).otherwise(0))
+    return df.withColumn("amount_milli", F.when(F.col("negative"), -size).otherwise(size)).drop("_w", "_f", "_s", "_k", "_m", "_n", "_e", "_d", "_r")
+
+
+def solve_combinations(values: DataFrame, candidates: DataFrame, by: list[str], identities: list[dict[str, float]], margin: float = MARGIN) -> DataFrame:
     """Per group the candidate factor of every quantity such that the identities hold best.
 
-    values: by..., quantity, obs, log_value (natural log of a positive figure); candidates: by..., quantity, option, log_factor.
+    values: by..., quantity, obs, log_value (natural log of a positive figure), optionally weight (of the observation, by default
+    that of figures printed with PRINT_ERROR); candidates: by..., quantity, option, log_factor.
     An identity {q: e} says sum of e * log(q) = 0 in common units, as {"mass": 1, "density": -1, "volume": -1}.
-    Returns by..., choice (map quantity -> option), residual (mean squared), unique (false if another combination is within
-    `tolerance` of the best). Observations are reduced to sums before combinations are made, whose number depends on the options
-    only. Groups without a complete observation keep residual 0 and are unique only if one combination exists. Nulls are ignored.
+    Returns by..., choice (map quantity -> option), residual (weighted mean of squares), unique (false if another combination's weighted
+    squares are within `margin` of the best's). Observations are reduced to sums before combinations are made, whose number depends on
+    the options only. Groups without a complete observation keep residual 0 and are unique only if one combination exists. Nulls
+    are ignored.
     """
     names = sorted({q for i in identities for q in i})
     parts = [F.struct(F.lit(n).alias("n"), *[F.lit(float(i.get(q, 0.0))).alias(f"e{k}") for k, q in enumerate(names)]) for n, i in enumerate(identities)]
-    wide = values.filter(F.col("log_value").isNotNull()).groupBy(*by, "obs").agg(*[F.avg(F.when(F.col("quantity") == q, F.col("log_value"))).alias(f"v{k}") for k, q in enumerate(names)])
+    weight = F.max("weight") if "weight" in values.columns else F.lit(PRINT_ERROR**-2)
+    wide = values.filter(F.col("log_value").isNotNull()).groupBy(*by, "obs").agg(weight.alias("w"), *[F.avg(F.when(F.col("quantity") == q, F.col("log_value"))).alias(f"v{k}") for k, q in enumerate(names)])
     each = wide.withColumn("i", F.explode(F.array(*parts)))
     left = reduce(lambda a, b: a + b, [F.when(F.col(f"i.e{k}") == 0, F.lit(0.0)).otherwise(F.col(f"i.e{k}") * F.col(f"v{k}")) for k in range(len(names))])
-    sums = each.withColumn("x", left).filter("x is not null").groupBy(*by, F.col("i.n").alias("n"), *[F.col(f"i.e{k}").alias(f"e{k}") for k in range(len(names))])
-    sums = sums.agg(F.count("x").alias("c"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    sums = each.withColumn("x", left).filter("x is not null and w > 0").groupBy(*by, F.col("i.n").alias("n"), *[F.col(f"i.e{k}").alias(f"e{k}") for k in range(len(names))])
+    sums = sums.agg(F.sum("w").alias("c"), F.sum(F.col("w") * F.col("x")).alias("sx"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("sxx"))
     combos = None
     for k, q in enumerate(names):
         options = candidates.filter(F.col("quantity") == q).select(*by, F.col("option").alias(f"o{k}"), F.col("log_factor").alias(f"f{k}")).distinct()
         combos = options if combos is None else combos.join(options, by)
     shift = reduce(lambda a, b: a + b, [F.col(f"e{k}") * F.col(f"f{k}") for k in range(len(names))])
     fit = combos.join(sums, by, "left").withColumn("s", shift)
-    loss = F.sum(F.col("sxx") + 2 * F.col("s") * F.col("sx") + F.col("c") * F.col("s") * F.col("s")) / F.sum("c")
+    loss = F.sum(F.col("sxx") + 2 * F.col("s") * F.col("sx") + F.col("c") * F.col("s") * F.col("s"))
     keys = [f"{p}{k}" for k in range(len(names)) for p in "of"]
-    fit = fit.groupBy(*by, *keys).agg(F.coalesce(loss, F.lit(0.0)).alias("residual"))
-    order = Window.partitionBy(*by).orderBy("residual", *[f"o{k}" for k in range(len(names))])
-    fit = fit.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("residual").over(order))
+    fit = fit.groupBy(*by, *keys).agg(F.coalesce(loss, F.lit(0.0)).alias("loss"), F.sum("c").alias("weights"))
+    order = Window.partitionBy(*by).orderBy("loss", *[f"o{k}" for k in range(len(names))])
+    fit = fit.withColumn("rank", F.row_number().over(order)).withColumn("next", F.lead("loss").over(order))
     choice = F.create_map(*[x for k, q in enumerate(names) for x in (F.lit(q), F.col(f"o{k}"))])
-    return fit.filter("rank = 1").select(*by, choice.alias("choice"), "residual", (F.col("next").isNull() | (F.col("next") > F.col("residual") + tolerance)).alias("unique"))
+    residual = F.coalesce(F.col("loss") / F.col("weights"), F.lit(0.0))
+    return fit.filter("rank = 1").select(*by, choice.alias("choice"), residual.alias("residual"), (F.col("next").isNull() | (F.col("next") > F.col("loss") + margin)).alias("unique"))
 
 
-def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame, judged: bool = True) -> DataFrame:
-    """One row per non-header cell that states a figure: cell_id, unit, amount_milli, unique.
+def label_of(row_label: Column) -> Column:
+    """A row's label without case and without what is said behind it: 'Treasury shares (in thousands)' and 'TREASURY SHARES — thousands'."""
+    return F.regexp_replace(_clean(row_label), r"\s*[(,—].*$", "")
 
-    Cells whose table or filing is missing keep what cell and row say, a scale of 1, and USD for want of a unit. Repeated cell ids
-    give repeated rows. A figure too long for 13 digits before the point states no figure. `unique` is false where statements of one
-    level disagree, or no level states a unit or a scale, and the issuer's clear figures under the same label and unit don't confirm
-    the choice. Without `judged` the amounts are the same, and `unique` is null where nothing is stated.
-    """
+
+def _statements(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> DataFrame:
+    """Per stated figure: its number, label, the most specific unit word (null if none), and the scales of the most specific level that
+    states any (none if no level does)."""
     t = tables.select(F.col("id").alias("table_id"), "document_id", F.col("scale_hint").alias("_hint"), F.col("unit").alias("_tunit"), F.col("caption").alias("_cap"))
     f = filings.select(F.col("id").alias("document_id"), F.col("scale_hint").alias("_fscale"))
     t = t.join(f, "document_id", "left").drop("document_id")
-    t = t.withColumn("_tscales", F.array_distinct(F.array_compact(F.array(_scale_in(F.col("_tunit")), F.nanvl(F.col("_hint"), F.lit(None).cast("double")), _scale_in(F.col("_cap"))))))
-    t = t.withColumn("_tunit", F.coalesce(F.nullif(_unit_in(F.col("_tunit")), F.lit("")), _caption_unit(F.col("_cap")))).drop("_hint", "_cap")
-    p = parse_figures(cells.filter("not is_header").select("cell_id", "cik", "table_id", "row_label", "row_unit", "row_scale", "raw")).filter("figure is not null")
+    t = t.withColumn("_tscales", _stated(_scale_in(F.col("_tunit")), F.col("_hint"), _scale_in(F.col("_cap"))))
+    t = t.withColumn("_tunit", F.coalesce(F.nullif(_unit_in(F.col("_tunit")), F.lit("")), _caption_unit(F.col("_cap")))).withColumn("_fscales", _stated(F.col("_fscale"))).drop("_hint", "_cap", "_fscale")
+    p = parse_figures(cells.filter("not is_header").select("cell_id", "cik", "table_id", "col_idx", "row_label", "row_unit", "row_scale", "raw")).filter("digits is not null").drop("raw")
     p = p.join(t, "table_id", "left")
     label_scale = _scale_in(F.regexp_extract(F.col("row_label"), r"(?i)[(,—-]\s*(?:in )?(thousands?|millions?|billions?)\)?\s*$", 1))
-    row_unit = F.nullif(_unit_in(F.col("row_unit")), F.lit(""))
-    word = F.coalesce(
-        F.when(F.col("said_unit").isin("c", "¢") & (F.coalesce(_lookup({k: v[0] for k, v in UNITS.items()}, row_unit, "string"), F.lit("USD_per_share")) != "USD_per_share"), row_unit),
-        F.col("said_unit"), row_unit, F.col("_tunit"), F.lit("usd"),
-    )
-    p = p.withColumn("_word", word).withColumn("unit", F.coalesce(_lookup({k: v[0] for k, v in UNITS.items()}, F.col("_word"), "string"), F.lit("USD")))
-    row_scales = F.array_distinct(F.array_compact(F.array(F.nanvl(F.col("row_scale"), F.lit(None).cast("double")), label_scale, _scale_in(F.col("row_unit")))))
-    one = F.array(F.lit(1.0))
-    options = (
+    p = p.withColumn("_runit", F.nullif(_unit_in(F.col("row_unit")), F.lit("")))
+    # ¢ says hundredths, of what the row says if that isn't money per share
+    hundredths = F.col("said_unit").isin("c", "¢") & (F.coalesce(_fact(F.col("_runit"))["unit"], F.lit("USD_per_share")) != "USD_per_share")
+    word = F.coalesce(F.when(hundredths, F.col("_runit")), F.col("said_unit"), F.col("_runit"), F.col("_tunit"))
+    p = p.withColumn("word", F.when(_fact(word).isNotNull(), word).when(word.isNotNull(), "usd"))
+    one, nothing = F.array(F.lit(1.0)), F.array().cast("array<double>")
+    row_scales = _stated(F.col("row_scale"), label_scale, _scale_in(F.col("row_unit")))
+    scales = (
         F.when(F.col("said_scale").isNotNull(), F.array("said_scale"))
         .when(F.col("said_unit").isNotNull(), one)
         .when(F.size(row_scales) > 0, row_scales)
-        .when(F.col("unit").isin(OWN_SCALE), one)
+        .when(_fact(F.col("word"))["unit"].isin(OWN_SCALE), one)
         .when(F.size("_tscales") > 0, F.col("_tscales"))
-        .when(F.col("_fscale").isNotNull() & ~F.isnan("_fscale"), F.array("_fscale"))
-        .otherwise(one)
+        .when(F.size("_fscales") > 0, F.col("_fscales"))
+        .otherwise(nothing)
     )
-    bare = options == F.array(F.lit(1.0))
-    bare &= F.col("said_scale").isNull() & F.col("said_unit").isNull() & (F.size(row_scales) == 0) & ~F.col("unit").isin(OWN_SCALE)
-    bare &= (F.coalesce(F.size("_tscales"), F.lit(0)) <= 0) & (F.col("_fscale").isNull() | F.isnan("_fscale"))
-    p = p.withColumn("_scales", options).withColumn("_unstated", bare | F.coalesce(F.col("said_unit"), row_unit, F.col("_tunit")).isNull())
-    milli = _lookup({k: v[1].split("/")[0] for k, v in UNITS.items()}, F.col("_word"), "decimal(20,5)")
-    p = p.withColumn("_milli", F.coalesce(milli, F.lit("1000").cast("decimal(20,5)"))).withColumn("_third", F.col("_word") == "tj")
-    settled_by_level = F.size("_scales") < 2
-    if judged:
-        settled_by_level &= ~F.col("_unstated")
-    clear = p.filter(settled_by_level).withColumn("_scale", F.col("_scales")[0]).withColumn("unique", F.when(~F.col("_unstated"), True))
-    # statements of one level that disagree, or none at all: the issuer's other amounts under this label in this unit are the yardstick
-    label = F.regexp_replace(_clean(F.col("row_label")), r"\s*[(,—].*$", "")
-    size = F.log(F.abs(F.col("figure")).cast("double") * F.col("_milli").cast("double"))
-    open_ = p.filter(~settled_by_level).withColumn("_label", label).withColumn("_usual", F.col("_scales")[0])
-    open_ = open_.withColumn("_scales", F.when(F.col("_unstated") & (F.size("_scales") < 2), F.array_union("_scales", F.array(*map(F.lit, POSSIBLE)))).otherwise(F.col("_scales")))
-    open_ = open_.withColumn("_alone", F.col("_unstated") & (F.size("_scales") >= len(POSSIBLE)))
-    open_ = open_.withColumn("_log", F.when(F.col("figure") != 0, size))
-    yard = clear.filter("figure <> 0 and not _unstated").withColumn("_label", label).groupBy("cik", "_label", "unit").agg(F.avg(size + F.log("_scale")).alias("_yard"))
-    seen = open_.join(yard, ["cik", "_label", "unit"], "left")
-    by = ["table_id", "_label", "unit", "_alone", "_usual"]
-    values = seen.select(*by, F.col("cell_id").alias("obs"), F.explode(F.array(F.struct(F.lit("printed").alias("q"), F.col("_log").alias("v")), F.struct(F.lit("known").alias("q"), F.col("_yard").alias("v")))).alias("s"))
-    values = values.select(*by, "obs", F.col("s.q").alias("quantity"), F.col("s.v").alias("log_value"))
-    options = open_.select(*by, F.explode("_scales").alias("x")).distinct()
-    candidates = options.select(*by, F.lit("printed").alias("quantity"), F.col("x").alias("option"), F.log("x").alias("log_factor")).unionByName(
-        options.select(*by, F.lit("known").alias("quantity"), F.lit(1.0).alias("option"), F.lit(0.0).alias("log_factor")).distinct()
-    )
-    solved = solve_combinations(values, candidates, by, [{"printed": 1.0, "known": -1.0}])
-    # what is stated holds: the identities choose among statements, and of an unstated scale only tell whether the usual one is sure
-    settled = open_.join(solved, by, "left").withColumn("_scale", F.when(F.col("_alone"), F.col("_usual")).otherwise(F.coalesce(F.col("choice")["printed"], F.col("_usual"))))
-    settled = settled.withColumn("unique", F.col("unique") & (F.col("choice")["printed"] == F.col("_scale")))
-    both = clear.select("cell_id", "unit", "figure", "_milli", "_scale", "_third", "unique").unionByName(settled.select("cell_id", "unit", "figure", "_milli", "_scale", "_third", F.coalesce("unique", F.lit(False)).alias("unique")))
-    exact = F.col("figure") * (F.col("_milli") * F.col("_scale").cast("decimal(15,0)")).cast("decimal(20,5)")
-    amount = F.when(F.col("_third"), F.round(exact.cast("decimal(28,9)") / F.lit(36).cast("decimal(2,0)"), 0)).otherwise(F.round(exact, 0))
-    return both.select("cell_id", "unit", amount.try_cast("bigint").alias("amount_milli"), "unique").filter("amount_milli is not null")
+    return p.select("cell_id", "cik", "table_id", "col_idx", label_of(F.col("row_label")).alias("label"), "digits", "places", "negative", "word", scales.alias("scales"))
+
+
+def _size(places: Column, digits: Column) -> Column:
+    """log of the figure; null for zero."""
+    value = F.concat(digits, F.lit("e"), (-places).cast("string")).try_cast("double")
+    return F.when((value > 0) & (value < float("inf")), F.log(value))
+
+
+def _identity_roles() -> str:
+    """label -> array of struct(n, kind, e, parts, constant) over the fixed identities, as SQL."""
+    roles: dict[str, list[str]] = {}
+    for n, (kind, powers, constant) in enumerate([*(("product", p, math.log(c)) for p, c in PRODUCTS), *(("sum", s, 0.0) for s in SUMS)]):
+        for label, e in powers.items():
+            roles.setdefault(label, []).append(f"named_struct('n', {n}, 'kind', '{kind}', 'e', {e!r}D, 'parts', {len(powers)}, 'constant', {constant!r}D)")
+    return _sql_map({label: f"array({', '.join(rows)})" for label, rows in roles.items()})
+
+
+def _column_observations(figures: DataFrame, open_: DataFrame) -> DataFrame:
+    """key, obs, printed (log that the open key's factor must cancel), weight: the identities of the table columns that hold open figures.
+
+    A column speaks only if every part of the identity stands in it once, and all open parts share one key; then the identity is linear in
+    the log of that key's factor.
+    """
+    roles = F.try_element_at(F.expr(_identity_roles()), F.col("label"))
+    columns = open_.select("table_id", "col_idx").distinct()
+    near = figures.filter(roles.isNotNull()).join(columns, ["table_id", "col_idx"], "left_semi").join(open_.select("cell_id", "key"), "cell_id", "left")
+    near = near.withColumn("log", _size(F.col("places"), F.col("digits")) + F.when(F.col("key").isNull(), _fact(F.col("word"))["log"] + F.log(F.col("scales")[0])).otherwise(0.0))
+    near = near.select("table_id", "col_idx", "label", "key", "negative", "log", F.explode(roles).alias("r"))
+    once = near.groupBy("table_id", "col_idx", "r", "label").agg(F.min("log").alias("log"), F.max("log").alias("most"), F.min("negative").alias("negative"), F.max("negative").alias("negative2"), F.min("key").alias("key"), F.max("key").alias("key2"))
+    once = once.filter("log = most and negative = negative2 and (key <=> key2)")
+    amount = F.col("r.e") * F.exp("log") * F.when(F.col("negative"), -1.0).otherwise(1.0)
+    each = once.groupBy("table_id", "col_idx", F.col("r.n").alias("n"), F.col("r.kind").alias("kind"), F.col("r.parts").alias("parts"), F.col("r.constant").alias("constant")).agg(
+        F.count("*").alias("there"), F.min("key").alias("key"), F.max("key").alias("key2"), F.sum(F.when(F.col("key").isNotNull(), F.col("r.e")).otherwise(0.0)).alias("power"), F.sum(F.col("r.e") * F.col("log")).alias("logs"),
+        F.sum(F.when(F.col("key").isNotNull(), amount).otherwise(0.0)).alias("open"), F.sum(F.when(F.col("key").isNull(), amount).otherwise(0.0)).alias("clear"),
+    )
+    each = each.filter("there = parts and key is not null and key = key2")
+    product = F.when(F.col("power") != 0, (F.col("logs") - F.col("constant")) / F.col("power"))
+    total = F.when((F.col("open") != 0) & (-F.col("clear") / F.col("open") > 0), -F.log(-F.col("clear") / F.col("open")))
+    weight = F.when(F.col("kind") == "product", F.col("power") * F.col("power")).otherwise(1.0) / PRINT_ERROR**2
+    obs = F.concat_ws(" ", F.lit("column"), "table_id", "col_idx", "n")
+    return each.select("key", obs.alias("obs"), F.when(F.col("kind") == "product", product).otherwise(total).alias("printed"), weight.alias("weight")).filter("printed is not null")
+
+
+def _settle(figures: DataFrame, open_: DataFrame) -> DataFrame:
+    """cell_id, word, scale, unique of the figures that statements leave open, solved by identities.
+
+    Every figure's combinations become options; figures of one table with the same options share one choice. Observations are what a
+    column's identities say, and how the issuer's clear figures (else all issuers') under the same label compare in size.
+    """
+    clear = figures.filter(F.col("word").isNotNull() & (F.size("scales") == 1) & F.col("label").isNotNull()).join(open_.select("label").distinct(), "label", "left_semi")
+    fact = _fact(F.col("word"))
+    size = _size(F.col("places"), F.col("digits")) + fact["log"] + F.log(F.col("scales")[0])
+    seen = clear.select("cik", "label", "word", fact["unit"].alias("unit"), size.alias("x")).groupBy("cik", "label", "unit", "word").agg(F.count("*").alias("n"), F.count("x").alias("nx"), F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"))
+    seen = cut(seen)
+    # the dimension that the label has elsewhere, and one word for every size of unit it is said in
+    sizes = seen.groupBy("label", "unit", _fact(F.col("word"))["log"].alias("log")).agg(F.sum("n").alias("n"), F.min("word").alias("word"))
+    dims = sizes.groupBy("label", "unit").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list("word")).alias("words"))
+    dims = dims.groupBy("label").agg(F.max_by(F.struct("unit", "words"), F.struct("n", "unit")).alias("d"), (F.max("n") >= F.sum("n") * DIMENSION).alias("one"))
+    o = open_.join(dims, "label", "left")
+    words = F.when(F.col("word").isNotNull(), F.array("word")).otherwise(F.coalesce(F.col("d.words"), F.array(F.lit("usd"))))
+    usual = F.when(F.col("word").isNotNull(), F.col("word")).when(F.col("d").isNull() | (F.col("d.unit") == "USD"), "usd").otherwise(F.col("d.words")[0])
+    o = o.withColumns({"_words": words, "_usual": usual})
+    o = o.withColumn("unit", _fact(F.col("_usual"))["unit"]).withColumn("sure", F.col("word").isNotNull() | F.coalesce("one", F.lit(False)))
+    o = o.withColumn("_alone", F.size("scales") == 0)
+    free = F.when(F.col("unit").isin(OWN_SCALE), F.array(F.lit(1.0))).otherwise(F.array(*map(F.lit, POSSIBLE)))
+    o = o.withColumn("_scales", F.when(F.col("_alone"), free).otherwise(F.col("scales")))
+    pairs = F.flatten(F.transform("_words", lambda w: F.transform("_scales", lambda s: F.struct(w.alias("word"), s.alias("scale")))))
+    o = o.withColumn("options", pairs).withColumn("key", F.concat_ws("|", F.coalesce(F.col("table_id").cast("string"), F.lit("")), F.to_json("options"), F.col("_usual")))
+    o = cut(o.select("cell_id", "cik", "table_id", "col_idx", "label", "digits", "places", "unit", "sure", "_alone", "_usual", "options", "key"))
+    moments = lambda *by: seen.groupBy(*by).agg((F.sum("sx") / F.sum("nx")).alias("mean"), F.greatest(F.sum("sxx") / F.sum("nx") - F.pow(F.sum("sx") / F.sum("nx"), 2), F.lit(LEAST_SPREAD**2)).alias("spread")).filter("mean is not null")
+    own = moments("cik", "label", "unit").select("cik", "label", "unit", F.struct("mean", "spread").alias("own"))
+    every = moments("label", "unit").select("label", "unit", F.struct("mean", "spread").alias("every"))
+    yard = o.join(own, ["cik", "label", "unit"], "left").join(every, ["label", "unit"], "left").withColumn("y", F.coalesce("own", "every"))
+    yard = yard.select("key", F.concat_ws(" ", F.lit("size"), "cell_id").alias("obs"), (_size(F.col("places"), F.col("digits")) - F.col("y.mean")).alias("printed"), (1.0 / F.col("y.spread")).alias("weight")).filter("printed is not null")
+    observed = yard.unionByName(_column_observations(figures, o))
+    values = observed.select("key", "obs", "weight", F.explode(F.array(F.struct(F.lit("printed").alias("quantity"), F.col("printed").alias("log_value")), F.struct(F.lit("known").alias("quantity"), F.lit(0.0).alias("log_value")))).alias("v")).select("key", "obs", "weight", "v.*")
+    keys = o.select("key", "options", "_alone", "_usual").distinct()
+    each = keys.select("key", F.explode("options").alias("x"))
+    none = F.struct(F.lit("").alias("word"), F.lit(1.0).alias("scale"))
+    candidates = each.select("key", F.lit("printed").alias("quantity"), F.col("x").alias("option"), (_fact(F.col("x.word"))["log"] + F.log("x.scale")).alias("log_factor")).unionByName(keys.select("key", F.lit("known").alias("quantity"), none.alias("option"), F.lit(0.0).alias("log_factor")))
+    solved = solve_combinations(values, candidates, ["key"], [{"printed": 1.0, "known": -1.0}]).select("key", F.col("choice")["printed"].alias("best"), "unique")
+    out = o.select("cell_id", "key", "sure", "_alone", "_usual", "options").join(solved, "key", "left")
+    # where nothing is stated and the best isn't the only one, the usual unit and scale stay
+    kept = F.when(F.col("unique") | ~F.col("_alone"), F.col("best")).otherwise(F.struct(F.col("_usual").alias("word"), F.lit(1.0).alias("scale")))
+    return out.select("cell_id", kept.alias("b"), (F.col("unique") & F.col("sure")).alias("unique")).select("cell_id", "b.word", "b.scale", "unique")
+
+
+def common_units(cells: DataFrame, tables: DataFrame, filings: DataFrame) -> DataFrame:
+    """One row per non-header cell that states a figure: cell_id, unit, amount_milli, unique, solved.
+
+    Cells whose table or filing is missing go by what cell and row say. `solved` tells that statements left the figure open, so that
+    identities decided; `unique` is false where another combination fits them as well. An unknown unit word is taken for money. An
+    amount that a bigint can't hold is null. Repeated cell ids give repeated rows, and so do those of tables and filings; null ids never join.
+    """
+    figures = cut(_statements(cells, tables, filings))  # parsed once
+    left_open = F.col("word").isNull() | (F.size("scales") != 1)
+    clear = figures.filter(~left_open).select("cell_id", "digits", "places", "negative", "word", F.col("scales")[0].alias("scale"), F.lit(True).alias("unique"), F.lit(False).alias("solved"))
+    # rows of one cell id that differ are solved apart
+    rest = figures.filter(left_open)
+    if rest.isEmpty():
+        every = clear
+    else:
+        rest = cut(rest.withColumn("own", F.col("cell_id")).withColumn("cell_id", F.monotonically_increasing_id()))
+        found = _settle(figures.filter(~left_open).withColumn("cell_id", F.lit(None).cast("bigint")).unionByName(rest.drop("own")), rest.drop("own"))
+        solved = rest.select("cell_id", "own", "digits", "places", "negative").join(found, "cell_id")
+        every = clear.unionByName(solved.select(F.col("own").alias("cell_id"), "digits", "places", "negative", "word", "scale", "unique", F.lit(True).alias("solved")))
+    every = with_amounts(every.withColumn("unit", _fact(F.col("word"))["unit"]))
+    return every.select("cell_id", "unit", "amount_milli", "unique", "solved")

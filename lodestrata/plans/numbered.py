@@ -11,8 +11,7 @@ from lodestrata.session import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = units.common_units(table(spark, d, "table_cells"), table(spark, d, "fin_tables"), table(spark, d, "filings"), judged=False)
-    return found.select("cell_id", "unit", "amount_milli")
+    return p1_amounts(spark, d).select("cell_id", "unit", "amount_milli")
 
 
 def p1_amounts(spark: SparkSession, d: str) -> DataFrame:
@@ -20,8 +19,8 @@ def p1_amounts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_by_unit(spark: SparkSession, d: str) -> DataFrame:
-    """Figures and ambiguous figures per common unit."""
-    return p1_amounts(spark, d).groupBy("unit").agg(F.count("*").alias("figures"), F.count_if(~F.col("unique")).alias("ambiguous"))
+    """Figures, those that identities decided, and ambiguous ones per common unit."""
+    return p1_amounts(spark, d).groupBy("unit").agg(F.count("*").alias("figures"), F.count_if("solved").alias("solved"), F.count_if(~F.col("unique")).alias("ambiguous"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

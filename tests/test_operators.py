@@ -1,3 +1,4 @@
+import decimal
 import math
 import random
 
@@ -290,8 +291,9 @@ def test_proximity_of_nothing(spark):
     [("1,234.5", "1234.5"), ("(12)", "-12"), ("−3.5", "-3.5"), ("$ 7", "7"), ("12(1)", "12"), ("12*", "12"), ("1.5 million", "1.5"), ("—", None), ("n/a", None), ("see note 3", None), ("", None), (None, None), ("48.2%", "48.2")],
 )
 def test_parse_figures(spark, raw, figure):
-    got = units.parse_figures(spark.createDataFrame([(raw,)], "raw string")).first().figure
-    assert (None if got is None else float(got)) == (None if figure is None else float(figure))
+    r = units.parse_figures(spark.createDataFrame([(raw,)], "raw string")).first()
+    got = None if r.digits is None else (-1 if r.negative else 1) * int(r.digits) / 10**r.places
+    assert got == (None if figure is None else float(figure))
 
 
 CELL = "cell_id long, cik string, table_id long, row_idx int, row_label string, row_unit string, row_scale double, col_idx int, raw string, is_header boolean, unit string"
@@ -312,15 +314,86 @@ def test_levels_of_statements(spark):
     assert units.common_units(cells.limit(0), t, f).count() == 0
 
 
-def test_unstated_scales_are_flagged_unless_confirmed(spark):
-    """With no scale stated anywhere the figure stays as printed, and is unique only if the issuer's clear figures agree."""
-    cells = [(1, "a", 1, "Sales", "5,000,000"), (2, "a", 2, "Sales", "5.1"), (3, "a", 3, "Sales", "4,900,000"), (4, "a", 3, "Rent", "70"), (5, "a", 9, "Sales", "5,050,000"), (6, "a", 1, "Margin", "7 %")]
-    df = spark.createDataFrame([(i, c, t, la, None, None, raw, False) for i, c, t, la, raw in cells], "cell_id long, cik string, table_id long, row_label string, row_unit string, row_scale double, raw string, is_header boolean")
-    t = spark.createDataFrame([(1, 1, "Results", 1.0, "USD"), (2, 2, "Results", None, "USD"), (3, 2, "Results", None, "USD")], "id long, document_id long, caption string, scale_hint double, unit string")
+def rounded(value):
+    return int(value.to_integral_value(decimal.ROUND_HALF_UP)) if value >= 0 else -int((-value).to_integral_value(decimal.ROUND_HALF_UP))
+
+
+def test_amounts_are_exact_for_every_unit_at_every_scale(spark):
+    """No rounding before scaling, no overflow: amounts equal unlimited decimals, or are null beyond a bigint."""
+    rows, want = [], {}
+    with decimal.localcontext(decimal.Context(prec=200)):
+        for raw, number in (("1.2", "1.2"), ("1.23456", "1.23456"), ("0.00004", "0.00004"), ("(999,999,999,999,999.5)", "-999999999999999.5"), ("12345678901234567890123.4567", "12345678901234567890123.4567"), ("0", "0"), ("0.0005", "0.0005")):
+            for word, (unit, milli) in units.UNITS.items():
+                for scale in (1.0, 1e3, 1e6, 1e9, 1e12, 2.5, 0.01):
+                    top, _, bottom = milli.partition("/")
+                    value = decimal.Decimal(number) * decimal.Decimal(str(scale)) * decimal.Decimal(top) / decimal.Decimal(bottom or 1)
+                    rows.append((len(rows), "c", 1, 0, "x", word, scale, 0, raw, False, ""))
+                    want[len(rows) - 1] = (unit, rounded(value) if abs(value) < 9.2e18 else None)
+    t = spark.createDataFrame([], "id long, document_id long, caption string, scale_hint double, unit string")
+    f = spark.createDataFrame([], "id long, scale_hint double")
+    got = {r.cell_id: (r.unit, r.amount_milli) for r in units.common_units(spark.createDataFrame(rows, CELL), t, f).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize(
+    ("raw", "unit", "milli"),
+    [("1.2 trillion", "USD", 1_200_000_000_000_000), ("1 billion tonnes", "kg", 10**15), ("2 million GWh", "kWh", 2 * 10**15), ("1.23456 billion", "USD", 1_234_560_000_000), ("0.00004", "USD", 0), ("90 trillion short tons", "kg", None)],
+)
+def test_large_and_small_figures(spark, raw, unit, milli):
+    t = spark.createDataFrame([(1, 1, "Results", 1.0, "USD")], "id long, document_id long, caption string, scale_hint double, unit string")
+    f = spark.createDataFrame([(1, 1.0)], "id long, scale_hint double")
+    r = units.common_units(spark.createDataFrame([(1, "c", 1, 0, "Sales", None, None, 0, raw, False, "")], CELL), t, f).first()
+    assert (r.unit, r.amount_milli) == (unit, milli)
+
+
+FIGURES = "cell_id long, cik string, table_id long, row_label string, row_unit string, row_scale double, raw string, is_header boolean, col_idx int"
+TABLES = "id long, document_id long, caption string, scale_hint double, unit string"
+
+
+def test_unstated_scales_are_found_or_flagged(spark):
+    """With no scale stated the size of the issuer's other figures decides; where it can't, the figure stays as printed and is flagged."""
+    cells = [(1, "a", 1, "Sales", "5,000,000"), (2, "a", 2, "Sales", "5.1"), (3, "a", 3, "Sales", "4,900,000"), (4, "a", 4, "Rent", "70"), (5, "a", 9, "Sales", "5,050,000"), (6, "a", 1, "Margin", "7 %"), (7, "b", 5, "Odd label", "0")]
+    df = spark.createDataFrame([(i, c, t, la, None, None, raw, False, 0) for i, c, t, la, raw in cells], FIGURES)
+    t = spark.createDataFrame([(1, 1, "Results", 1.0, "USD"), *[(n, 2, "Results", None, "USD") for n in (2, 3, 4, 5)]], TABLES)
     f = spark.createDataFrame([(1, 1e3), (2, None)], "id long, scale_hint double")
-    got = {r.cell_id: (r.amount_milli, r.unique) for r in units.common_units(df, t, f).collect()}
-    assert got == {1: (5_000_000_000, True), 2: (5100, False), 3: (4_900_000_000, True), 4: (70_000, False), 5: (5_050_000_000, True), 6: (7000, True)}
-    assert {r.cell_id: r.amount_milli for r in units.common_units(df, t, f, judged=False).collect()} == {i: amount for i, (amount, _) in got.items()}
+    got = {r.cell_id: (r.amount_milli, r.unique, r.solved) for r in units.common_units(df, t, f).collect()}
+    assert got == {
+        1: (5_000_000_000, True, False), 2: (5_100_000_000, True, True), 3: (4_900_000_000, True, True), 4: (70_000, False, True), 5: (5_050_000_000, True, True), 6: (7000, True, False), 7: (0, False, True)
+    }
+
+
+def test_a_column_s_identities_settle_contradictory_statements(spark):
+    """The table says thousands and millions. Net earnings = earnings per share x shares, and sales = costs + profit, tell which; without them neither."""
+    rows = [
+        (1, "a", 1, "Net earnings", None, None, "20", 0), (2, "a", 1, "Diluted earnings per share", "per_share", None, "2.00", 0), (3, "a", 1, "Diluted weighted shares", "shares", 1e6, "10", 0), (4, "a", 1, "Rent", None, None, "3", 0),
+        (5, "b", 2, "Net sales", None, None, "50", 1), (6, "b", 2, "Cost of goods sold", None, None, "30 thousand", 1), (7, "b", 2, "Gross profit", None, None, "20 thousand", 1), (8, "c", 3, "Net earnings", None, None, "20", 0),
+    ]
+    df = spark.createDataFrame([(i, c, t, la, u, s, raw, False, k) for i, c, t, la, u, s, raw, k in rows], FIGURES)
+    t = spark.createDataFrame([(n, 1, "Results (in millions)", 1e3, "USD") for n in (1, 2, 3)], TABLES)
+    f = spark.createDataFrame([(1, 1.0)], "id long, scale_hint double")
+    got = {r.cell_id: (r.amount_milli, r.unique, r.solved) for r in units.common_units(df, t, f).collect()}
+    assert got[1] == (20_000_000_000, True, True) and got[4] == (3_000_000_000, True, True)  # one choice for the table
+    assert got[5] == (50_000_000, True, True) and got[6][2] is False
+    assert got[8][1:] == (False, True)  # nothing to hold it against
+
+
+def test_the_dimension_that_a_label_has_elsewhere(spark):
+    rows = [(1, "a", 1, "Gas fired", "MWh", 1.0, "5,000"), (2, "a", 1, "Gas fired", "GWh", 1.0, "5.5"), (3, "a", 2, "Gas fired", None, 1.0, "5.2"), (4, "a", 2, "Yard", None, 1.0, "9"), (5, "b", 3, "Gas fired", None, 1.0, "0")]
+    df = spark.createDataFrame([(i, c, t, la, u, s, raw, False, 0) for i, c, t, la, u, s, raw in rows], FIGURES)
+    t = spark.createDataFrame([(n, 1, None, None, None) for n in (1, 2, 3)], TABLES)
+    f = spark.createDataFrame([(1, None)], "id long, scale_hint double")
+    got = {r.cell_id: (r.unit, r.amount_milli, r.unique) for r in units.common_units(df, t, f).collect()}
+    assert got[3] == ("kWh", 5_200_000_000, True) and got[4] == ("USD", 9000, False) and got[5][0] == "kWh" and not got[5][2]
+
+
+def test_units_of_odd_input(spark):
+    """Nulls anywhere, repeated rows, long texts and clashing columns give defined results."""
+    rows = [(None, None, None, None, None, None, "5", False, None), (1, "a", None, "x", None, float("nan"), "6", False, 0), (1, "a", None, "x", None, float("nan"), "6", False, 0), (2, "a", 1, "x" * 50_000, None, -1.0, "7" * 3000, False, 0), (3, "a", 1, "", "", 0.0, "x\x015\x01", False, 0), (4, "a", 1, "x", "furlongs", None, "8", None, 0)]
+    df = spark.createDataFrame(rows, FIGURES).selectExpr("*", "1 as unit", "2 as word", "3 as scale")
+    t = spark.createDataFrame([(1, None, None, float("inf"), None), (None, None, None, 1e3, "kWh")], TABLES)
+    f = spark.createDataFrame([(None, 1e6)], "id long, scale_hint double")
+    got = sorted((r.cell_id or 0, r.amount_milli) for r in units.common_units(df, t, f).collect())
+    assert got[:3] == [(0, 5000), (1, 6000), (1, 6000)] and got[3:] == [(2, None)]
 
 
 def test_identities_pick_the_units(spark):
