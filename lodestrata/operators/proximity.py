@@ -1,8 +1,11 @@
-"""Complete radius joins on the sphere: Voronoi cells around pivots, replication by the triangle inequality, and a
-vantage-point tree per cell block with the exact great-circle metric.
-
-Equal places are joined once and expanded at the end. A cell that holds more places than a block is cut into blocks, and pairs
-of blocks are tasks of their own, so that no task's input grows with a hot place.
+"""Complete radius joins on the sphere: Voronoi cells around pivots in levels, replication by the triangle inequality, and a
+vantage-point tree per cell with the exact great-circle metric.
+
+Pivots are sampled in proportion to the places and arranged in a tree (pivots of pivots), so that a leaf cell holds about as many places
+at every size, and a place is compared with a few dozen pivots a level. A partner within reach of a place lies, at every level,
+no more than twice the reach farther from the place's own pivot than from its nearest: it is sent to all such cells, and the join is complete.
+Equal places are joined once and expanded at the end. Only a cell that its pivots could not divide is cut into blocks that meet
+pairwise, so that no task's input grows with a hot place. Places are told apart by their coordinates, never by a hash.
 """
 
 from __future__ import annotations
@@ -20,6 +23,10 @@ from lodestrata.session import cut
 RADIUS_M = 6_371_000.0
 #: Metres by which a chord computed in double precision and the haversine formula may differ, with room to spare.
 SLACK_M = 0.01
+#: The same for distances to pivots, which may be half the globe away.
+LEVEL_SLACK_M = 1.0
+#: Left places that a cell should hold, places of either side in one task at most, and pivots at most.
+LEAF, BLOCK, MOST_PIVOTS = 1500, 6000, 200_000
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -63,22 +70,61 @@ def _metres(vectors: np.ndarray, to: np.ndarray) -> np.ndarray:
     return 2.0 * RADIUS_M * np.arcsin(np.minimum(1.0, chord / 2.0))
 
 
-def choose_pivots(places: DataFrame, pivots: int, seed: int = 7) -> np.ndarray:
-    """Up to `pivots` distinct places by smallest hash, as unit vectors: a bounded sample, the same on every run."""
+class PivotTree:
+    """Pivots in levels: every node has up to FAN of them, each with a node of its own below; the lowest level's pivots are the cells."""
+
+    FAN = 48
+
+    def __init__(self, pivots: np.ndarray) -> None:
+        self.cells = 0
+        self.root = self._build(pivots)
+
+    def _build(self, pivots: np.ndarray):
+        if len(pivots) <= self.FAN:
+            first = self.cells
+            self.cells += len(pivots)
+            return pivots, first, None
+        top = pivots[: self.FAN]
+        home = np.concatenate([_metres(pivots[i : i + 4096], top).argmin(axis=1) for i in range(0, len(pivots), 4096)])
+        if np.bincount(home).max() == len(pivots):  # nothing tells them apart
+            first = self.cells
+            self.cells += 1
+            return top[:1], first, None
+        there = [k for k in range(len(top)) if (home == k).any()]
+        return top[there], -1, [self._build(pivots[home == k]) for k in there]
+
+    def assign(self, vectors: np.ndarray, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, cell, home). Without reach every row goes to its home cell; with it, also to every cell that a partner within `reach`
+        metres may call home: at each level d(row, pivot) - d(row, nearest) <= 2 reach."""
+        rows, cells, homes = [], [], []
+        stack = [(self.root, np.arange(len(vectors)), np.ones(len(vectors), bool))]
+        while stack:
+            (pivots, first, below), own, home = stack.pop()
+            d = _metres(vectors[own], pivots)
+            nearest = d.argmin(axis=1)
+            if reach is None:
+                i, j = np.arange(len(own)), nearest
+            else:
+                i, j = np.nonzero(d - d.min(axis=1)[:, None] <= 2.0 * (reach[own][:, None] + LEVEL_SLACK_M))
+            at_home = home[i] & (j == nearest[i])
+            if below is None:
+                rows.append(own[i]), cells.append(first + j), homes.append(at_home)
+                continue
+            order = np.argsort(j, kind="stable")
+            i, j, at_home = i[order], j[order], at_home[order]
+            edges = np.searchsorted(j, np.arange(len(pivots) + 1))
+            stack += [(below[k], own[i[edges[k] : edges[k + 1]]], at_home[edges[k] : edges[k + 1]]) for k in range(len(pivots)) if edges[k] < edges[k + 1]]
+        return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+
+
+def choose_pivots(places: DataFrame, leaf: int = LEAF, most: int = MOST_PIVOTS, seed: int = 7) -> PivotTree:
+    """A tree of about one pivot per `leaf` places, `most` at most: a bounded sample by hash, the same on every run."""
+    n = max(1, min(most, math.ceil(places.count() / leaf)))
     order = F.xxhash64("lat", "lon", F.lit(seed))
-    rows = places.select("lat", "lon").distinct().orderBy(order, "lat", "lon").limit(pivots).toPandas()
+    rows = places.select("lat", "lon", order.alias("h")).orderBy("h", "lat", "lon").limit(n).toPandas()
     if rows.empty:
         rows = pd.DataFrame({"lat": [0.0], "lon": [0.0]})
-    return _unit_vectors(rows.lat.to_numpy(float), rows.lon.to_numpy(float))
-
-
-def _home_cells(vectors: np.ndarray, pivots: np.ndarray, reach: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell) pairs. Without reach every row goes to its nearest pivot; with it, also to every cell that a partner
-    within `reach` metres may call home: d(row, pivot) - d(row, nearest) <= 2 reach."""
-    d = _metres(vectors, pivots)
-    if reach is None:
-        return np.arange(len(vectors)), d.argmin(axis=1)
-    return np.nonzero(d - d.min(axis=1)[:, None] <= 2.0 * (reach[:, None] + SLACK_M))
+    return PivotTree(_unit_vectors(rows.lat.to_numpy(float), rows.lon.to_numpy(float)))
 
 
 class VantageTree:
@@ -125,58 +171,80 @@ class VantageTree:
         return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
-def _assign(places: DataFrame, pivots: np.ndarray, reach_column: str | None) -> DataFrame:
-    """place, lat, lon, reach -> one row per cell that needs it."""
+def _assigned(places: DataFrame, tree, reach: Column | None) -> DataFrame:
+    """Adds cell and home: one row per cell that needs the place; `tree` is a broadcast PivotTree."""
+    apart = reach is None
+    df = places if apart else places.withColumn("reach", reach)
 
     def cells(batches):
         for pdf in batches:
-            parts = []
-            for start in range(0, len(pdf), 8192):
-                some = pdf.iloc[start : start + 8192]
-                v = _unit_vectors(some.lat.to_numpy(float), some.lon.to_numpy(float))
-                i, c = _home_cells(v, pivots, None if reach_column is None else some[reach_column].to_numpy(float))
-                part = some.iloc[i].copy()
-                part["cell"] = c.astype(np.int32)
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts)
-
-    return places.mapInPandas(cells, T.StructType([*places.schema.fields, T.StructField("cell", T.IntegerType())]))
-
-
-def radius_candidates(left: DataFrame, right: DataFrame, reach_m: float, pivots: int = 256, block: int = 4000) -> DataFrame:
-    """All (left place, right place) pairs that may lie within reach: lplace, rplace.
-
-    left: place, lat, lon, one row per place; right: place, lat, lon, extra (metres by which the right thing extends from its
-    point). Complete: pairs nearer than reach_m + extra are all there; a caller's exact test follows. Empty inputs give no rows.
-    `pivots` bounds the broadcast pivots, `block` the places of either side in one task.
-    """
-    chosen = choose_pivots(left, pivots)
-    homes = _assign(left.select("place", "lat", "lon"), chosen, None)
-    copies = _assign(right.select("place", "lat", "lon", "extra", (F.col("extra") + F.lit(float(reach_m))).alias("reach")), chosen, "reach")
-    # blocks: every left block of a cell meets every right block of it; the number of either is known from counts, one row a cell
-    nl = homes.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nl"))
-    nr = copies.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("nr"))
-    grid = F.broadcast(nl.join(nr, "cell"))  # at most one row a pivot
-    lb = F.pmod(F.xxhash64("place"), F.col("nl")).cast("int")
-    rb = F.pmod(F.xxhash64("place"), F.col("nr")).cast("int")
-    ls = homes.join(grid, "cell").select(F.lit(0).alias("side"), "place", "lat", "lon", F.lit(0.0).alias("reach"), "cell", lb.alias("lb"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rb"))
-    rs = copies.join(grid, "cell").select(F.lit(1).alias("side"), "place", "lat", "lon", "reach", "cell", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("lb"), rb.alias("rb"))
+            if len(pdf):
+                v = _unit_vectors(pdf.lat.to_numpy(float), pdf.lon.to_numpy(float))
+                i, c, h = tree.value.assign(v, None if apart else pdf.reach.to_numpy(float))
+                yield pdf.iloc[i].assign(cell=c.astype(np.int32), home=h)
+
+    return df.mapInPandas(cells, T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType())]))
+
+
+def _blocks(homes: DataFrame, copies: DataFrame, block: int) -> DataFrame:
+    """cell, nl, nr of the cells that hold more than `block` places of either side: one row per such cell."""
+    counts = [df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((homes, "nl"), (copies, "nr"))]
+    return counts[0].join(counts[1], "cell").filter("nl > 1 or nr > 1")
+
+
+def _met(homes: DataFrame, copies: DataFrame, payload: list[str], block: int, once: bool) -> DataFrame:
+    """llat, llon and the payload of the copies within reach. homes, copies: rows of `_assigned` (cut, as they are read twice)."""
+    cuts = _blocks(homes, copies, block)
+    lot = F.xxhash64("lat", "lon")  # any spread will do
+    nl, nr = F.coalesce("nl", F.lit(1)), F.coalesce("nr", F.lit(1))
+    ls = homes.select("cell", "lat", "lon").join(cuts, "cell", "left")
+    rs = copies.select("cell", "lat", "lon", "reach", *payload).join(cuts, "cell", "left")
+    ls = ls.select(F.lit(0).alias("side"), "cell", "lat", "lon", F.pmod(lot, nl).cast("int").alias("lb"), F.explode(F.sequence(F.lit(0), nr - 1)).alias("rb"))
+    rs = rs.select(F.lit(1).alias("side"), "cell", "lat", "lon", "reach", *payload, F.explode(F.sequence(F.lit(0), nl - 1)).alias("lb"), F.pmod(lot, nr).cast("int").alias("rb"))
+    out = T.StructType([T.StructField("llat", T.DoubleType()), T.StructField("llon", T.DoubleType()), *[copies.schema[c] for c in payload]])
+    names = out.fieldNames()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf.side == 0], pdf[pdf.side == 1]
         if a.empty or b.empty:
-            return pd.DataFrame({"lplace": np.empty(0, np.int64), "rplace": np.empty(0, np.int64)})
+            return pd.DataFrame({n: pdf[n if n in pdf else n[1:]].iloc[:0] for n in names})
         tree = VantageTree(_unit_vectors(a.lat.to_numpy(float), a.lon.to_numpy(float)))
         i, j = tree.within(_unit_vectors(b.lat.to_numpy(float), b.lon.to_numpy(float)), b.reach.to_numpy(float))
-        return pd.DataFrame({"lplace": a.place.to_numpy()[j], "rplace": b.place.to_numpy()[i]})
+        la, lo = a.lat.to_numpy(float)[j], a.lon.to_numpy(float)[j]
+        if once:  # of a pair and its mirror the one whose left place is the smaller; equal places meet themselves
+            ra, ro = b.lat.to_numpy(float)[i], b.lon.to_numpy(float)[i]
+            keep = (la < ra) | (la == ra) & (lo <= ro)
+            i, la, lo = i[keep], la[keep], lo[keep]
+        return pd.DataFrame({"llat": la, "llon": lo, **{c: b[c].to_numpy()[i] for c in payload}})
 
-    return ls.unionByName(rs).groupBy("cell", "lb", "rb").applyInPandas(meet, "lplace long, rplace long")
+    return ls.unionByName(rs, allowMissingColumns=True).groupBy("cell", "lb", "rb").applyInPandas(meet, out)
 
 
-def places_of(points: DataFrame) -> DataFrame:
-    """Distinct (lat, lon) with a 64-bit key from them."""
-    return points.select("lat", "lon").distinct().withColumn("place", F.xxhash64("lat", "lon"))
+def radius_candidates(left: DataFrame, right: DataFrame, reach_m: float, payload: list[str], leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """All (left place, right thing) pairs that may lie within reach: llat, llon and the right thing's `payload` columns.
+
+    left: lat, lon, one row per place; right: lat, lon, extra (metres by which the right thing extends from its point) and the
+    payload. Complete: pairs nearer than reach_m + extra are all there; a caller's exact test follows. Empty inputs give no rows.
+    `leaf` is the number of left places a cell should hold, `block` the most of either side in one task.
+    """
+    tree = left.sparkSession.sparkContext.broadcast(choose_pivots(left, leaf))  # at most MOST_PIVOTS vectors
+    homes = cut(_assigned(left.select("lat", "lon"), tree, None))
+    copies = cut(_assigned(right.select("lat", "lon", "extra", *[c for c in payload if c not in ("lat", "lon", "extra")]), tree, F.col("extra") + F.lit(float(reach_m))))
+    return _met(homes, copies, payload, block, once=False)
+
+
+def _places(points: DataFrame) -> DataFrame:
+    """Distinct (lat, lon); zeros without a sign, lest one place be two."""
+    return points.select((F.col("lat") + 0.0).alias("lat"), (F.col("lon") + 0.0).alias("lon")).distinct()
+
+
+def _placed(points: DataFrame, key: str, side: str) -> DataFrame:
+    return points.select(key, (F.col("lat") + 0.0).alias(f"{side}lat"), (F.col("lon") + 0.0).alias(f"{side}lon"))
+
+
+def _exact(near: DataFrame, radius_m: float) -> DataFrame:
+    metres = haversine(F.col("llat"), F.col("llon"), F.col("rlat"), F.col("rlon"))
+    return near.withColumn("metres", metres).filter(F.col("metres") <= radius_m)
 
 
 def pairs_within(left: DataFrame, right: DataFrame, radius_m: float, **sizes) -> DataFrame:
@@ -185,15 +253,26 @@ def pairs_within(left: DataFrame, right: DataFrame, radius_m: float, **sizes) ->
     Rows without coordinates match nothing; repeated rows match as often as they occur.
     """
     left, right = left.filter("lat is not null and lon is not null"), right.filter("lat is not null and lon is not null")
-    lp, rp = places_of(left), places_of(right)
-    near = radius_candidates(lp, rp.withColumn("extra", F.lit(0.0)), radius_m, **sizes)
-    lc = left.select("lid", F.col("lat").alias("la"), F.col("lon").alias("lo"), F.xxhash64("lat", "lon").alias("lplace"))
-    rc = right.select("rid", F.col("lat").alias("ra"), F.col("lon").alias("ro"), F.xxhash64("lat", "lon").alias("rplace"))
-    exact = near.join(lp.select(F.col("place").alias("lplace"), F.col("lat").alias("la"), F.col("lon").alias("lo")), "lplace")
-    exact = exact.join(rp.select(F.col("place").alias("rplace"), F.col("lat").alias("ra"), F.col("lon").alias("ro")), "rplace")
-    metres = haversine(F.col("la"), F.col("lo"), F.col("ra"), F.col("ro"))
-    exact = exact.select("lplace", "rplace", metres.alias("metres")).filter(F.col("metres") <= radius_m)
-    return exact.join(lc.select("lid", "lplace"), "lplace").join(rc.select("rid", "rplace"), "rplace").select("lid", "rid", "metres")
+    rp = _places(right).withColumns({"extra": F.lit(0.0), "rlat": F.col("lat"), "rlon": F.col("lon")})
+    exact = _exact(radius_candidates(cut(_places(left)), rp, radius_m, ["rlat", "rlon"], **sizes), radius_m)
+    return exact.join(_placed(left, "lid", "l"), ["llat", "llon"]).join(_placed(right, "rid", "r"), ["rlat", "rlon"]).select("lid", "rid", "metres")
+
+
+def self_pairs_within(points: DataFrame, radius_m: float, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """Pairs of one set of points (id, lat, lon), each pair once: a_id < b_id, metres by haversine, inclusive.
+
+    Every place is assigned once, to its home and the cells in reach. Rows without coordinates match nothing; of rows with one id
+    none matches another.
+    """
+    points = points.filter("lat is not null and lon is not null")
+    places = cut(_places(points))
+    tree = points.sparkSession.sparkContext.broadcast(choose_pivots(places, leaf))
+    every = cut(_assigned(places.withColumns({"rlat": F.col("lat"), "rlon": F.col("lon")}), tree, F.lit(float(radius_m))))
+    exact = _exact(_met(every.filter("home"), every, ["rlat", "rlon"], block, once=True), radius_m)
+    both = exact.join(_placed(points, "id", "l").withColumnRenamed("id", "x"), ["llat", "llon"]).join(_placed(points, "id", "r").withColumnRenamed("id", "y"), ["rlat", "rlon"])
+    # within one place both orders of two rows come up, of which one is kept
+    both = both.filter((F.col("x") < F.col("y")) | (F.col("x") > F.col("y")) & ((F.col("llat") != F.col("rlat")) | (F.col("llon") != F.col("rlon"))))
+    return both.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"), "metres")
 
 
 def line_pieces(lines: DataFrame, geom: str = "geom", most_m: float = 200.0) -> DataFrame:
@@ -236,18 +315,15 @@ def nearest_line(points: DataFrame, lines: DataFrame, radius_m: float, **sizes)
     Ties go to the smaller id. Points without coordinates and lines without two vertices match nothing.
     """
     points = points.filter("lat is not null and lon is not null")
-    places = places_of(points)
-    pieces = cut(line_pieces(lines)).withColumn("piece", F.xxhash64("sid", "x1", "y1", "x2", "y2"))
-    middle = F.col("x1") / 2 + F.col("x2") / 2
-    balls = pieces.select(F.col("piece").alias("place"), ((F.col("y1") + F.col("y2")) / 2).alias("lat"), middle.alias("lon"), "x1", "y1", "x2", "y2")
+    pieces = line_pieces(lines).filter("sid is not null")
+    balls = pieces.select("sid", "x1", "y1", "x2", "y2", ((F.col("y1") + F.col("y2")) / 2).alias("lat"), (F.col("x1") / 2 + F.col("x2") / 2).alias("lon"))
     reach = F.greatest(haversine(F.col("lat"), F.col("lon"), F.col("y1"), F.col("x1")), haversine(F.col("lat"), F.col("lon"), F.col("y2"), F.col("x2")))
     # the plane and the sphere differ by a little over a piece's length
-    balls = balls.select("place", "lat", "lon", (reach * 1.02 + 0.02 * radius_m + 1.0).alias("extra")).dropDuplicates(["place"])
-    near = radius_candidates(places, balls, radius_m, **sizes)
-    near = near.join(places.select(F.col("place").alias("lplace"), "lat", "lon"), "lplace").join(pieces.select(F.col("piece").alias("rplace"), "sid", "x1", "y1", "x2", "y2"), "rplace")
-    metres = F.round(plane_metres(F.col("lat"), F.col("lon"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6)
-    best = near.select("lplace", "sid", metres.alias("metres")).filter(F.col("metres") <= radius_m).groupBy("lplace").agg(F.min(F.struct("metres", "sid")).alias("b"))
-    return points.select("lid", F.xxhash64("lat", "lon").alias("lplace")).join(best, "lplace").select("lid", F.col("b.sid").alias("sid"), F.col("b.metres").alias("metres"))
+    balls = balls.withColumn("extra", reach * 1.02 + 0.02 * radius_m + 1.0)
+    near = radius_candidates(cut(_places(points)), balls, radius_m, ["sid", "x1", "y1", "x2", "y2"], **sizes)
+    metres = F.round(plane_metres(F.col("llat"), F.col("llon"), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6)
+    best = near.select("llat", "llon", "sid", metres.alias("metres")).filter(F.col("metres") <= radius_m).groupBy("llat", "llon").agg(F.min(F.struct("metres", "sid")).alias("b"))
+    return _placed(points, "lid", "l").join(best, ["llat", "llon"]).select("lid", F.col("b.sid").alias("sid"), F.col("b.metres").alias("metres"))
 
 
 def located(df: DataFrame, id_column: str, out: str) -> DataFrame:
@@ -259,7 +335,7 @@ def located(df: DataFrame, id_column: str, out: str) -> DataFrame:
 def near_reports(reports: DataFrame, images: DataFrame, segments: DataFrame, report_m: float = 20.0, image_m: float = 30.0, segment_m: float = 50.0, **sizes) -> DataFrame:
     """other_table, report_id, other_id: reports near reports (smaller id first), images near reports, each report's segment."""
     r = cut(located(reports, "id", "lid"))  # parsed once, joined three times
-    pairs = pairs_within(r, r.withColumnRenamed("lid", "rid"), report_m, **sizes).filter("lid < rid")
+    pairs = self_pairs_within(r.withColumnRenamed("lid", "id"), report_m, **sizes).withColumnsRenamed({"a_id": "lid", "b_id": "rid"})
     shots = pairs_within(r, cut(located(images, "id", "rid")), image_m, **sizes)
     on = nearest_line(r, segments, segment_m, **sizes)
     parts = [("reports", pairs, "rid"), ("images", shots, "rid"), ("segments", on, "sid")]

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from lodestrata.functions.numbers import cosine, extent_cm, focal_px, mask_area_m2, rescaled_similarity
 from lodestrata.functions.text import jaccard, report_words
-from lodestrata.operators.proximity import located, pairs_within, point_of
+from lodestrata.operators.proximity import located, point_of, self_pairs_within
 from lodestrata.session import cut
 
 
@@ -52,11 +52,10 @@ def near_pairs(reports: DataFrame, rule: DedupeRule) -> DataFrame:
 
     Reports join by place alone and meet their other columns by equi-joins; those without a usable point have no pairs.
     """
-    points = located(reports, "id", "lid")
-    near = pairs_within(points, points.withColumnRenamed("lid", "rid"), rule.radius_m).filter("lid < rid")
+    near = self_pairs_within(cut(located(reports, "id", "id")), rule.radius_m)
     extra = reports.select("id", F.nullif(F.trim("category"), F.lit("")).alias("category"), "segment_id", "reported_at", "text_embedding", report_words(F.col("description")).alias("words"))
     side = lambda p: extra.select([F.col(c).alias(f"{p}{c}") for c in extra.columns])
-    return near.withColumnsRenamed({"lid": "a_id", "rid": "b_id"}).join(side("a_"), "a_id").join(side("b_"), "b_id")
+    return near.join(side("a_"), "a_id").join(side("b_"), "b_id")
 
 
 def _score(rule: DedupeRule) -> Column:
