@@ -1,9 +1,13 @@
 """Speech transcripts as clean, ordered speaker turns.
 
 Each row is cleaned by itself: garbled characters repaired, time stamps, sound annotations and fillers taken out, labels inside the
-content found. Labels are settled by equi-joins with the spellings of the document's speakers, never by comparing all with all. The
-clock of every file segment (a document's hour of audio) is repaired by isotonic regression. Turns are made in two levels, inside a
-file segment and then over one summary row per segment, so that a document of any length is spread over many tasks.
+content found. Words that may be fillers go only where the words and pauses around them say so. Labels are settled by equi-joins with
+the spellings of the document's speakers, never by comparing all with all.
+
+The clock of a document that was recorded in several files starts anew with each. Restarts are seen in the order of ordinals, every file
+segment is moved behind the one before, and inside the segments starts and ends are made consistent by isotonic regression. Turns are
+made in two levels, inside blocks of a document and then over one summary row per block, so that a document of any length is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -19,23 +23,75 @@ from pyspark.sql.window import Window
 from lodestrata.functions.encoding import repair_text
 from lodestrata.session import cut
 
-#: Rows of a document whose missing start times are filled in one task.
-ORDINALS = 2000
-#: Seconds of audio in a file segment.
-SEGMENT_S = 3600.0
+#: Rows of a document whose missing start times are filled in one task, and rows whose clock is fitted in one.
+ORDINALS, FITTED = 2000, 5000
+#: Seconds of audio in a block.
+BLOCK_S = 3600.0
+#: A file segment begins where the clock falls by more than RESET_S, two rows before against two after, to less than RESTART_S.
+RESET_S, RESTART_S = 600.0, 300.0
 
 _CLOCK = r"\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?"
 #: Time stamps in the notations of transcription tools.
 STAMP = re.compile(rf"[\[(<{{]\s*(?:{_CLOCK}|\d+(?:\.\d+)?\s*s|(?:\d+h)?\d+m\d+s)\s*[\])>}}](?:\s*-->)?|\b{_CLOCK}\b(?:\s*-->(?:\s*{_CLOCK}\b)?)?|-->")
-#: What annotations in round brackets, which also hold ordinary remarks, are about.
-SOUNDS = (
-    "inaudible", "crosstalk", "applause", "laughter", "laughs", "laughing", "laugh", "music", "phone ringing", "ringing", "coughs", "coughing", "cough", "noise",
-    "background noise", "background voices", "pause", "silence", "sighs", "unintelligible", "indiscernible", "foreign language", "technical difficulty", "clears throat", "chuckles", "beep",
-)
-ANNOTATION = re.compile(r"\[[^\]\n]{0,60}\]|<[^>\n]{1,40}>|\{[^}\n]{1,40}\}|\*[a-z ]{2,30}\*|[♪♫][^♪♫\n]{0,60}[♪♫]?|\((?:" + "|".join(sorted(SOUNDS, key=len, reverse=True)) + r")\b[^)\n]{0,40}\)", re.IGNORECASE)
-#: Fillers of one and of several words.
-FILLERS = ("um", "umm", "uh", "uhh", "erm", "er", "ah", "hm", "hmm", "mm", "mhm", "mm-hmm", "uh-huh", "you know", "i mean", "kind of", "sort of")
-FILLER = re.compile(r"(?<![\w'’-])(?:" + "|".join(re.escape(f) for f in sorted(FILLERS, key=len, reverse=True)) + r")(?![\w'’-])(?:\s*[,…—–]|\.{2,})*", re.IGNORECASE)
+#: Words that say what is heard, and words that may stand beside them in an annotation.
+SOUNDS = frozenset(
+    "inaudible crosstalk applause laughter laughs laughing laugh music ringing rings coughs coughing cough noise noises voices pause pauses silence sighs sigh unintelligible indiscernible "
+    "language difficulty difficulties throat chuckles chuckling beep beeps static feedback cheers cheering clapping sneezes gasps".split()
+)
+BESIDE = frozenset("phone background foreign technical clears clearing long short brief loud soft in the and of on line audio a plays playing continues speaking s m".split())
+BRACKETED = re.compile(r"\[([^\[\]\n]*)\]|<([^<>\n]*)>|\{([^{}\n]*)\}|\(([^()\n]*)\)|\*([a-z][a-z ]*)\*", re.IGNORECASE)
+SUNG = re.compile(r"[♪♫][^♪♫\n]*[♪♫]|[♪♫]")
+TAG = re.compile(r"/?[a-z]\w*/?")
+#: Sounds of hesitation, and phrases that are fillers or not.
+HESITATIONS = ("um", "umm", "uh", "uhh", "erm", "er", "ah", "hm", "hmm", "mm", "mhm", "mm-hmm", "uh-huh")
+PHRASES = ("you know", "i mean", "kind of", "sort of")
+FILLER = re.compile(r"(,\s*)?(?<![\w'’-])(" + "|".join(re.escape(f) for f in sorted((*HESITATIONS, *PHRASES), key=len, reverse=True)) + r")(?![\w'’-])((?:\s*[,…—–]|\.{2,})*)", re.IGNORECASE)
+#: Words before or behind which a phrase is part of the sentence: determiners before a kind or sort of something, auxiliaries,
+#: conjunctions and question words before a clause's own verb, and what such a verb takes behind it.
+DETERMINERS = frozenset("what which a an the this that these those any some every each no same other another certain new different right wrong one all first only such many several various our your their his her its my".split())
+BEFORE_VERB = frozenset("do does did don't didn't doesn't don’t didn’t doesn’t if as what that let whether how when since because all would could should can may might will to which who whom whatever everything before once unless where why".split())
+BEHIND_VERB = frozenset("what that how why who where when whether if about it him her them the this these those which our your my by to business".split())
+_LAST = re.compile(r"([\w'’]*)([^\w'’]*)$")
+_NEXT = re.compile(r"\s*([\w'’]*)")
+
+
+def _annotation(match: re.Match) -> str:
+    """Nothing for brackets that hold sounds alone, or a mark-up tag; all else is speech and stays."""
+    inner = next(g for g in match.groups() if g is not None).lower()
+    words = re.findall(r"[^\W\d_]+", inner)
+    sound = any(w in SOUNDS for w in words) and all(w in SOUNDS or w in BESIDE for w in words)
+    return " " if sound or not any(c.isalnum() for c in inner) or match.group(2) is not None and TAG.fullmatch(inner) else match.group()
+
+
+def _filler(match: re.Match) -> str:
+    """Nothing for a filler, by the words and pauses around it; the words themselves where they are part of the sentence."""
+    lead, said, tail = match.groups(default="")
+    text, low = match.string, said.lower()
+    nothing = " " if "," in tail else lead + " "
+    word, gap = _LAST.search(text, max(0, match.start() - 40), match.start()).groups()
+    if low in HESITATIONS:
+        # an abbreviation in capitals, and millimetres, are no hesitation
+        capitals = len(said) > 1 and said.isupper() and any(c.islower() for c in text)
+        return match.group() if capitals or low == "mm" and word.isdigit() else nothing
+    pause_behind = bool(tail) or text[match.end() : match.end() + 1] in ".?!;:" or not text[match.end() :].strip()
+    apart = not word or any(c in gap + lead for c in ",.;:?!…—–")
+    if apart and pause_behind:
+        return nothing
+    following = _NEXT.match(text, match.end()).group(1).lower()
+    before = "" if apart else word.lower()
+    if low in ("kind of", "sort of"):
+        return match.group() if before in DETERMINERS else nothing
+    if before in BEFORE_VERB:
+        return match.group()
+    clause = following in BEHIND_VERB and (apart or low == "i mean" and following in ("what", "it", "that", "by", "business"))
+    return match.group() if clause and not pause_behind else nothing
+
+
+def without_noise(text: str) -> str:
+    """A text without time stamps, sound annotations and fillers."""
+    return FILLER.sub(_filler, SUNG.sub(" ", BRACKETED.sub(_annotation, STAMP.sub(" ", text))))
+
+
 #: A possible label: at the start, after a line break or after a sentence, up to a colon.
 _NAME = r"([^\W\d_](?:[^\n:?!.>]|(?<=\b[^\W\d_])\.|\.(?=\s*:)){0,78}?)\s*:(?=\s|$)"
 LABEL = re.compile(rf"(?:^|\n|(?<=[.?!…])\s)\s*(?:>+|[-–•*])?\s*{_NAME}|>>+\s*{_NAME}")
@@ -45,8 +101,7 @@ NOBODY = ("", "unk", "unknown", "unidentified", "unidentified speaker", "n a", "
 
 def tidy(text: str) -> str:
     """An utterance without stamps, annotations and fillers, spaced and capitalised as prose; empty if no speech is left."""
-    text = FILLER.sub(" ", ANNOTATION.sub(" ", STAMP.sub(" ", text)))
-    text = re.sub(r"\s+([,.;:?!…])", r"\1", re.sub(r"\s+", " ", text)).strip(" -–—>•*")
+    text = re.sub(r"\s+([,.;:?!…])", r"\1", re.sub(r"\s+", " ", without_noise(text))).strip(" -–—>•*")
     text = re.sub(r"^[,;:.…\s]+", "", re.sub(r"([,;])(?:\s*[,;])+", r"\1", text))
     if not any(c.isalnum() for c in text):
         return ""
@@ -58,13 +113,11 @@ def parts(content: str | None) -> list[tuple[str | None, str]]:
     """(possible label before it, tidy speech) of every stretch of a row's content; the first has no label."""
     if not content:
         return []
-    text = ANNOTATION.sub(" ", STAMP.sub(" ", repair_text(content)))
-    text = FILLER.sub(" ", text)
-    text = re.sub(r"[^\S\n]+", " ", text)
+    text = re.sub(r"[^\S\n]+", " ", without_noise(repair_text(content)))
     found, label, done = [], None, 0
     for m in LABEL.finditer(text):
         found.append((label, tidy(text[done : m.start()])))
-        label, done = m.group(1) or m.group(2), m.end()
+        label, done = FILLER.sub(" ", m.group(1) or m.group(2)), m.end()
     found.append((label, tidy(text[done:])))
     return found
 
@@ -128,10 +181,45 @@ def isotonic(values: np.ndarray) -> np.ndarray:
     return np.repeat(levels, sizes)
 
 
+def _by_block(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_ob", F.floor(F.coalesce("ordinal", F.lit(0)) / ORDINALS))
+
+
+def document_clock(rows: DataFrame) -> DataFrame:
+    """Rows (document_id, id, ordinal, start, stop, ...) with start and stop on one clock per document, and `file` (from 0).
+
+    A new file segment begins, in the order of ordinals, where both starts before lie more than RESET_S above both starts from there on, the
+    first of which is less than RESTART_S; a row that is out of order alone makes none. Each segment is moved behind the latest time
+    of the one before. NaN counts as missing; rows without a start take their file from the row before.
+    """
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    rows = _by_block(rows.withColumns({"start": clean("start"), "stop": clean("stop")}))
+    inside = Window.partitionBy("document_id", "_ob").orderBy("ordinal", "id")
+    known = rows.filter("start is not null").select("document_id", "_ob", "ordinal", "id", "start", "stop")
+    place = F.struct("ordinal", "id")
+    edges = known.groupBy("document_id", "_ob").agg(F.min_by("start", place).alias("first"), F.max_by("start", place).alias("last"))
+    along = Window.partitionBy("document_id").orderBy("_ob")
+    edges = edges.select("document_id", "_ob", F.lag("last").over(along).alias("_p1"), F.lead("first").over(along).alias("_n1"))
+    near = known.withColumns({"_l1": F.lag("start").over(inside), "_l2": F.lag("start", 2).over(inside), "_n": F.lead("start").over(inside)}).join(edges, ["document_id", "_ob"])
+    before = F.least(F.coalesce("_l1", "_p1"), F.coalesce("_l2", "_p1"))
+    behind = F.greatest(F.col("start"), F.coalesce("_n", "_n1"))
+    starts = near.withColumn("_new", F.coalesce((before - behind > RESET_S) & (F.col("start") < RESTART_S), F.lit(False)).cast("int"))
+    starts = cut(starts.select("document_id", "_ob", "ordinal", "id", "start", "stop", "_new"))
+    if starts.filter("_new = 1").isEmpty():  # one file each
+        return rows.withColumn("file", F.lit(0)).drop("_ob")
+    counts = starts.groupBy("document_id", "_ob").agg(F.sum("_new").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.withColumn("_in", F.sum("_new").over(inside)).join(counts.select("document_id", "_ob", earlier.alias("_off")), ["document_id", "_ob"]).withColumn("file", F.col("_in") + F.col("_off"))
+    files = starts.groupBy("document_id", "file").agg(F.max(F.greatest("start", F.coalesce("stop", "start"))).alias("most"))
+    moved = F.coalesce(F.sum("most").over(Window.partitionBy("document_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = starts.select("document_id", "_ob", "ordinal", "id", "file").join(files.select("document_id", "file", moved.alias("_by")), ["document_id", "file"])
+    out = rows.join(starts.select("document_id", "id", "file", "_by"), ["document_id", "id"], "left")
+    return out.withColumns({"start": F.col("start") + F.col("_by"), "stop": F.col("stop") + F.col("_by"), "file": F.col("file").cast("int")}).drop("_by", "_ob")
+
+
 def _filled(rows: DataFrame) -> DataFrame:
     """Adds t (own or preceding start, -1 before any) and anchor (the ordinal that start came from), by ordinal within a document."""
-    start = F.when(F.isnan("start"), None).otherwise(F.col("start"))
-    rows = rows.withColumn("start", start).withColumn("_ob", F.floor(F.coalesce("ordinal", F.lit(0)) / ORDINALS))
+    rows = _by_block(rows)
     here = F.when(F.col("start").isNotNull(), F.struct(F.col("start").alias("t"), F.col("ordinal").alias("anchor")))
     own = F.last(here, ignorenulls=True).over(Window.partitionBy("document_id", "_ob").orderBy("ordinal", "id"))
     last = rows.filter("start is not null").groupBy("document_id", "_ob").agg(F.max_by(F.struct(F.col("start").alias("t"), F.col("ordinal").alias("anchor")), F.struct("ordinal", "id")).alias("_last"))
@@ -146,10 +234,10 @@ def _filled(rows: DataFrame) -> DataFrame:
 
 def speech_events(chunks: DataFrame, speakers: DataFrame, texts: bool = False) -> DataFrame:
     """One row per stretch of speech of the documents in `speakers`, in order of (segment, t, anchor, ordinal, id, seq):
-    document_id, id, seg (hour of audio), t, anchor, ordinal, seq, named (speaker or null), start_s, end_s, text (if `texts`).
+    document_id, id, seg (block: an hour of audio), t, anchor, ordinal, seq, named (speaker or null), start_s, end_s, text (if `texts`).
 
     Of rows with one document_id and ordinal only the smallest id counts; rows without an ordinal all count. Rows without speech
-    give none. start_s and end_s are repaired by isotonic regression within the file segment.
+    give none. start_s and end_s are on the document's clock, repaired by isotonic regression.
     """
     transcripts = speakers.select("document_id").filter("document_id is not null").distinct()
     own = chunks.select("document_id", "id", "ordinal", "content", F.col("audio_start_s").alias("start"), F.col("audio_end_s").alias("stop"), "speaker")
@@ -167,19 +255,24 @@ def speech_events(chunks: DataFrame, speakers: DataFrame, texts: bool = False) -
     alone = F.when(F.col("ordinal").isNull(), F.col("id"))
     rows = rows.groupBy("document_id", "ordinal", alone.alias("_alone")).agg(F.min(F.struct("id", "start", "stop", "speaker", "parts")).alias("r"))
     rows = rows.select("document_id", "ordinal", "r.*")
-    rows = _filled(rows).filter(F.exists("parts", lambda p: p["text"] != ""))
+    rows = _filled(document_clock(rows)).filter(F.exists("parts", lambda p: p["text"] != ""))
     events = rows.select("document_id", "id", "ordinal", "start", "stop", "t", "anchor", "speaker", F.posexplode("parts").alias("seq", "p"))
     events = events.withColumn("key", label_key(F.when(F.col("seq") == 0, F.col("speaker")).otherwise(F.col("p.label")))).withColumn("text", F.col("p.text")).drop("p", "speaker")
     named = resolve_labels(events.select("document_id", "key"), speakers).withColumnRenamed("speaker_no", "named")
-    events = events.join(named, ["document_id", "key"], "left").withColumn("seg", F.floor(F.col("t") / SEGMENT_S).cast("long"))
+    events = events.join(named, ["document_id", "key"], "left")
+    # an hour of audio is a block; so are ORDINALS rows that stand before any time
+    events = events.withColumn("seg", F.when(F.col("t") < 0, F.floor(F.coalesce("ordinal", F.lit(0)) / ORDINALS) - (1 << 40)).otherwise(F.floor(F.col("t") / BLOCK_S)).cast("long"))
     return cut(repair_clock(events.select("document_id", "id", "ordinal", "start", "stop", "seg", "t", "anchor", "seq", "named", "text")))
 
 
 def repair_clock(events: DataFrame) -> DataFrame:
-    """Replaces start, stop by start_s <= end_s <= the next row's start_s, fitted by isotonic regression per (document_id, seg).
+    """Replaces start, stop by start_s <= end_s <= the next row's start_s, fitted by isotonic regression per (document_id, seg), of which
+    at most FITTED rows are fitted together.
 
     The boundaries of the rows that have both times are fitted; a row without an end ends where it starts or the next begins.
     """
+    order = Window.partitionBy("document_id", "seg").orderBy("t", "anchor", F.asc_nulls_last("ordinal"), "id")
+    events = events.withColumn("_lot", F.floor((F.dense_rank().over(order) - 1) / FITTED))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["t", "anchor", "ordinal", "id", "seq"], na_position="last", kind="stable")
@@ -189,13 +282,13 @@ def repair_clock(events: DataFrame) -> DataFrame:
         stop = np.where(np.isnan(first.stop.to_numpy(float)), np.append(start[1:], start[-1:]), first.stop.to_numpy(float))
         both = isotonic(np.stack([start, stop], axis=1).ravel()).reshape(-1, 2)
         k = np.cumsum(row) - 1
-        out = pdf.drop(columns=["start", "stop"])
+        out = pdf.drop(columns=["start", "stop", "_lot"])
         out["start_s"], out["end_s"] = both[k, 0], both[k, 1]
         out["ordinal"], out["named"] = out.ordinal.astype("Int32"), out.named.astype("Int32")
         return out
 
     schema = "document_id long, id long, ordinal int, seg long, t double, anchor int, seq int, named int, text string, start_s double, end_s double"
-    return events.groupBy("document_id", "seg").applyInPandas(fit, schema)
+    return events.groupBy("document_id", "seg", "_lot").applyInPandas(fit, schema)
 
 
 def with_turns(events: DataFrame) -> DataFrame:
