@@ -1,9 +1,11 @@
 """The k most similar vectors of every vector: a hierarchical navigable small-world graph per shard, shard results merged.
 
-Shards are balanced groups of the cells of many centroids fitted on a bounded sample, so that similar vectors share a shard; a
-vector nearly as close to a cell of another shard also visits that. In a shard the graph is held as flat neighbour arrays, one per level, and all queries of a block walk
-it in step. The walk compares vectors rotated to their leading components; what it finds is ranked by the exact cosine of the whole
-vectors. Equal vectors are one graph node, and groups of copies are settled by their smallest ids without any graph.
+Shards are balanced groups of the cells of many centroids, so that similar vectors share a shard; a vector nearly as close to a cell
+of another shard also visits that. The first level of cells is fitted on a bounded sample; where that makes too few, every cell is divided again,
+by centroids fitted in tasks of their own. In a shard the graph is held as flat neighbour arrays, one per level, and all queries of a
+block walk it in step. The walk compares vectors rotated to their leading components; what it finds is ranked by the exact cosine of the
+whole vectors. Vectors of one direction are one graph node, and large groups of them are settled by their smallest ids without any
+graph. A shard with too many visitors is built in several tasks, each for a part of them.
 """
 
 from __future__ import annotations
@@ -16,12 +18,17 @@ from pyspark.sql.window import Window
 
 from lodestrata.session import cut
 
-#: Rows the centroids and the rotation are fitted on, at most.
+#: Rows the first centroids and the rotation are fitted on, at most about.
 SAMPLE = 12_000
 #: Vectors a shard should hold, and the most that one task's graph holds; larger shards are cut into parts by hash.
 SHARD, MOST = 20_000, 60_000
-#: Cells, at most, and components they are told apart by.
-CELLS, CELL_COMPONENTS = 2048, 128
+#: Visitors that one task serves, about.
+VISITORS = 120_000
+#: Cells of the first level, at most, components they are told apart by, parts of a cell on the second level, and sampled rows that
+#: one such part is fitted on.
+CELLS, CELL_COMPONENTS, SUB, SUB_ROWS = 2048, 128, 64, 4
+#: Components that a vector's group key is made of, the grid they are put on, and how far the components of one direction may differ.
+KEYED, GRID, SAME = 16, 4.0, 5e-7
 #: A vector visits the shard of every cell, of its NEAR nearest ones, that is less than GAP farther in cosine than its own.
 GAP, NEAR = 0.04, 8
 #: Leading components the walk compares; neighbours a node keeps on its own account and in all; nodes per node of the level above.
@@ -46,6 +53,37 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-30).astype(np.float32)
 
 
+def usable_rows(matrix: np.ndarray) -> np.ndarray:
+    return np.isfinite(matrix).all(axis=1) & (np.abs(matrix) > 0).any(axis=1)
+
+
+def direction_keys(units: np.ndarray) -> np.ndarray:
+    """A 64-bit key of some coarsely rounded components: vectors of one direction share it, but for a few in a million."""
+    width = units.shape[1]
+    at = np.linspace(0, width - 1, min(KEYED, width)).astype(int)
+    grid = np.floor(units[:, at] * (np.sqrt(width) * GRID) + 0.37).astype(np.int64).astype(np.uint64)
+    key = np.zeros(len(units), np.uint64)
+    for k in range(grid.shape[1]):
+        key = (key ^ grid[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def directions(units: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+    """Row numbers of every group of vectors of one direction, each in the given order; the first row of a key stands for its group,
+    and rows of the key that differ from it are grouped by their own first."""
+    keys = direction_keys(units)[order]
+    by = np.argsort(keys, kind="stable")
+    edges = np.nonzero(np.diff(keys[by]))[0] + 1
+    found = []
+    for part in np.split(order[by], edges):
+        while len(part):
+            same = np.abs(units[part] - units[part[0]]).max(axis=1) <= SAME if len(part) > 1 else np.ones(1, bool)
+            found.append(part[same])
+            part = part[~same]
+    return found
+
+
 def centroids(sample: np.ndarray, k: int, rounds: int = 6, seed: int = 5) -> np.ndarray:
     """Spherical k-means."""
     rng = np.random.default_rng(seed)
@@ -227,14 +265,52 @@ def _pairs(qid: int, groups: list[list[int]], cosines: list[float], k: int, leas
     return [(qid, i, -c) for c, i in near[:k]]
 
 
+class Cells:
+    """Centroids in one level, or in two: `parts` holds the centroids that divide a cell. Leaves are numbered through."""
+
+    def __init__(self, centre: np.ndarray, parts: dict[int, np.ndarray] | None = None) -> None:
+        self.centre = centre
+        self.leaves = [parts[c] if parts and c in parts else centre[c : c + 1] for c in range(len(centre))]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in self.leaves])])
+        self.flat = np.concatenate(self.leaves)
+        self.one_level = len(self.flat) == len(centre)
+
+    def near(self, short: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """(leaves, similarities) of up to `most` near leaves of every row; leaf -1 where there are fewer."""
+        sims = short @ self.centre.T
+        n = min(most, sims.shape[1])
+        order = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+        near = np.take_along_axis(sims, order, 1)
+        if self.one_level:
+            return order, near
+        rows, leaf, sim = [], [], []
+        for c in np.unique(order):
+            r = np.nonzero((order == c).any(axis=1))[0]
+            s = short[r] @ self.leaves[c].T
+            k = min(n, s.shape[1])
+            at = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            rows.append(np.repeat(r, k)), leaf.append((self.first[c] + at).ravel()), sim.append(np.take_along_axis(s, at, 1).ravel())
+        rows, leaf, sim = np.concatenate(rows), np.concatenate(leaf), np.concatenate(sim)
+        by = np.lexsort((-sim, rows))
+        rows, leaf, sim = rows[by], leaf[by], sim[by]
+        rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        keep = rank < n
+        out, worth = np.full((len(short), n), -1), np.full((len(short), n), -3.0, np.float32)
+        out[rows[keep], rank[keep]], worth[rows[keep], rank[keep]] = leaf[keep], sim[keep]
+        return out, worth
+
+
 def search_shard(own: pd.DataFrame, visitors: pd.DataFrame, width: int, rotation: np.ndarray, k: int, least: float) -> pd.DataFrame:
-    """a, b, cosine: per id up to k others of at least `least`. own, visitors: ids (list), v (bytes)."""
-    groups: dict[bytes, list[int]] = {}
-    for ids, v in zip(own.ids, own.v, strict=True):
-        groups.setdefault(v, []).extend(int(i) for i in ids)
-    members = [sorted(g)[: k + 1] for g in groups.values()]
-    raw = unpack(list(groups), width)
+    """a, b, cosine: per id up to k others of at least `least`. own, visitors: ids (list), v (bytes); own also asks, which tells
+    the rows that are queries themselves."""
+    raw = unpack(list(own.v), width)
     whole = unit(raw)
+    ids, asks = own.ids.tolist(), own.asks.to_numpy(bool)
+    order = np.argsort(np.array([min(x) for x in ids], np.int64), kind="stable")
+    groups = directions(whole, order)
+    members = [sorted({int(i) for r in g for i in ids[r]})[: k + 1] for g in groups]
+    first_rows = np.array([g[0] for g in groups])
+    raw, whole, asks = raw[first_rows], whole[first_rows], np.array([asks[g].any() for g in groups])
     short = whole @ rotation
     world = SmallWorld(short)
     alone = np.array([len(m) == 1 for m in members])
@@ -264,9 +340,10 @@ def search_shard(own: pd.DataFrame, visitors: pd.DataFrame, width: int, rotation
         if rest:
             out.append(tuple(np.array(x) for x in zip(*rest, strict=True)))
 
-    for at in range(0, len(members), _BLOCK):
-        rows = np.arange(at, min(at + _BLOCK, len(members)), dtype=np.int32)
-        settle(world.search(short[rows], BREADTH, rows), raw[rows], members[at : at + _BLOCK], rows)
+    asking = np.nonzero(asks)[0].astype(np.int32)
+    for at in range(0, len(asking), _BLOCK):
+        rows = asking[at : at + _BLOCK]
+        settle(world.search(short[rows], BREADTH, rows), raw[rows], [members[r] for r in rows], rows)
     for at in range(0, len(visitors), _BLOCK):
         some = visitors.iloc[at : at + _BLOCK]
         queries = unpack(list(some.v), width)
@@ -279,12 +356,21 @@ def search_shard(own: pd.DataFrame, visitors: pd.DataFrame, width: int, rotation
 def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) -> DataFrame:
     """a, b, cosine: for every id its k most similar others of cosine at least `least` (rounded to 6 decimals, ties to the smaller id).
 
-    vectors: id, v (array of float). Null, all-zero, non-finite and otherwise wide vectors are left out; equal vectors are each
-    other's nearest; no usable vector gives no rows. Approximate: see README for the recall measured.
+    vectors: id, v (array of float). Null, all-zero, non-finite and otherwise wide vectors are left out; equal vectors, and those of one
+    direction, are each other's nearest; no usable vector gives no rows. Approximate: see README for the recall measured.
     """
     usable = vectors.filter(F.col("id").isNotNull() & (F.size("v") == width)).select("id", F.col("v").cast("array<float>").alias("v"))
     spark = vectors.sparkSession
-    keys = cut(usable.filter(F.exists("v", lambda x: x != 0)).select("id", F.xxhash64("v").alias("h"), F.hash("v").alias("g")))
+
+    def keyed(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), 4000):
+                some = pdf.iloc[start : start + 4000]
+                matrix = np.stack([np.asarray(v, np.float32) for v in some.v])
+                good = usable_rows(matrix)
+                yield pd.DataFrame({"id": some.id.to_numpy()[good], "h": direction_keys(unit(matrix[good])) if good.any() else np.empty(0, np.int64)})
+
+    keys = cut(usable.mapInPandas(keyed, "id long, h long"))
     total = keys.count()
     sample = _sample(usable, total, width)
     if not len(sample):
@@ -292,45 +378,50 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
     sample = unit(sample)
     rotation = np.ascontiguousarray(np.linalg.eigh(sample.T @ sample)[1][:, ::-1][:, :COMPONENTS], dtype=np.float32)
     short = sample @ rotation[:, :CELL_COMPONENTS]
-    cells = centroids(short, min(CELLS, max(1, len(short) // 4)), rounds=4)
-    weights = np.bincount((short @ cells.T).argmax(axis=1), minlength=len(cells)) * (total / len(sample))
-    home = shards_of(cells, weights, max(1, round(total / SHARD)))
-    cuts = np.maximum(1, np.ceil(np.bincount(home, weights=weights) / MOST)).astype(int)  # parts of every shard
-    shared = spark.sparkContext.broadcast((cells, home, rotation, cuts))
+    cells = Cells(centroids(short, min(CELLS, max(1, len(short) // 4)), rounds=4))
+    if total > SHARD * len(cells.centre):
+        cells, weights = _divided(usable, total, width, rotation, cells)
+    else:
+        weights = np.bincount((short @ cells.flat.T).argmax(axis=1), minlength=len(cells.flat)) * (total / len(sample))
+    home = shards_of(cells.flat, weights, max(1, round(total / SHARD)))
+    held = np.bincount(home, weights=weights)
+    cuts = np.maximum(1, np.ceil(held / MOST)).astype(int)  # parts of every shard that cells could not divide
+    gap = GAP
+    goes, _ = _visits(cells, home, len(cuts), short, gap)
+    guests = goes.sum(axis=0) * (total / len(sample)) - held
+    lots = np.maximum(1, np.ceil(guests / VISITORS)).astype(int)  # tasks that share a shard's visitors
+    shared = spark.sparkContext.broadcast((cells, home, rotation, cuts, lots))
 
     def assign(batches):
-        cells, home, rotation, cuts = shared.value
+        cells, home, rotation, cuts, lots = shared.value
         for pdf in batches:
             for start in range(0, len(pdf), 4000):
                 some = pdf.iloc[start : start + 4000]
                 matrix = np.stack([np.asarray(v, np.float32) for v in some.v])
-                good = np.isfinite(matrix).all(axis=1) & (np.abs(matrix) > 0).any(axis=1)
+                good = usable_rows(matrix)
                 matrix, ids = matrix[good], some.id.to_numpy()[good]
                 if not len(ids):
                     continue
-                equal: dict[bytes, list[int]] = {}
-                for i in np.argsort(ids, kind="stable").tolist():
-                    equal.setdefault(pack(matrix[i]), []).append(i)
-                first = np.array([at[0] for at in equal.values()])
-                data = pd.DataFrame({"v": list(equal), "ids": [ids[at[: k + 1]].tolist() for at in equal.values()]})
-                sims = unit(matrix[first]) @ rotation[:, :CELL_COMPONENTS] @ cells.T
-                n = min(NEAR, sims.shape[1])
-                order = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-                near = np.take_along_axis(sims, order, 1)
-                own = home[order[np.arange(len(order)), near.argmax(axis=1)]]
-                goes = np.zeros((len(data), len(cuts)), bool)
-                row, column = np.nonzero(near >= near.max(axis=1)[:, None] - GAP)
-                goes[row, home[order[row, column]]] = True
+                units = unit(matrix)
+                groups = directions(units, np.argsort(ids, kind="stable"))
+                first = np.array([g[0] for g in groups])
+                data = pd.DataFrame({"v": [pack(matrix[i]) for i in first], "ids": [ids[g[: k + 1]].tolist() for g in groups]})
+                goes, own = _visits(cells, home, len(cuts), units[first] @ rotation[:, :CELL_COMPONENTS], gap)
                 row, shard = np.nonzero(goes)
-                parts = cuts[shard]  # every part of a cut shard is asked, one of them is home
+                # every part of a cut shard is asked, one of them is home, and there the row goes to every lot of visitors
+                spare = ids[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+                parts = cuts[shard]
                 part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
                 row, shard = np.repeat(row, parts), np.repeat(shard, parts)
-                lot = ids[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
-                at_home = (shard == own[row]) & (part == lot[row].astype(np.int64) % cuts[shard])
+                at_home = (shard == own[row]) & (part == spare[row].astype(np.int64) % cuts[shard])
+                copies = np.where(at_home, lots[shard], 1)
+                at = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, shard, part, at_home = (np.repeat(x, copies) for x in (row, shard, part, at_home))
+                lot = np.where(at_home, at, (spare[row].astype(np.int64) >> 8) % lots[shard])
                 some = data.iloc[row]
-                yield pd.DataFrame({"ids": some.ids, "v": some.v, "shard": shard.astype(np.int32), "part": part.astype(np.int32), "visits": ~at_home})
+                yield pd.DataFrame({"ids": some.ids, "v": some.v, "shard": shard.astype(np.int32), "part": part.astype(np.int32), "lot": lot.astype(np.int32), "visits": ~at_home, "asks": at_home & (at == 0)})
 
-    placed = usable.mapInPandas(assign, "ids array<long>, v binary, shard int, part int, visits boolean")
+    placed = usable.mapInPandas(assign, "ids array<long>, v binary, shard int, part int, lot int, visits boolean, asks boolean")
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[~pdf.visits]
@@ -338,8 +429,47 @@ def nearest(vectors: DataFrame, width: int, k: int = 10, least: float = -1.0) ->
             return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64), "cosine": np.empty(0)})
         return search_shard(own, pdf[pdf.visits], width, shared.value[2], k, least)
 
-    found = placed.groupBy("shard", "part").applyInPandas(find, "a long, b long, cosine double")
-    return _best(found.unionByName(copies(keys, k)), k)
+    found = placed.groupBy("shard", "part", "lot").applyInPandas(find, "a long, b long, cosine double")
+    return _best(found.unionByName(copies(keys, usable, k)), k)
+
+
+def _visits(cells: Cells, home: np.ndarray, shards: int, short: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each row goes to each shard, each row's own shard)."""
+    order, near = cells.near(short, NEAR)
+    own = home[order[np.arange(len(order)), near.argmax(axis=1)]]
+    goes = np.zeros((len(short), shards), bool)
+    row, column = np.nonzero((near >= near.max(axis=1)[:, None] - gap) & (order >= 0))
+    goes[row, home[order[row, column]]] = True
+    return goes, own
+
+
+def _divided(usable: DataFrame, total: int, width: int, rotation: np.ndarray, cells: Cells) -> tuple[Cells, np.ndarray]:
+    """(cells in two levels, vectors in each leaf): every cell is divided by centroids fitted in its own task, on a sample of about
+    SUB_ROWS rows a part; to the driver come at most CELLS * SUB centroids."""
+    parts = int(np.clip(np.ceil(2 * total / SHARD / len(cells.centre)), 2, SUB))
+    share = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, SUB_ROWS * parts * len(cells.centre) / total)) + 1)
+    turn = rotation[:, :CELL_COMPONENTS]
+
+    def placed(batches):
+        for pdf in batches:
+            for start in range(0, len(pdf), 4000):
+                matrix = np.stack([np.asarray(v, np.float32) for v in pdf.v.iloc[start : start + 4000]])
+                matrix = matrix[usable_rows(matrix)]
+                if len(matrix):
+                    short = unit(matrix) @ turn
+                    yield pd.DataFrame({"cell": (short @ cells.centre.T).argmax(axis=1).astype(np.int32), "v": [x.astype(np.float16).tobytes() for x in short]})
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.stack([np.frombuffer(x, np.float16).astype(np.float32) for x in pdf.v])
+        centre = centroids(own, max(1, min(parts, len(own) // 2)), rounds=4)
+        counts = np.bincount((own @ centre.T).argmax(axis=1), minlength=len(centre))
+        return pd.DataFrame({"cell": pdf.cell.iloc[0], "v": [x.astype(np.float16).tobytes() for x in centre], "n": counts})
+
+    rows = usable.filter(share).mapInPandas(placed, "cell int, v binary").groupBy("cell").applyInPandas(fit, "cell int, v binary, n long").toPandas()
+    found = {int(c): np.stack([np.frombuffer(x, np.float16).astype(np.float32) for x in some.v]) for c, some in rows.groupby("cell")}
+    counts = {int(c): some.n.to_numpy() for c, some in rows.groupby("cell")}
+    weights = np.concatenate([counts.get(c, np.zeros(1)) for c in range(len(cells.centre))]).astype(float)
+    return Cells(cells.centre, found), weights * (total / max(1.0, weights.sum()))
 
 
 def _sample(usable: DataFrame, total: int, width: int) -> np.ndarray:
@@ -352,19 +482,33 @@ def _sample(usable: DataFrame, total: int, width: int) -> np.ndarray:
 
     rows = usable.filter(share).mapInPandas(packed, "v binary").limit(2 * SAMPLE).toPandas()
     sample = unpack(list(rows.v), width) if len(rows) else np.empty((0, width), np.float32)
-    return sample[np.isfinite(sample).all(axis=1) & (np.abs(sample) > 0).any(axis=1)]
+    return sample[usable_rows(sample)]
 
 
-def copies(keys: DataFrame, k: int) -> DataFrame:
-    """a, b, cosine 1: every member of a large group of equal vectors with the group's k smallest ids, which are its nearest.
+def copies(keys: DataFrame, usable: DataFrame, k: int) -> DataFrame:
+    """a, b, cosine 1: every member of a large group of vectors of one direction with the group's k smallest ids, which are its nearest.
 
-    keys: id and two hashes (h, g) of its vector.
+    keys: id and the direction key (h) of the usable vectors. The vectors of keys with more than k + 1 rows are compared with that of the
+    key's smallest id; those that differ from it are left to the graph.
     """
-    hot = keys.groupBy("h", "g").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).drop("n")
-    hot = keys.join(hot, ["h", "g"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy("h", "g").orderBy("id"))
-    ten = hot.withColumn("r", rank).filter(F.col("r") <= k + 1).select("h", "g", F.col("id").alias("b"))
-    return hot.join(ten, ["h", "g"]).filter("id <> b").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cosine"))
+    hot = cut(keys.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter(F.col("n") > k + 1).select("h", "first"))
+    if hot.isEmpty():
+        return keys.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
+    lead = hot.join(usable, hot["first"] == usable["id"]).groupBy("h").agg(F.min("v").alias("w"))
+    member = keys.join(hot.select("h"), "h").join(usable, "id").join(lead, "h")
+
+    def same(batches):
+        for pdf in batches:
+            v, w = (unit(np.stack([np.asarray(x, np.float32) for x in c])) for c in (pdf.v, pdf.w))
+            alike = np.abs(v - w).max(axis=1) <= SAME
+            yield pd.DataFrame({"id": pdf.id.to_numpy()[alike], "h": pdf.h.to_numpy()[alike]})
+
+    group = cut(member.select("id", "h", "v", "w").mapInPandas(same, "id long, h long"))
+    large = group.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).select("h")
+    group = group.join(large, "h")
+    rank = F.row_number().over(Window.partitionBy("h").orderBy("id"))
+    ten = group.withColumn("r", rank).filter(F.col("r") <= k + 1).select("h", F.col("id").alias("b"))
+    return group.join(ten, "h").filter("id <> b").select(F.col("id").alias("a"), "b", F.lit(1.0).alias("cosine"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

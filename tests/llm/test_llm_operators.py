@@ -72,6 +72,40 @@ def test_isotonic():
     assert transcripts.isotonic(np.array([])).tolist() == []
 
 
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [
+        ("What kind of margin do you expect?", "What kind of margin do you expect?"), ("Do you know the answer", "Do you know the answer."), ("You know what we did, I mean it.", "You know what we did, I mean it."),
+        ("I mean what I said. Er, the ER (Music division) grew [Revenue, net] 5%.", "I mean what I said. The ER (Music division) grew [Revenue, net] 5%."), ("It is 5 mm wide.", "It is 5 mm wide."),
+        ("We, you know, grew; it was, um, sort of slow.", "We grew; it was slow."), ("we kind of grew", "We grew."), ("You know, kind of.", ""), ("I mean, yes.", "Yes."), ("{pause} Um, [crosstalk]", ""),
+        ("[" + "background noise and voices " * 9 + "] yes", "Yes."), ("(" + "a long remark that somebody made " * 5 + ")", None), ("[see note 4] it fell", "[see note 4] it fell."), ("♪ la la ♪ yes", "Yes."), ("<i>no</i> <laughs/>", "No."),
+    ],
+)
+def test_speech_is_kept_and_noise_is_not(said, want):
+    got = transcripts.tidy(said)
+    assert got == want if want is not None else "somebody made" in got and len(got) > 150
+
+
+def test_clock_resets_are_repaired(spark):
+    """Three recordings of one call, each with a clock of its own; a row out of order alone starts no new one."""
+    rows = [(f * 100 + i, 1, f * 20 + i, f"Line {f} {i}.", 100.0 * i, "CEO" if (f, i) == (0, 0) else "unknown") for f in range(3) for i in range(15)]
+    rows = [(i, d, o, c, 50.0 if i == 107 else t, "Ada Lovell" if i == 205 else s) for i, d, o, c, t, s in rows]
+    chunks = spark.createDataFrame([(i, doc, o, c, s, s + 120, who, "") for i, doc, o, c, s, who in rows], CHUNK)
+    events = transcripts.speech_events(chunks, spark.createDataFrame(SPEAKERS, SPEAKER)).orderBy("seg", "t", "anchor", "ordinal").collect()
+    assert [r.id for r in events if r.id != 107] == [i for i, *_ in rows if i != 107] and [r.id for r in events].index(107) == 16
+    assert all(a.start_s <= a.end_s <= b.start_s for a, b in zip(events, events[1:], strict=False) if a.seg == b.seg)
+    assert events[15].start_s > events[14].start_s and events[-1].start_s > 3000
+    assert turns_of(spark, rows) == [(1, 2, 0, 204), (1, 1, 205, 214)]
+
+
+def test_documents_without_times_are_split(spark, monkeypatch):
+    monkeypatch.setattr(transcripts, "ORDINALS", 4)
+    rows = [(i, 1, i, f"Line {i}.", None, "CEO" if i == 0 else "unknown") for i in range(20)]
+    chunks = spark.createDataFrame([(i, doc, o, c, s, None, who, "") for i, doc, o, c, s, who in rows], CHUNK)
+    assert transcripts.speech_events(chunks, spark.createDataFrame(SPEAKERS, SPEAKER)).select("seg").distinct().count() == 5
+    assert turns_of(spark, rows) == [(1, 2, 0, 19)]
+
+
 # ----------------------------------------------------------------- neighbours
 
 
@@ -101,6 +135,31 @@ def test_similar_pairs_recall(spark):
     assert len(got & want) / len(want) > 0.97 and len(got - want) / len(got) < 0.03
 
 
+def test_copies_with_a_nan_are_left_out(spark):
+    v = [1.0] * 47 + [float("nan")]
+    df = spark.createDataFrame([(i, v) for i in range(15)] + [(100 + i, [1.0, float(i)] + [0.0] * 46) for i in range(2)], "id long, v array<float>")
+    assert [(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 48).collect()] == [(100, 101)]
+
+
+def test_scaled_copies_tie_with_the_smallest_ids(spark):
+    """Vectors of one direction are copies whatever their length, and every one's nearest are the smallest ids."""
+    rng = np.random.default_rng(4)
+    base, other = rng.normal(size=48), rng.normal(size=48)
+    data = {i: (base * (1 + i / 7)).astype(np.float32) for i in range(60)} | {100 + i: (base + 0.3 * other + 0.01 * rng.normal(size=48)).astype(np.float32) for i in range(5)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "id long, v array<float>").repartition(3)
+    assert {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 48).collect()} == brute_pairs(data, 10, 0.55)
+
+
+def test_two_levels_of_cells_and_lots_of_visitors(spark, monkeypatch):
+    for name, value in (("SHARD", 100), ("CELLS", 4), ("VISITORS", 150), ("GAP", 0.2)):
+        monkeypatch.setattr(neighbours, name, value)
+    data = {int(i): v for i, v in enumerate(clustered(1500, 48))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "id long, v array<float>")
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 48).collect()}
+    want = brute_pairs(data, 10, 0.55)
+    assert len(got & want) / len(want) > 0.93 and len(got - want) / len(got) < 0.07
+
+
 @pytest.mark.parametrize(("shard", "most", "gap", "least"), [(10**6, 100, 0.04, 0.99), (150, 10**6, 0.2, 0.95), (150, 100, 0.2, 0.95)])
 def test_shards_and_parts(spark, monkeypatch, shard, most, gap, least):
     """Parts of a shard lose nothing; shards hardly bigger than the groups of similar vectors need a wider gap."""
@@ -161,7 +220,7 @@ def test_an_edit_moves_near_pieces_only():
     before = {text[a:b] for a, b, _ in chunking.split(text)}
     changed = text[:5000] + "XYZ" + text[5000:]
     after = {changed[a:b] for a, b, _ in chunking.split(changed)}
-    assert len(before & after) > 0.6 * len(before)
+    assert len(before & after) > 0.9 * len(before)
 
 
 def test_split_oversized(spark):
@@ -360,4 +419,5 @@ def test_queries_run(spark, sf, name):
     if name.endswith("_found"):
         want = {"p2": ["document_id", "speaker_no", "first_chunk_id", "last_chunk_id"], "p3": ["table_name", "id_a", "id_b"], "p4": ["chunk_id", "forced"], "p5": ["report_id", "group_id"], "p6": ["table_name", "record_id"], "p10": ["doc_id"]}
         assert df.columns == want[name.split("_")[0]]
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows and all(len(r) == len(df.columns) for r in rows) and (not name.endswith("_found") or len(set(rows)) == len(rows))
