@@ -17,7 +17,7 @@ NIL_MARKS = ("-", "--", "—", "n/a", "N/A")
 #: Units of rows that take no scale from their table.
 UNSCALED = ("percent", "count", "ratio", "per_share", "duration")
 
-#: Opening bracket, sign, digits, suffix and closing bracket of a figure.
+#: Fixed value: opening bracket, sign, digits, suffix and closing bracket of a figure.
 FIGURE = r"(\()?\s*[$€£]?\s*([-+])?(\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?)\s*(%|[a-zA-Z]+)?\s*(\))?"
 
 
@@ -58,9 +58,15 @@ def effective_scale(row_scale: Column, unit: Column, table_scale: Column) -> Col
 
 
 def format_figure(value: Column) -> Column:
-    """Up to six decimals, trailing zeros dropped."""
+    """Up to six decimals, trailing zeros dropped; digits of large values are those of the double itself."""
     text = F.regexp_replace(F.format_string("%.6f", value), r"\.?0+$", "")
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value.cast("string")).otherwise(F.when(text.isin("", "-"), "0").otherwise(text))
+    # beyond 2^53 a double is a whole number times a power of two, which a decimal holds exactly
+    power = F.floor(F.log2(F.abs(value))).cast("int") - 52
+    whole = (value / F.pow(F.lit(2.0), power)).cast("bigint").cast("decimal(19,0)")
+    exact = F.try_multiply(whole, F.call_function("shiftleft", F.lit(1).cast("bigint"), power).cast("decimal(19,0)"))
+    large = (F.abs(value) >= 2.0**53) & (F.abs(value) < 2.0**114)
+    text = F.when(large, exact.cast("decimal(38,0)").cast("string")).otherwise(F.when(text.isin("", "-"), "0").otherwise(text))
+    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), value.cast("string")).otherwise(text)
 
 
 def cosine(a: Column, b: Column) -> Column:

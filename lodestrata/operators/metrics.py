@@ -1,4 +1,4 @@
-"""Evaluation metrics as aggregations: retrieval, agreement, calibration, detection, and gates over metric tables.
+"""Evaluation metrics as aggregations: retrieval, agreement, calibration, detection, reports of several metrics, and gates over them.
 
 Every function takes and returns DataFrames; grouping columns (`by`) come first in the result, so that headline figures and slices
 come from one definition.
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.functions.numbers import iou
+from lodestrata.functions.numbers import iou, numeric_match
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -112,18 +112,142 @@ def matched_detections(predictions: DataFrame, truth: DataFrame, thresholds: lis
     return pairs.groupBy("image_id", "label").applyInPandas(greedy, schema)  # a group is one image's boxes of one label
 
 
+#: Score ranges that a label's predictions are ranked in.
+RANGES = 1000
+
+
 def average_precision(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
-    """threshold, label, ap for every label of `truth`; a label without predictions scores 0."""
+    """threshold, label, ap for every label of `truth`; a label without predictions scores 0.
+
+    Predictions are ranked inside ranges of score; sums before and the best precision behind a range come from one row per range.
+    """
     labels = truth.groupBy("label").agg(F.count("*").alias("boxes"))
-    hits = matched_detections(predictions, truth, thresholds).join(labels, "label")
-    down = Window.partitionBy("threshold", "label").orderBy(F.desc("score"), "image_id", "pos")
-    run = hits.withColumn("ctp", F.sum(F.col("tp").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("i", F.row_number().over(down))
-    run = run.withColumn("recall", F.col("ctp") / F.col("boxes")).withColumn("precision", F.col("ctp") / F.col("i"))
-    run = run.withColumn("envelope", F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing)))
-    step = F.col("recall") - F.lag("recall", 1, 0.0).over(down)
-    ap = run.withColumn("area", step * F.col("envelope")).groupBy("threshold", "label").agg(F.sum("area").alias("ap"))
+    hits = matched_detections(predictions, truth, thresholds).join(labels, "label").withColumn("range", F.floor(F.col("score") * RANGES))
+    key = ["threshold", "label"]
+    sums = hits.groupBy(*key, "range").agg(F.count("*").alias("n"), F.count_if("tp").alias("t"))
+    before = Window.partitionBy(*key).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*key, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
+    down = Window.partitionBy(*key, "range").orderBy(F.desc("score"), "image_id", "pos")
+    run = hits.withColumn("t", F.sum(F.col("tp").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(down)).join(sums, [*key, "range"])
+    run = run.withColumn("precision", (F.col("t") + F.col("t0")) / (F.col("n") + F.col("n0")))
+    behind = Window.partitionBy(*key).orderBy(F.desc("range")).rowsBetween(1, Window.unboundedFollowing)
+    best = run.groupBy(*key, "range").agg(F.max("precision").alias("p")).select(*key, "range", F.max("p").over(behind).alias("later"))
+    run = run.withColumn("envelope", F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing))).join(best, [*key, "range"])
+    # recall grows by one box with every hit and stays otherwise
+    area = F.when(F.col("tp"), F.greatest("envelope", F.coalesce("later", F.lit(0.0))) / F.col("boxes")).otherwise(0.0)
+    ap = run.groupBy(*key).agg(F.sum(area).alias("ap"))
     grid = labels.select("label", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
-    return grid.join(ap, ["threshold", "label"], "left").select("threshold", "label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+    return grid.join(ap, key, "left").select("threshold", "label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
+
+
+#: The thresholds of the mean average precision, and that of a plain match.
+IOUS, MATCH = tuple(x / 100 for x in range(50, 100, 5)), 0.5
+
+
+def long_metrics(report: DataFrame, by: list[str] | None = None, suffix: str = "") -> DataFrame:
+    """by..., metric, value: a report's columns as rows; nulls (metrics of empty slices) give none."""
+    by = by or []
+    columns = [c for c in report.columns if c not in by]
+    rows = F.array(*[F.struct(F.lit(f"{c}{suffix}").alias("metric"), F.col(c).cast("double").alias("value")) for c in columns])
+    return report.select(*by, F.explode(rows).alias("m")).select(*by, "m.metric", "m.value").filter("value is not null")
+
+
+def mean_average_precision(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """metric, value: map_50_95 (mean over labels and IOUS), map_50, ap_50.<label>. Labels are those of the truth; without any, both means are 0."""
+    ap = average_precision(predictions, truth, list(IOUS))
+    means = ap.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map_50_95"), F.coalesce(F.avg(F.when(F.col("threshold") == MATCH, F.col("ap"))), F.lit(0.0)).alias("map_50"))
+    return long_metrics(means).unionByName(ap.filter(F.col("threshold") == MATCH).select(F.concat(F.lit("ap_50."), F.col("label").cast("string")).alias("metric"), F.col("ap").alias("value")))
+
+
+def matched_at_all(predictions: DataFrame, truth: DataFrame, threshold: float = MATCH) -> DataFrame:
+    """Predictions with `matched`: whether any box of their image and label overlaps them enough."""
+    t = truth.groupBy("image_id", "label").agg(F.collect_list("box").alias("boxes"))  # one image's boxes of one label
+    near = predictions.join(t, ["image_id", "label"], "left")
+    return near.withColumn("matched", F.coalesce(F.exists("boxes", lambda b: iou(b, F.col("box")) >= threshold), F.lit(False))).drop("boxes")
+
+
+def detection_report(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """metric, value: those of mean_average_precision, the expected calibration error (ece) of the scores, and n_predictions."""
+    bins = calibration(matched_at_all(predictions, truth), "score", "matched")
+    error = bins.agg(F.coalesce(F.sum("gap"), F.lit(0.0)).alias("ece"))
+    return mean_average_precision(predictions, truth).unionByName(long_metrics(error)).unionByName(long_metrics(predictions.agg(F.count("*").alias("n_predictions"))))
+
+
+def numeric_report(answers: DataFrame, slices: dict[str, Column] | None = None) -> DataFrame:
+    """metric, value: exact_match over what can be answered, answerable_n, refusal precision, recall, f1 and support, coverage_gap (the share of all
+    questions whose figure exists but was not extracted), and exact_match.<slice>.
+
+    answers (predicted, gold as printed text, scale_hint, not_disclosed, reason): a null prediction is a refusal. Nulls in
+    not_disclosed count as disclosed; a slice without answerable rows gives no metric.
+    """
+    open_ = ~F.coalesce("not_disclosed", F.lit(False))
+    right = numeric_match(F.col("predicted"), F.col("gold"), F.coalesce(F.col("scale_hint").cast("double"), F.lit(1.0))).cast("double")
+    exact = F.avg(F.when(open_, right))
+    gap = F.avg((~open_ & (F.coalesce("reason", F.lit("")) == "not-extracted")).cast("double"))
+    each = {f"exact_match.{n}": F.avg(F.when(open_ & c, right)) for n, c in (slices or {}).items()}
+    plain = answers.agg(F.coalesce(exact, F.lit(0.0)).alias("exact_match"), F.count_if(open_).alias("answerable_n"), gap.alias("coverage_gap"), *[c.alias(f"`{n}`".strip("`")) for n, c in each.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").cast("double").alias("value")) for c in plain.columns])
+    plain = plain.select(F.explode(rows).alias("m")).select("m.*").filter("value is not null")
+    refusal = binary_scores(answers.select((~open_).alias("truth"), F.col("predicted").isNull().alias("said")), "truth", "said").select(*[F.col(c).alias(f"refusal_{c}") for c in ("precision", "recall", "f1", "support")])
+    return plain.unionByName(long_metrics(refusal))
+
+
+def expected_route(tags: Column) -> Column:
+    """The route that a question's tags imply: cross-modal before numeric before narrative."""
+    return F.when(F.array_contains(tags, "cross-modal"), "cross_modal").when(F.array_contains(tags, "numeric"), "numeric").otherwise("narrative")
+
+
+def routing_report(routes: DataFrame) -> DataFrame:
+    """metric, value: accuracy, kappa and recall.<route> of routes (route, expected); routes that nothing expects have no recall."""
+    right = (F.col("route") == F.col("expected")).cast("double")
+    recall = routes.filter("expected is not null").groupBy("expected").agg(F.avg(F.coalesce(right, F.lit(0.0))).alias("value")).select(F.concat(F.lit("recall."), "expected").alias("metric"), "value")
+    return long_metrics(routes.agg(F.avg(F.coalesce(right, F.lit(0.0))).alias("accuracy"))).unionByName(long_metrics(kappa(routes, "route", "expected").select("kappa"))).unionByName(recall)
+
+
+def heldout_report(routes: DataFrame, expected: str = "numeric", leak: str = "narrative") -> DataFrame:
+    """metric, value: accuracy and leaked_to_<leak> of routes of questions that all belong to one."""
+    share_of = lambda r: F.avg(F.coalesce(F.col("route") == r, F.lit(False)).cast("double"))
+    return long_metrics(routes.agg(share_of(expected).alias("accuracy"), share_of(leak).alias(f"leaked_to_{leak}")))
+
+
+def dedupe_report(pairs: DataFrame, truth: str = "truth", said: str = "said", hard: Column | None = None) -> DataFrame:
+    """metric, value: pair_precision, pair_recall, pair_f1, pair_support, accuracy, false_merge_rate (of all pairs), and accuracy.hard of the
+    pairs that `hard` marks."""
+    t, p = F.coalesce(F.col(truth), F.lit(False)), F.coalesce(F.col(said), F.lit(False))
+    scores = binary_scores(pairs, truth, said).select(*[F.col(c).alias(f"pair_{c}") for c in ("precision", "recall", "f1", "support")])
+    plain = pairs.agg(F.avg((t == p).cast("double")).alias("accuracy"), F.avg((p & ~t).cast("double")).alias("false_merge_rate"))
+    out = long_metrics(scores).unionByName(long_metrics(plain))
+    return out if hard is None else out.unionByName(long_metrics(pairs.filter(hard).agg(F.avg((t == p).cast("double")).alias("accuracy")), suffix=".hard"))
+
+
+def stage_diagnosis(gold: DataFrame, stages: dict[str, DataFrame], k: int = 10) -> DataFrame:
+    """query_id, one ndcg column per stage in the order given, delta (last less first): what each stage of retrieval does for each question."""
+    out = gold.select("query_id").distinct()
+    for name, ranking in stages.items():
+        out = out.join(ranking_quality(gold, ranking, k).select("query_id", F.col("ndcg").alias(name)), "query_id")
+    names = list(stages)
+    return out.withColumn("delta", F.col(names[-1]) - F.col(names[0]))
+
+
+def scored_comparison(gold: DataFrame, rankings: dict[str, DataFrame], k: int = 10) -> DataFrame:
+    """metric, value: <name>.ndcg@k and <name>.recall@k, means over the questions of `gold`."""
+    parts = [long_metrics(ranking_quality(gold, r, k).agg(F.avg("ndcg").alias(f"{n}_ndcg"), F.avg("recall").alias(f"{n}_recall"))).withColumn("metric", F.regexp_replace("metric", r"^(.*)_(ndcg|recall)$", rf"$1.$2@{k}")) for n, r in rankings.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def arm_report(parities: dict[str, DataFrame]) -> DataFrame:
+    """arm, queries, exact_order, top1_agreement, overlap, displacement, asymmetric_empty: means over questions of each arm's parity."""
+    out = None
+    for name, p in parities.items():
+        one = p.agg(
+            F.count("*").alias("queries"), F.avg(F.col("exact_order").cast("double")).alias("exact_order"), F.avg(F.col("top1").cast("double")).alias("top1_agreement"), F.avg("overlap").alias("overlap"),
+            F.avg("displacement").alias("displacement"), F.count_if("one_empty").alias("asymmetric_empty"),
+        ).select(F.lit(name).alias("arm"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def gate_results(metrics: DataFrame, baseline: DataFrame, gates: DataFrame) -> DataFrame:

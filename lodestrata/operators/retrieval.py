@@ -1,13 +1,13 @@
 """Batch retrieval: lexical and dense rankings of a corpus for a set of questions, rank fusion, reranking and explanations.
 
 Questions and corpus are DataFrames; a ranking is (query_id, doc_id, score, rank). Only postings of terms that some question holds
-are kept, and each ranking is cut by a window on the question before anything is fused.
+are kept. Blocks of questions meet blocks of documents in tasks of bounded size, each of which hands on its k best per question; the plan
+is the same for any number of questions, and a term or an issuer that a third of all rows hold is split like any other. With a
+`scope`, a column of both sides, a question is put only to the documents of its own scope.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,15 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestrata.functions.text import terms
+from lodestrata.functions.text import terms, text_key
 
 #: Saturation and length weight of BM25, the fusion constant, candidates per arm, and the shortlist for reranking.
 K1, B = 1.5, 0.75
 FUSION_K = 60
 CANDIDATES = 40
 SHORTLIST = 25
-#: Questions multiplied with the corpus at a time.
-BLOCK = 2048
+#: Questions and documents that meet in one task.
+QUESTIONS, DOCUMENTS = 1024, 16_384
 
 
 def ranked(scores: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "doc_id", decimals: int = 9) -> DataFrame:
@@ -39,72 +39,149 @@ def postings(corpus: DataFrame) -> DataFrame:
     return each.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"))
 
 
-def bm25(questions: DataFrame, corpus: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+def _meeting(asked: DataFrame, rows: DataFrame, questions: DataFrame, corpus: DataFrame, scope: str | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with sb (scope), qb and db (blocks): every question's rows once per document block of its scope, every document's once
+    per question block. questions and corpus tell the numbers, one row each per question and document."""
+    qhash, dhash = F.xxhash64("query_id"), F.xxhash64("doc_id")
+    if scope is None:
+        nq, nd = (F.lit(max(1, -(-df.count() // size))) for df, size in ((questions, QUESTIONS), (corpus, DOCUMENTS)))
+        q, d = asked.withColumn("sb", F.lit(0).cast("bigint")), rows.withColumn("sb", F.lit(0).cast("bigint"))
+    else:
+        # hashes of scopes may meet by chance: tasks compare the scopes themselves
+        count = lambda df, size, n: df.filter(F.col(scope).isNotNull()).groupBy(F.xxhash64(scope).alias("sb")).agg(F.ceil(F.count("*") / size).cast("int").alias(n))
+        grid = count(questions, QUESTIONS, "_nq").join(count(corpus, DOCUMENTS, "_nd"), "sb")  # one row a scope
+        q, d = (df.withColumn("sb", F.xxhash64(scope)).filter(F.col(scope).isNotNull()).join(grid, "sb") for df in (asked, rows))
+        nq, nd = F.col("_nq"), F.col("_nd")
+    q = q.withColumns({"qb": F.pmod(qhash, nq).cast("int"), "db": F.explode(F.sequence(F.lit(0), nd.cast("int") - 1))})
+    d = d.withColumns({"db": F.pmod(dhash, nd).cast("int"), "qb": F.explode(F.sequence(F.lit(0), nq.cast("int") - 1))})
+    return q.drop("_nq", "_nd"), d.drop("_nq", "_nd")
+
+
+def _best(scores: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
+    """query_id, doc_id, score of the k best columns of every row, ties to the smaller id; -inf is no score."""
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    i, j = np.nonzero((scores >= least[:, None]) & (scores > -np.inf))
+    pdf = pd.DataFrame({"at": i, "query_id": names[i], "doc_id": ids[j], "score": scores[i, j]})
+    pdf = pdf.sort_values(["at", "score", "doc_id"], ascending=[True, False, True], kind="stable")
+    return pdf[pdf.groupby("at").cumcount() < k].drop(columns="at")
+
+
+def _ranking_schema(questions: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("query_id", questions.schema["query_id"].dataType), T.StructField("doc_id", corpus.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+
+
+def bm25(questions: DataFrame, corpus: DataFrame, k: int = 10, k1: float = K1, b: float = B, scope: str | None = None) -> DataFrame:
     """query_id, doc_id, score, rank by BM25.
 
     A term counts as often as the question repeats it. Documents without a shared term are not ranked. Documents with null texts
-    count in the number of documents with length 0; an empty corpus gives no rows.
+    count in the number of documents with length 0; an empty corpus gives no rows. Term statistics are those of the whole corpus, also with
+    a scope; a null scope matches nothing. Rows of one query_id are one question, rows of one doc_id one document.
     """
-    asked = questions.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    within = [scope] if scope else []
+    asked = questions.select("query_id", *within, F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", *within, "term").agg(F.count("*").alias("qtf"))
     wanted = asked.select("term").distinct()
     lengths = corpus.select(F.size(terms(F.col("text"))).alias("dl"))
     stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))  # one row
     # terms nobody asks for are dropped before they are counted
-    found = corpus.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    found = found.join(wanted, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    found = corpus.select("doc_id", *within, terms(F.col("text")).alias("t")).select("doc_id", *within, F.size("t").alias("dl"), F.explode("t").alias("term"))
+    found = found.join(wanted, "term", "left_semi").groupBy("doc_id", *within, "term", "dl").agg(F.count("*").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = weights.select("query_id", "term", (idf * F.col("qtf")).alias("w"), "avgdl")
-    hits = found.join(weights, "term")
+    weights = weights.select("query_id", *within, "term", (idf * F.col("qtf")).alias("weight"))
+    hits = found.crossJoin(F.broadcast(stats))
     saturation = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.when(F.col("avgdl") > 0, F.col("dl") / F.col("avgdl")).otherwise(1.0)))
-    scores = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * saturation).alias("score"))
-    return ranked(scores, k)
+    hits = hits.select("doc_id", *within, "term", saturation.alias("weight"))
+    q, d = _meeting(weights, hits, questions, corpus, scope)
+    sides = q.withColumn("side", F.lit(0)).unionByName(d.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    schema = _ranking_schema(questions, corpus)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, d = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        if q.empty or d.empty:
+            return pd.DataFrame({"query_id": pdf.query_id.iloc[:0], "doc_id": pdf.doc_id.iloc[:0], "score": np.empty(0)})
+        qi, names = pd.factorize(q.query_id)
+        di, ids = pd.factorize(d.doc_id)
+        scores = np.full((len(names), len(ids)), 0.0)
+        seen = np.zeros(scores.shape, bool)
+        qw, dw = q.weight.to_numpy(), d.weight.to_numpy()
+        mine = q.groupby("term", sort=False).indices
+        for term, there in d.groupby("term", sort=False).indices.items():
+            if term in mine:
+                here = np.ix_(qi[mine[term]], di[there])
+                scores[here] += qw[mine[term]][:, None] * dw[there][None, :]
+                seen[here] = True
+        if scope:
+            seen &= _of_rows(q[scope], qi)[:, None] == _of_rows(d[scope], di)[None, :]
+        scores[~seen] = -np.inf
+        return _best(np.round(scores, 9), np.asarray(names), np.asarray(ids), k)
+
+    # sums of another order may differ in the last digits; candidates are cut as they are ranked, rounded
+    return ranked(sides.groupBy("sb", "qb", "db").applyInPandas(meet, schema), k)
+
+
+def _of_rows(values: pd.Series, codes: np.ndarray) -> np.ndarray:
+    """The value of every code's first row."""
+    return values.to_numpy()[np.unique(codes, return_index=True)[1]]
+
+
+def dense(questions: DataFrame, corpus: DataFrame, k: int = 10, scope: str | None = None) -> DataFrame:
+    """query_id, doc_id, score, rank by cosine, exact: every question against every row (of its scope).
+
+    questions (query_id, v), corpus (doc_id, v). Null and zero vectors, those with a value that isn't finite and those of another width
+    are not ranked, nor do they ask; a null scope matches nothing. Vectors travel as bytes of their own precision.
+    """
+    within = [scope] if scope else []
+    single = all(isinstance(df.schema["v"].dataType.elementType, T.FloatType) for df in (questions, corpus))
+    kind = np.float32 if single else np.float64
+
+    def packed(df: DataFrame, name: str) -> DataFrame:
+        def pack(batches):
+            for pdf in batches:
+                some = [np.asarray(v, kind) for v in pdf.v]
+                good = np.array([np.isfinite(v).all() and v.any() for v in some], bool)
+                yield pdf[good].assign(v=[v.tobytes() for v, g in zip(some, good, strict=True) if g])
 
+        df = df.filter(F.col(name).isNotNull() & (F.size("v") > 0)).select(name, *within, "v")
+        return df.mapInPandas(pack, T.StructType([f if f.name != "v" else T.StructField("v", T.BinaryType()) for f in df.schema.fields]))
 
-def dense(questions: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank by cosine, exact: every question against every row.
+    def units(vectors: pd.Series) -> np.ndarray:
+        m = np.stack([np.frombuffer(v, kind) for v in vectors]).astype(np.float64)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
 
-    questions (query_id, v), corpus (doc_id, v). Null and zero vectors and those of another width are not ranked. The corpus is
-    multiplied where it lies, by one block of at most about BLOCK questions after another; a task hands on its k best per question.
-    """
-    asked = questions.filter("query_id is not null and v is not null and size(v) > 0").select("query_id", "v")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    rows = corpus.filter("doc_id is not null and v is not null and size(v) > 0").select("doc_id", "v")
-    qid, did = questions.schema["query_id"].dataType, corpus.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("query_id", qid), T.StructField("doc_id", did), T.StructField("score", T.DoubleType())])
-    parts = []
-    for g in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == g).toPandas()
-        by_width = {w: (some.query_id.to_numpy(), _unit(some.v)) for w, some in block.groupby(block.v.map(len))}
-        shared = corpus.sparkSession.sparkContext.broadcast(by_width)
-
-        def multiply(batches, shared=shared):
-            best: dict[object, tuple[np.ndarray, np.ndarray]] = {}
-            for pdf in batches:
-                for width, some in pdf.groupby(pdf.v.map(len)):
-                    if width not in shared.value:
-                        continue
-                    names, a = shared.value[width]
-                    ids, b = some.doc_id.to_numpy(), _unit(some.v)
-                    ids, b = ids[np.abs(b).sum(axis=1) > 0], b[np.abs(b).sum(axis=1) > 0]
-                    for start in range(0, len(ids), 4096):
-                        s = np.round(a @ b[start : start + 4096].T, 9)
-                        for i in np.nonzero(np.abs(a).sum(axis=1) > 0)[0]:
-                            known_ids, known = best.get(names[i], (ids[:0], s[i][:0]))
-                            both_ids, both = np.append(known_ids, ids[start : start + 4096]), np.append(known, s[i])
-                            order = np.lexsort((both_ids, -both))[:k]
-                            best[names[i]] = both_ids[order], both[order]
-            for q, (ids, s) in best.items():
-                yield pd.DataFrame({"query_id": q, "doc_id": ids, "score": s})
-
-        parts.append(rows.mapInPandas(multiply, schema))
-    return ranked(reduce(DataFrame.unionByName, parts), k)
-
-
-def _unit(vectors: pd.Series) -> np.ndarray:
-    m = np.stack([np.asarray(v, np.float64) for v in vectors])
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    q, d = _meeting(packed(questions, "query_id"), packed(corpus, "doc_id"), questions, corpus, scope)
+    sides = q.withColumn("side", F.lit(0)).unionByName(d.withColumn("side", F.lit(1)), allowMissingColumns=True)
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, own in pdf.groupby(pdf.v.map(len)):
+            q, d = own[own.side == 0], own[own.side == 1]
+            if len(q) and len(d):
+                a, b = units(q.v), units(d.v)
+                for start in range(0, len(d), 4096):
+                    some = slice(start, start + 4096)
+                    scores = np.round(a @ b[some].T, 9)
+                    if scope:
+                        scores[q[scope].to_numpy()[:, None] != d[scope].to_numpy()[some][None, :]] = -np.inf
+                    parts.append(_best(scores, q.query_id.to_numpy(), d.doc_id.to_numpy()[some], k))
+        if not parts:
+            return pd.DataFrame({"query_id": pdf.query_id.iloc[:0], "doc_id": pdf.doc_id.iloc[:0], "score": np.empty(0)})
+        best = pd.concat(parts).sort_values(["score", "doc_id"], ascending=[False, True], kind="stable")
+        return best[best.groupby("query_id").cumcount() < k]
+
+    return ranked(sides.groupBy("sb", "qb", "db").applyInPandas(meet, _ranking_schema(questions, corpus)), k)
+
+
+def known_only(ranking: DataFrame, corpus: DataFrame) -> DataFrame:
+    """A ranking without documents that the corpus lacks; ranks stay."""
+    return ranking.join(corpus.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
+def texts_to_encode(questions: DataFrame, corpus: DataFrame) -> DataFrame:
+    """key, text: every distinct text of questions and corpus, as a cache of vectors needs them; texts that differ in spacing alone are one."""
+    texts = questions.select("text").unionByName(corpus.select("text")).filter("text is not null")
+    return texts.groupBy(text_key(F.col("text")).alias("key")).agg(F.min("text").alias("text"))
 
 
 def fuse(rankings: DataFrame, limit: int = 10, k: int = FUSION_K) -> DataFrame:
@@ -169,13 +246,28 @@ def anchors(anchored: DataFrame, corpus: DataFrame, most: int = 3) -> DataFrame:
     return out.select("anchor_id", F.explode(docs).alias("doc_id"))
 
 
+def anchored_documents(anchored: DataFrame, hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """example_id, doc_id, place: the documents that an example's anchors name, each once, in the order of anchors and then of the corpus.
+
+    anchored (example_id, anchor_id, pos), hits as of `anchors`, corpus (doc_id, pos). Places count from 0.
+    """
+    each = anchored.select("example_id", "anchor_id", F.col("pos").alias("_a")).join(hits, "anchor_id").join(corpus.select("doc_id", F.col("pos").alias("_c")), "doc_id")
+    first = each.groupBy("example_id", "doc_id").agg(F.min(F.struct("_a", "_c")).alias("at"))
+    place = F.row_number().over(Window.partitionBy("example_id").orderBy("at", "doc_id")) - 1
+    return first.select("example_id", "doc_id", place.alias("place"))
+
+
 def drift(corpus: DataFrame, indexed: DataFrame) -> DataFrame:
     """doc_id of the documents that the index lacks."""
     return corpus.select("doc_id").join(indexed.select("doc_id"), "doc_id", "left_anti")
 
 
-def parity(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, exact_order, top1, overlap, displacement, one_empty: how far two rankings agree per question."""
+def parity(left: DataFrame, right: DataFrame, k: int = 10, questions: DataFrame | None = None) -> DataFrame:
+    """query_id, exact_order, top1, overlap, displacement, one_empty: how far two rankings agree per question.
+
+    With `questions` (query_id), those that neither side answers are reported too: in the same order and with full overlap, but
+    without a common first document.
+    """
     sides = left.filter(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").alias("l")).join(
         right.filter(F.col("rank") <= k).select("query_id", "doc_id", F.col("rank").alias("r")), ["query_id", "doc_id"], "full_outer"
     )
@@ -187,7 +279,11 @@ def parity(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
         F.coalesce(F.avg(F.when(both, F.abs(F.col("l") - F.col("r")))), F.lit(0.0)).alias("displacement"),
         F.count("l").alias("nl"), F.count("r").alias("nr"),
     )
-    return out.withColumn("one_empty", (F.col("nl") == 0) != (F.col("nr") == 0)).drop("nl", "nr")
+    out = out.withColumn("one_empty", (F.col("nl") == 0) != (F.col("nr") == 0)).drop("nl", "nr")
+    if questions is None:
+        return out
+    empty = {"exact_order": True, "top1": False, "overlap": 1.0, "displacement": 0.0, "one_empty": False}
+    return questions.select("query_id").distinct().join(out, "query_id", "left").fillna(empty)
 
 
 def any_of(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestrata.functions.numbers import cell_value, effective_scale
+from lodestrata.functions.numbers import cell_value, effective_scale, extract_numbers, format_figure
 from lodestrata.functions.text import citation, question_words, requested_year
 
 #: Confidence below which a row is no answer, and what each unexplained word of the question costs.
@@ -26,10 +26,14 @@ DURATION_CELL = r"(?i)\d\s*(?:year|month|day|week)s?\b"
 AMOUNT_LABEL = r"(?i)^\W*(?:amount|total|balance|value|cost|expense|income|profit|loss|benefit|revenue|sales|net|cash|debt|provision|liabilit|asset)"
 
 
+def scale_of(word: Column) -> Column:
+    word = F.lower(word)
+    return F.when(word == "thousands", 1e3).when(word == "millions", 1e6).when(word == "billions", 1e9)
+
+
 def scale_note(text: Column) -> Column:
     """The factor of the first scale note of a text, null if there is none."""
-    word = F.lower(F.concat(F.regexp_extract(text, SCALE_NOTE, 1), F.regexp_extract(text, SCALE_NOTE, 2)))
-    return F.when(word == "thousands", 1e3).when(word == "millions", 1e6).when(word == "billions", 1e9)
+    return scale_of(F.concat(F.regexp_extract(text, SCALE_NOTE, 1), F.regexp_extract(text, SCALE_NOTE, 2)))
 
 
 def inferred_row_unit(label: Column, values: Column) -> Column:
@@ -118,3 +122,27 @@ def carried_scale(notes: DataFrame, document: str = "document_id", position: str
     before = F.last("_end", ignorenulls=True).over(Window.partitionBy(document).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.select(document, "_block", before.alias("_before"))
     return df.withColumn("_in", inside).join(ends, [document, "_block"]).withColumn("scale", F.coalesce("_in", "_before")).drop("_own", "_block", "_in", "_before")
+
+
+def contradictions(answers: DataFrame) -> DataFrame:
+    """Adds contradiction to rows with value (of a resolved cell) and text (narrative): null unless the text states figures none of which
+    agrees with the value within half a percent; then what the cell says and the first three figures of the text."""
+    stated = extract_numbers(F.col("text"))
+    agrees = F.exists("_stated", lambda n: F.abs(n - F.col("value")) <= 0.005 * F.abs("value"))
+    first = F.array_join(F.transform(F.slice("_stated", 1, 3), format_figure), ", ")
+    message = F.concat(F.lit("table cell resolves to "), format_figure(F.col("value")), F.lit("; narrative states "), first)
+    df = answers.withColumn("_stated", stated)
+    return df.withColumn("contradiction", F.when(F.col("value").isNotNull() & (F.size("_stated") > 0) & ~agrees, message)).drop("_stated")
+
+
+def covering_labels(questions: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id, table_id, row_label of the rows whose label holds every word of a question but its numbers: questions that were said to have no
+    answer, and may have one. questions (query_id, text), rows (table_id, row_label).
+
+    Candidates come from an equi-join on the words; a question without words is covered by nothing.
+    """
+    words = lambda c: F.filter(question_words(c), lambda w: ~w.rlike("^[0-9]+$"))
+    q = questions.select("query_id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    each = rows.select("table_id", "row_label").distinct().withColumn("w", F.explode(words(F.col("row_label"))))
+    hits = q.select("query_id", "n", F.explode("w").alias("w")).join(each, "w").groupBy("query_id", "table_id", "row_label", "n").agg(F.count("*").alias("shared"))
+    return hits.filter("shared = n").select("query_id", "table_id", "row_label")

@@ -164,3 +164,26 @@ def report_queue(groups: DataFrame, reports: DataFrame, segments: DataFrame) ->
     each = r.groupBy("cluster_id").agg(F.count("report_id").alias("reports"), F.min("reported_at").alias("first_seen"), F.max("reported_at").alias("last_seen"), F.min_by("segment_id", "report_id").alias("segment_id"))
     named = each.join(segments.select(F.col("id").alias("segment_id"), F.col("name").alias("street")), "segment_id", "left")
     return named.select("cluster_id", "segment_id", "street", "reports", "first_seen", "last_seen").orderBy(F.desc("reports"), F.asc_nulls_last("first_seen"), "cluster_id")
+
+
+def open_queue(groups: DataFrame, reports: DataFrame, segments: DataFrame) -> DataFrame:
+    """The rows of report_queue of groups with an open report (status in any case), with their place in the queue's order."""
+    state = groups.join(reports.select(F.col("id").alias("report_id"), F.lower(F.trim("status")).alias("s")), "report_id")
+    open_ = state.filter("s = 'open'").select("cluster_id").distinct()
+    queue = report_queue(groups, reports, segments).join(open_, "cluster_id", "left_semi")
+    return placed(queue, [F.desc("reports"), F.asc_nulls_last("first_seen"), F.asc("cluster_id")], "reports")
+
+
+def placed(df: DataFrame, order: list[Column], lead: str) -> DataFrame:
+    """Adds place (from 1) in the whole order, whose first column, descending, is the integer `lead`: ranks within each of its values, behind
+    the counts of the greater ones."""
+    sizes = df.groupBy(lead).agg(F.count("*").alias("_n"))  # one row a value
+    before = Window.orderBy(F.desc(lead)).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(lead, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(lead).orderBy(*order[1:]))
+    return df.withColumn("_in", inside).join(sizes, lead).withColumn("place", F.col("_in") + F.col("_before")).drop("_in", "_before")
+
+
+def members(groups: DataFrame) -> DataFrame:
+    """cluster_id, members: the report ids of every group, ascending. For groups of a size that fits a row; larger ones stay in long form."""
+    return groups.groupBy("cluster_id").agg(F.sort_array(F.collect_list("report_id")).alias("members"))

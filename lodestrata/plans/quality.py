@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.numbers import bounding_box
 from lodestrata.operators import metrics
-from lodestrata.session import table
+from lodestrata.operators.proximity import located
+from lodestrata.plans.triage import points_sql
+from lodestrata.session import cut, table
 
-IOUS = [0.5, 0.75]
+THRESHOLDS = [0.5, 0.75]
 
 
 def _raters(spark: SparkSession, d: str) -> DataFrame:
@@ -45,19 +48,28 @@ def match_calibration(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Boxes and predictions for every image, made from its own numbers: shifted, doubled and stray ones among them."""
-    i = table(spark, d, "images").select("id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("pos"), F.element_at(F.array(F.lit("hole"), F.lit("sign"), F.lit("lamp")), (F.col("id") % 3 + 1).cast("int")).alias("label"))
-    x = (F.col("pos") * 40 + F.col("id") % 7).cast("double")
-    box = lambda dx: F.struct((x + dx).alias("x1"), F.lit(0.0).alias("y1"), (x + dx + 30.0).alias("x2"), F.lit(30.0).alias("y2"))
-    truth = i.select(F.col("id").alias("image_id"), "label", "pos", box(F.lit(0.0)).alias("box"))
-    shift = ((F.col("id") * 13 + F.col("pos") * 5) % 23).cast("double")
-    said = i.select(F.col("id").alias("image_id"), "label", "pos", (((F.col("id") * 31 + F.col("pos") * 17) % 1000) / 1000.0).alias("score"), box(shift).alias("box"))
-    return said, truth
+    """Every located report's box of 40 m under its category, and as predictions the boxes of the reports that a matcher took for the same,
+    under their own category, with its score."""
+    key = lambda c: F.lower(F.trim(c))
+    r = table(spark, d, "reports")
+    box = bounding_box(F.col("lat"), F.col("lon"), F.lit(40.0))
+    box = F.struct(box["west"].alias("x1"), box["south"].alias("y1"), box["east"].alias("x2"), box["north"].alias("y2"))
+    boxes = located(r, "id", "id").select("id", box.alias("box"))
+    known = r.filter("category is not null").select(key("point_id").alias("p"), "id", F.col("category").alias("label")).join(boxes, "id")
+    truth = known.select(F.col("id").alias("image_id"), "label", F.col("id").alias("pos"), "box")
+    m = table(spark, d, "report_matches").filter("score is not null").select(F.col("match_id").alias("pos"), "score", key("point_a").alias("p"), key("point_b").alias("q"))
+    said = m.join(known.select("p", F.col("id").alias("image_id")), "p").drop("p").withColumnRenamed("q", "p").join(known.select("p", "label", "box"), "p")
+    return said.select("image_id", "label", "pos", "score", "box"), truth
 
 
 def detection_precision(spark: SparkSession, d: str) -> DataFrame:
     said, truth = _boxes(spark, d)
-    return metrics.average_precision(said, truth, IOUS).withColumn("ap", F.round("ap", 6))
+    return metrics.average_precision(cut(said), cut(truth), THRESHOLDS).withColumn("ap", F.round("ap", 6))
+
+
+def detection_report(spark: SparkSession, d: str) -> DataFrame:
+    said, truth = _boxes(spark, d)
+    return metrics.detection_report(cut(said), cut(truth)).withColumn("value", F.round("value", 6))
 
 
 def source_gates(spark: SparkSession, d: str) -> DataFrame:
@@ -70,7 +82,7 @@ def source_gates(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "rater_kappa": rater_kappa, "rater_kappa_by_kind": rater_kappa_by_kind, "rater_scores": rater_scores, "match_calibration": match_calibration, "detection_precision": detection_precision, "source_gates": source_gates,
+    "rater_kappa": rater_kappa, "rater_kappa_by_kind": rater_kappa_by_kind, "rater_scores": rater_scores, "match_calibration": match_calibration, "detection_precision": detection_precision, "detection_report": detection_report, "source_gates": source_gates,
 }
 
 _RATERS = """ra as (select doc_id, kind, lower(trim(a)) as a, lower(trim(b)) as b from (
@@ -88,7 +100,26 @@ e as (select {key}sum(na * nb) as x from m {group})
 select {key}n, round(observed, 6) as observed, round(x / (n * n), 6) as expected, round(case when x = n * n then 1.0 else (observed - x / (n * n)) / (1 - x / (n * n)) end, 6) as kappa from t join e {using}"""
 
 
+_SIDE = "40 / (111320.0 * greatest(abs(cos(radians(lat))), 1e-6))"
+# one box an image and label: the first prediction in order that overlaps it enough is the hit
+_AP = f"""kn as (select lower(trim(point_id)) as p, r.id, category as label, lon - {_SIDE} as x1, lat - 40 / 111320.0 as y1, lon + {_SIDE} as x2, lat + 40 / 111320.0 as y2 from reports r join {points_sql('reports')} g on g.id = r.id where category is not null),
+sa as (select a.id as image_id, b.label, match_id as pos, score, b.x1, b.y1, b.x2, b.y2 from report_matches m join kn a on a.p = lower(trim(point_a)) join kn b on b.p = lower(trim(point_b)) where score is not null),
+ov as (select s.image_id, s.label, s.pos, s.score, case when t.id is null then 0 else greatest(0, least(s.x2, t.x2) - greatest(s.x1, t.x1)) * greatest(0, least(s.y2, t.y2) - greatest(s.y1, t.y1)) end as i, (s.x2 - s.x1) * (s.y2 - s.y1) + coalesce((t.x2 - t.x1) * (t.y2 - t.y1), 0) as u from sa s left join kn t on t.id = s.image_id and t.label = s.label),
+io as (select *, case when i > 0 then i / (u - i) else 0 end as iou from ov),
+th as (select unnest({{thresholds}})::double as threshold), lb as (select label, count(*) as boxes from kn group by 1),
+hi as (select io.*, threshold, iou >= threshold and row_number() over (partition by threshold, image_id, label, iou >= threshold order by score desc, pos) = 1 as tp from io, th),
+ru as (select *, sum(tp::int) over d as t, row_number() over d as n from hi window d as (partition by threshold, label order by score desc, image_id, pos rows unbounded preceding)),
+en as (select *, max(t / n) over (partition by threshold, label order by score desc, image_id, pos rows between current row and unbounded following) as p from ru),
+ap as (select threshold, label, coalesce(ap, 0) as ap from lb cross join th left join (select threshold, label, sum(case when tp then p / boxes else 0 end) as ap from en join lb using (label) group by 1, 2) using (threshold, label))"""
+
+
 SQL = {
+    "detection_precision": f"with {_AP.format(thresholds='[0.5, 0.75]')} select threshold, label, round(ap, 6) as ap from ap",
+    "detection_report": f"""with {_AP.format(thresholds='[0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]')},
+ca as (select greatest(ceil(score * 10) - 1, 0)::int as bin, score, iou >= 0.5 as ok from io where score between 0 and 1),
+ce as (select coalesce(sum(g), 0) as ece from (select count(*) / (select count(*) from io) * abs(avg(score) - avg(ok::int)) as g from ca group by bin))
+select 'map_50_95' as metric, round(coalesce(avg(ap), 0), 6) as value from ap union all select 'map_50', round(coalesce(avg(ap), 0), 6) from ap where threshold = 0.5 union all select 'ap_50.' || label, round(ap, 6) from ap where threshold = 0.5
+union all select 'ece', round(ece, 6) from ce union all select 'n_predictions', (select count(*) from io)::double""",
     "rater_kappa": _kappa(""),
     "rater_kappa_by_kind": _kappa("kind"),
     "rater_scores": f"""with {_RATERS}, s as (select kind, coalesce(b <> 'none', false) as t, coalesce(a <> 'none', false) as p from ra),

@@ -13,6 +13,8 @@ from lodestrata.streaming import intake
 
 #: Ids that one payload page of filings covers, and so the most rows that a page holds.
 PAGE = 1000
+#: Reports of a registrant that the short index lists.
+FIRST = 5
 SPLIT = "timestamp '2031-06-01 00:00:00'"
 
 
@@ -47,8 +49,9 @@ def filing_index_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filing_index(spark: SparkSession, d: str) -> DataFrame:
-    """A short report beside filing_index_all, as its SQL has it: annual and quarterly reports among a registrant's first five filings of a year."""
-    return filing_index_all(spark, d).filter("pos < 5")
+    """A short report beside filing_index_all: the first FIRST annual and quarterly reports of each registrant."""
+    first = Window.partitionBy("cik").orderBy(F.year("filed_at"), "pos", "accession")
+    return filing_index_all(spark, d).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= FIRST).drop("n")
 
 
 def registrants(spark: SparkSession, d: str) -> DataFrame:
@@ -58,9 +61,9 @@ def registrants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def upserted_reports(spark: SparkSession, d: str) -> DataFrame:
-    """Reports taken in before a day, with those after it put in by source and external id."""
+    """Reports taken in before a day, with those after it put in by source and external id; rows without a time count as before it."""
     r = table(spark, d, "reports").select("id", "source", "external_id", "category", "status", "ingested_at")
-    return sinks.upserted(sinks.upserted(r.limit(0), r.filter(f"ingested_at < {SPLIT}"), ["source", "external_id"], "id"), r.filter(f"ingested_at >= {SPLIT}"), ["source", "external_id"], "id")
+    return sinks.upserted(sinks.upserted(r.limit(0), r.filter(f"coalesce(ingested_at < {SPLIT}, true)"), ["source", "external_id"], "id"), r.filter(f"ingested_at >= {SPLIT}"), ["source", "external_id"], "id")
 
 
 def replaced_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -112,14 +115,15 @@ select external_id as id, date_trunc('milliseconds', captured_at) as captured_at
     "filing_index": """
 with p as (select *, row_number() over (partition by cik, year(filed_at) order by id) - 1 as pos from filings where cik is not null and filed_at is not null)
 select lpad(ltrim(cik, '0'), 10, '0') as cik, pos::int as pos, coalesce(accession, '') as accession, form, filed_at, period_end, coalesce(raw_path, '') as document,
-  'edgar/data/' || ltrim(cik, '0') || '/' || replace(coalesce(accession, ''), '-', '') || '/' || coalesce(raw_path, '') as path, coalesce(kind, '') as items from p where pos < 5 and upper(form) in ('10-K', '10-Q', '20-F')""",
+  'edgar/data/' || ltrim(cik, '0') || '/' || replace(coalesce(accession, ''), '-', '') || '/' || coalesce(raw_path, '') as path, coalesce(kind, '') as items from p where upper(form) in ('10-K', '10-Q', '20-F')
+qualify row_number() over (partition by cik order by year(filed_at), pos, coalesce(accession, '')) <= 5""",
     "filing_index_all": """
 with p as (select *, row_number() over (partition by cik, year(filed_at) order by id) - 1 as pos from filings where cik is not null and filed_at is not null)
 select lpad(ltrim(cik, '0'), 10, '0') as cik, pos::int as pos, coalesce(accession, '') as accession, form, filed_at, period_end, coalesce(raw_path, '') as document,
   'edgar/data/' || ltrim(cik, '0') || '/' || replace(coalesce(accession, ''), '-', '') || '/' || coalesce(raw_path, '') as path, coalesce(kind, '') as items from p where upper(form) in ('10-K', '10-Q', '20-F')""",
     "registrants": "select distinct cik, lpad(ltrim(cik, '0'), 10, '0') as normal from filings",
     "upserted_reports": """
-with r as (select id, source, external_id, category, status, ingested_at, (ingested_at >= timestamp '2031-06-01')::int as side from reports where ingested_at is not null)
+with r as (select id, source, external_id, category, status, ingested_at, coalesce(ingested_at >= timestamp '2031-06-01', false)::int as side from reports)
 select id, source, external_id, category, status, ingested_at from (select *, row_number() over (partition by source, external_id order by side desc, id desc) as n from r) where n = 1 or source is null or external_id is null""",
     "replaced_chunks": """
 with n as (select id, document_id, ordinal, section from chunks where document_id % 3 = 0 and content is not null and ordinal % 2 = 0)
@@ -130,6 +134,8 @@ select min(id), cik, first(form order by id) from filings where id % 2 = 1 and c
     "vector_cache": f"""
 with r as (select id, substr(sha256(trim(regexp_replace(description, '{_SPACE}', ' ', 'g'))), 1, 32) as key, text_embedding as v from reports where len(text_embedding) = 384 and description is not null)
 select key, len(v)::int as width, round(list_sum(v::double[]), 6) as total from r qualify row_number() over (partition by key order by id) = 1""",
+    "json_rows": """
+select '{' || array_to_string(list_filter(['"id":' || id, '"document_id":' || document_id, '"ordinal":' || ordinal, '"caption":' || to_json(caption), '"unit":' || to_json(unit)], lambda x: x is not null), ',') || '}' as value from fin_tables""",
     "streamed_intake": """
 select date_trunc('hour', ts) as hour, event_type, count(*) as events, round(sum(value), 4) as total from (select distinct on (event_id) * from events) group by 1, 2""",
 }

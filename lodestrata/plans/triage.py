@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.numbers import bounding_box
+from lodestrata.functions.text import NOISE_WORDS
 from lodestrata.operators import metrics, triage
-from lodestrata.operators.proximity import located
+from lodestrata.operators.proximity import located, pairs_within
 from lodestrata.session import cut, table
 
 THRESHOLDS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8]
@@ -58,6 +59,22 @@ def _judged_pairs(spark: SparkSession, d: str) -> DataFrame:
     return triage.scored_pairs(r).join(m, ["a_id", "b_id"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def open_queue(spark: SparkSession, d: str) -> DataFrame:
+    """The same of groups that are still open, gravest first: by reports, standing in for severity."""
+    return triage.open_queue(_deliveries(spark, d), _reports(spark, d), table(spark, d, "segments"))
+
+
+def dedupe_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pair metrics at the rule's threshold; pairs of two segments are the hard ones."""
+    pairs = cut(_judged_pairs(spark, d).select(F.col("matched").alias("truth"), (F.col("in_time") & (F.round("score", 9) >= triage.DedupeRule().threshold)).alias("said"), "same_segment"))
+    return metrics.dedupe_report(pairs, hard=~F.col("same_segment")).withColumn("value", F.round("value", 6))
+
+
+def cluster_members(spark: SparkSession, d: str) -> DataFrame:
+    """Members of every group of deliveries, in order, as one text."""
+    return triage.members(_deliveries(spark, d)).select("cluster_id", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
 def duplicate_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Precision and recall of the score against accepted matches, per threshold."""
     pairs = _judged_pairs(spark, d).withColumn("score", F.round("score", 9))
@@ -73,8 +90,11 @@ def duplicate_quality(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _masks(spark: SparkSession, d: str) -> DataFrame:
-    """A mask and a depth for every image, made from its own numbers."""
-    return table(spark, d, "images").select("id", "width", ((F.col("id") * 37) % 9000).cast("double").alias("mask_px"), ((F.col("id") % 29) + 1).cast("double").alias("depth_m"))
+    """Images with a report within 30 m: the nearest one's distance as depth, and as mask the part of the picture that the camera's angle names."""
+    i = table(spark, d, "images")
+    near = pairs_within(cut(located(_reports(spark, d), "id", "lid")), cut(located(i, "id", "rid")), 30.0).groupBy(F.col("rid").alias("id")).agg(F.min("metres").alias("depth_m"))
+    part = F.col("width") * F.col("height") * F.pmod("compass_angle", F.lit(360.0)) / 3600.0
+    return i.select("id", "width", part.alias("mask_px")).join(near, "id")
 
 
 def mask_extents(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +116,7 @@ def missing_locations(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "duplicate_candidates": duplicate_candidates, "semantic_duplicates": semantic_duplicates, "report_clusters": report_clusters, "first_deliveries": first_deliveries, "report_queue": report_queue,
+    "duplicate_candidates": duplicate_candidates, "semantic_duplicates": semantic_duplicates, "report_clusters": report_clusters, "first_deliveries": first_deliveries, "report_queue": report_queue, "open_queue": open_queue, "dedupe_report": dedupe_report, "cluster_members": cluster_members,
     "duplicate_sweep": duplicate_sweep, "duplicate_quality": duplicate_quality, "mask_extents": mask_extents, "report_boxes": report_boxes, "missing_locations": missing_locations,
 }
 
@@ -117,7 +137,7 @@ def metres_sql(a: str, b: str) -> str:
     )
 
 
-_NOISE = "('the','a','an','of','on','at','in','near','by','and','to','is','are','was','were','please','fix','report','reported','there','this','that','it','its','my','our')"
+_NOISE = f"({', '.join(f"'{w}'" for w in NOISE_WORDS)})"
 _WORDS = f"list_distinct(list_filter(regexp_extract_all(lower(coalesce(description, '')), '[a-z0-9]+'), lambda t: t not in {_NOISE}))"
 
 
@@ -157,6 +177,17 @@ select id as report_id, coalesce(label, id) as cluster_id from reports left join
 with g as (select id, min(id) over (partition by source, external_id) as cluster_id, segment_id, reported_at from reports where source is not null and external_id is not null)
 select cluster_id, first(segment_id order by g.id) as segment_id, (select name from segments s where s.id = first(g.segment_id order by g.id)) as street, count(*) as reports, min(reported_at) as first_seen, max(reported_at) as last_seen
 from g group by cluster_id""",
+    "open_queue": """
+with g as (select id, min(id) over (partition by source, external_id) as cluster_id, segment_id, reported_at, status from reports where source is not null and external_id is not null),
+q as (select cluster_id, first(segment_id order by id) as segment_id, count(*) as reports, min(reported_at) as first_seen, max(reported_at) as last_seen, bool_or(lower(trim(status)) = 'open') as open from g group by 1)
+select cluster_id, segment_id, s.name as street, reports, first_seen, last_seen, row_number() over (order by reports desc, first_seen nulls last, cluster_id) as place from q left join segments s on s.id = segment_id where open""",
+    "dedupe_report": f"""with {_JUDGED}, p as (select matched as t, in_time and round(score, 9) >= 0.62 as p, same_segment from ju),
+c as (select count(*) filter (t and p) as tp, count(*) filter (not t and p) as fp, count(*) filter (t and not p) as fn, avg((t = p)::int) as acc, avg((p and not t)::int) as fm, avg((t = p)::int) filter (not same_segment) as hard from p)
+select x.m as metric, round(x.v::double, 6) as value from (select unnest([{{'m': 'pair_precision', 'v': case when tp + fp > 0 then tp / (tp + fp) else 0 end}}, {{'m': 'pair_recall', 'v': case when tp + fn > 0 then tp / (tp + fn) else 0 end}},
+  {{'m': 'pair_f1', 'v': case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end}}, {{'m': 'pair_support', 'v': tp + fn}}, {{'m': 'accuracy', 'v': acc}}, {{'m': 'false_merge_rate', 'v': fm}}, {{'m': 'accuracy.hard', 'v': hard}}]) as x from c) where x.v is not null""",
+    "cluster_members": """
+with g as (select id, min(id) over (partition by source, external_id) as cluster_id from reports where source is not null and external_id is not null)
+select cluster_id, string_agg(id, ',' order by id) as members from g group by 1""",
     "duplicate_sweep": f"""with {_JUDGED}
 select threshold, count(*) filter (matched and p) as tp, count(*) filter (not matched and p) as fp, count(*) filter (matched and not p) as fn,
   round(case when count(*) filter (p) > 0 then count(*) filter (matched and p) / count(*) filter (p) else 0 end, 6) as precision,
@@ -166,9 +197,11 @@ from (select matched, threshold, round(score, 9) >= threshold as p from ju, (sel
 c as (select slice, count(*) filter (matched and p) as tp, count(*) filter (not matched and p) as fp, count(*) filter (matched and not p) as fn from sl group by slice)
 select slice, tp, fp, fn, round(case when tp + fp > 0 then tp / (tp + fp) else 0 end, 6) as precision, round(case when tp + fn > 0 then tp / (tp + fn) else 0 end, 6) as recall,
   round(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end, 6) as f1, tp + fn as support from c""",
-    "mask_extents": """
-with m as (select id, width, ((id * 37) % 9000)::double as px, ((id % 29) + 1)::double as depth from images),
-a as (select id, case when px > 0 and width > 0 then px * pow(depth / (width / 2.0 / tan(radians(70) / 2)), 2) else 0.0 end as area from m)
+    "mask_extents": f"""
+with r as materialized {points_sql('reports')}, im as materialized {points_sql('images')},
+ne as (select im.id, min({metres_sql('r', 'im')}) as depth from r join im on im.lat between r.lat - 0.0004 and r.lat + 0.0004 where {metres_sql('r', 'im')} <= 30 group by 1),
+m as (select i.id, width, width::bigint * height * (((compass_angle % 360) + 360) % 360) / 3600.0 as px, depth from images i join ne on ne.id = i.id),
+a as (select id, case when px > 0 and width > 0 and depth > 0 then px * pow(depth / (width / 2.0 / tan(radians(70) / 2)), 2) else 0.0 end as area from m)
 select id, round(area, 6) as area_m2, round(200 * sqrt(area / pi()), 4) as extent_cm, case when 200 * sqrt(area / pi()) >= 45 then 'large' when 200 * sqrt(area / pi()) >= 20 then 'medium' else 'small' end as band from a""",
     "report_boxes": f"""
 select id, round(lon - 40 / (111320.0 * greatest(abs(cos(radians(lat))), 1e-6)), 8) as west, round(lat - 40 / 111320.0, 8) as south,

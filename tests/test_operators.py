@@ -164,7 +164,7 @@ PAGE = """<p>(Dollars in millions)</p><table><tr><td>Result</td><td colspan="2">
 
 def test_html_tables(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, "<table><tr><td>a<td>b</table>")], "doc_id long, html string")
-    got = rows(html.read_tables(pages).select("label", "column", "raw", "unit", "scale"))
+    got = rows(html.read_tables(pages).select("label", "column", "raw", "row_unit", "scale"))
     assert got == [("Margin", "2030", "33%", "percent", 1e6), ("Margin", "2031", "34.2%", "percent", 1e6), ("Net & gross", "2030", "(56)", None, 1e6), ("Net & gross", "2031", "1,234", None, 1e6)]
     assert {(r.doc_id, r.table_no): r.reason for r in html.table_verdicts(pages).collect()} == {(1, 0): None, (1, 1): "too few rows", (3, 0): "too few rows"}
 
@@ -181,6 +181,53 @@ def test_banded_and_stacked_tables(spark):
     assert {r.doc_id: r.reason for r in html.table_verdicts(pages).collect()} == {1: None, 2: "stacked header", 3: "no year header", 4: "no year header"}
 
 
+def table_of(*trs):
+    return "<table>" + "".join("<tr>" + "".join(f"<td>{x}</td>" for x in tr) + "</tr>" for tr in trs) + "</table>"
+
+
+YEARS = ("", "2031", "2030")
+
+
+def test_titles_captions_and_units_of_tables(spark):
+    page = "<div><h2>Note 4</h2><p>Segments</p>" + table_of(("Sales by segment",), ("(Millions of dollars)",), YEARS, ("Rail", "1", "(2)"), ("Sea", "—", "n/a")) + "tail</div><div>" + table_of(YEARS, ("Rail", "3", "4"), ("Sea", "5", "6")) + "</div>"
+    got = {(r.table_no, r.label, r.column): r for r in html.read_tables(spark.createDataFrame([("f", page)], "doc_id string, html string")).collect()}
+    first, second = got[0, "Rail", "2030"], got[1, "Rail", "2030"]
+    assert (first.caption, first.unit, first.scale, first.inherited, first.value, first.table_id) == ("Sales by segment | (Millions of dollars) | Note 4 | Segments", "USD", 1e6, False, -2e6, "f-t0")
+    assert (second.caption, second.unit, second.scale, second.inherited, second.value) == (" [scale inherited from section]", "unknown", 1e6, True, 4e6)
+    assert got[0, "Sea", "2031"].value is None and got[0, "Sea", "2030"].value is None
+
+
+def test_row_scales_carry_to_rows_of_their_kind(spark):
+    """A scale stated on one row holds for rows of the same kind that take none from the table, and for no others."""
+    page = table_of(("(in thousands)",), YEARS, ("Number of shares, basic", "10", "11"), ("Shares outstanding (in millions)", "12", "13"), ("Sales (in billions)", "2", "3"), ("Costs", "4", "5"), ("Margin", "6%", "7%"))
+    got = {(r.label, r.column): (r.row_unit, r.row_scale, r.value) for r in html.read_tables(spark.createDataFrame([(1, page)], "doc_id long, html string")).collect()}
+    assert got["Number of shares, basic", "2031"] == ("count", 1e6, 10e6) and got["Shares outstanding (in millions)", "2030"] == ("count", 1e6, 13e6)
+    assert got["Sales (in billions)", "2031"] == (None, 1e9, 2e9) and got["Costs", "2030"] == (None, None, 5e3) and got["Margin", "2031"] == ("percent", None, 6.0)
+
+
+def test_scale_of_the_table_beats_its_caption_and_the_section(spark):
+    note = "<p>(Dollars in millions)</p>"
+    page = note + "<div>" + table_of(("(in thousands)",), YEARS, ("A", "1", "2"), ("B", "3", "4")) + "</div>" + note + table_of(YEARS, ("A", "1", "2"), ("B", "3", "4")) + "<div>" + table_of(YEARS, ("A", "1", "2"), ("B (in billions)", "3", "4")) + "</div>"
+    got = {r.table_no: (r.scale, r.inherited) for r in html.read_tables(spark.createDataFrame([(1, page)], "doc_id long, html string")).collect()}
+    assert got == {0: (1e3, False), 1: (1e6, False), 2: (1e9, False)}
+
+
+def test_spans_rows_and_previews(spark):
+    wide = "<table><tr><td colspan='999999999'>T</td></tr><tr><td rowspan='3'>a</td><td colspan='x'>b</td></tr><tr><td>c</td></tr></table>"
+    blank = table_of(YEARS, ("", "", ""), ("Rail", "1", "2"), ("Sea", "3", "4"))
+    pages = spark.createDataFrame([(1, wide), (2, blank), (3, table_of(("x",), ("y",)) + "<p>no table</p>")], "doc_id long, html string")
+    assert [(r.row_no, r.col_no, r.text) for r in html.page_cells(pages).filter("doc_id = 1 and row_no >= 0").orderBy("row_no", "col_no").collect()] == [(0, 0, "T"), (1, 0, "a"), (1, 1, "b"), (2, 1, "c")]
+    said = {r.doc_id: (r.reason, r.preview) for r in html.table_verdicts(pages).collect()}
+    assert said == {1: ("no year header", "T a b c"), 2: (None, "2031 2030 Rail 1 2 Sea 3 4"), 3: ("too few rows", "x y")}
+    assert {r.doc_id: (r.tables, r.rate) for r in html.extraction_rates(html.table_verdicts(pages)).collect()} == {1: (1, 0.0), 2: (1, 1.0), 3: (1, 0.0)}
+
+
+def test_narrative_and_bytes(spark):
+    page = "<html><head><style>p {}</style></head><body><p>Plant — grew</p>" + table_of(("a", "1")) + "lost tail<script>x()</script><div>by  <b>four</b></div></body></html>"
+    df = spark.createDataFrame([(1, bytearray(b"<?xml encoding='ASCII'?>" + page.encode())), (2, None), (3, bytearray(b""))], "doc_id long, html binary")
+    assert rows(html.narrative_texts(df)) == [(1, "Plant — grew\nby\nfour"), (3, "")]
+
+
 # --------------------------------------------------------------------- triage
 
 
