@@ -2,7 +2,8 @@
 
 Texts are cut into words by the vocabulary's pattern; the distinct words of a batch are bucketed by byte length into padded
 matrices. Each round every row merges its leftmost pair of least rank, found through a hash table of pairs, and the matrix is
-compacted; rows without a mergeable pair leave. Words once encoded are kept in a bounded cache.
+compacted; rows without a mergeable pair leave. Very long words are rows of their own that merge all their disjoint pairs of least rank in a
+round, which gives the same ids, as a merged token is only ever part of tokens of greater rank. Words once encoded are kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 _GONE = np.int32(-1)
 _NEVER = np.int32(2**31 - 1)
 _CACHE_WORDS = 400_000
+#: Bytes from which a word is merged by itself.
+LONG = 512
 
 
 class Vocabulary:
@@ -112,6 +115,25 @@ class Vocabulary:
                 ranks[n[before], at[before] - 1] = self.pair_ranks(ids[n[before], at[before] - 1], ids[n[before], at[before]])
         return out
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Ids of one word: every round merges all disjoint pairs of the least rank, from the left."""
+        ids = self.bytes[np.frombuffer(word, np.uint8)]
+        ranks = self.pair_ranks(ids[:-1], ids[1:])
+        while len(ranks) and (least := ranks.min()) != _NEVER:
+            at = np.nonzero(ranks == least)[0]
+            # of pairs that overlap every other one is merged, from the left of their run
+            first = np.concatenate([[True], np.diff(at) > 1])
+            start = at[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]
+            at = at[(at - start) % 2 == 0]
+            ids[at] = least
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, ranks = ids[keep], np.append(ranks, _NEVER)[keep][:-1]
+            at = at - np.arange(len(at))
+            near = np.unique(np.concatenate([at[at < len(ranks)], at[at > 0] - 1]))
+            ranks[near] = self.pair_ranks(ids[near], ids[near + 1])
+        return ids
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of every text; null and empty texts give an empty array."""
         split = [self.pattern.findall(t) if t else [] for t in texts]
@@ -122,6 +144,9 @@ class Vocabulary:
                 known.clear()
                 fresh = {w for words in split for w in words}
             as_bytes = sorted(((w.encode("utf-8", "surrogatepass"), w) for w in fresh), key=lambda x: len(x[0]))
+            while as_bytes and len(as_bytes[-1][0]) >= LONG:
+                b, w = as_bytes.pop()
+                known[w] = self.merge_long(b)
             start = 0
             while start < len(as_bytes):
                 short = len(as_bytes[start][0])
