@@ -27,7 +27,7 @@ def contract(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         both = e.select(F.col("a").alias("vertex"), order("b").alias("o")).unionByName(e.select(F.col("b").alias("vertex"), order("a").alias("o")))
         least = both.groupBy("vertex").agg(F.min("o").alias("o"))
         hook = cut(least.select("vertex", F.least(order("vertex"), F.col("o"))["v"].alias("to")))
-        # the hooks of one round form trees; two steps follow them far enough, the rest is left to later rounds
+        # the hooks of one round form trees; each vertex follows its own hook one step, the rest is left to later rounds
         hooks.append(hook)
         e = e.join(hook.withColumnsRenamed({"vertex": "a", "to": "ra"}), "a").join(hook.withColumnsRenamed({"vertex": "b", "to": "rb"}), "b")
         e = cut(e.filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())

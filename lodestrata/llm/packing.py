@@ -60,6 +60,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return rows
 
 
+#: Items of one length that are ranked in one task, about.
+RANKED = 500_000
+
+
 def ranked_within(items: DataFrame, key: str, order: str, buckets: int = 64) -> DataFrame:
     """Adds rank (from 0) within `key`, by hash bucket of `order`, then `order`; equal rows get different ranks."""
     df = items.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int"))
@@ -99,7 +103,8 @@ def pack(items: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "part": pdf.full, "container": container, "tokens": pdf.rest.astype("int32")})
 
     schema = "doc_id long, part int, container long, tokens int"
-    placed = ranked_within(rests, "rest", "doc_id").select("doc_id", "rest", "full", "rank").mapInPandas(take, schema)
+    buckets = max(64, -(-max(counts.values(), default=0) // RANKED))
+    placed = ranked_within(rests, "rest", "doc_id", buckets).select("doc_id", "rest", "full", "rank").mapInPandas(take, schema)
     whole = sized.filter("full > 0").select("doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("part"))
     copy = F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("doc_id"))  # equal ids are items of their own
     own = -1 - F.abs(F.xxhash64("doc_id", "part", copy) % F.lit(2**62))
