@@ -404,10 +404,22 @@ def test_disguises(disguised, want):
     assert abuse.words(abuse.plain(disguised)) == want
 
 
-def test_training_is_repeatable():
-    frame = pd.DataFrame({"label": [1, 0] * 20, "windows": [[("bad", "word")], [("good", "day")]] * 20})
-    a, b = abuse.fit(frame), abuse.fit(frame)
-    assert np.array_equal(a.table, b.table) and a.probabilities([("bad", "word")])[0, 1] > 0.5
+@pytest.mark.parametrize("word", ["x" * 55 + "bastard", "1x2y3z4w5v6u7" + "bastard" * 3, "b.a.s.t.a.r.d " * 20])
+def test_every_letter_of_a_long_word_is_read(word):
+    pieces = abuse.words(abuse.plain(word))
+    assert any("bastard" in w for w in pieces) and all(len(w) <= abuse.PIECE for w in pieces)
+    assert abuse.words("0123456789abcdef0123") == ["9"]
+
+
+def test_training_is_repeatable_and_reads_every_window(spark):
+    """Of a long labelled document the telling sentence counts wherever it stands; partitions and order of rows change nothing."""
+    dull = [f"The plant in area {i} ran well on day {i * 7} and sold {i * 3} units of item {i % 17}." for i in range(400)]
+    docs = [(i, " ".join(dull[i : i + 300] + (["You are a rotten filthy crook."] if i % 2 else []) + dull[: 40 - i])) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "r", "abusive" if i % 2 else "none") for i, _ in docs], "doc_id long, rater string, label string")
+    a, b = abuse.fit_labels(frame, labels), abuse.fit_labels(frame.repartition(3), labels.repartition(2))
+    assert np.allclose(a.table, b.table, atol=1e-5)
+    assert a.probabilities(abuse.windows("You are a rotten filthy crook."))[:, 0].min() < 0.5 < a.probabilities(abuse.windows(dull[3]))[:, 0].min()
 
 
 # -------------------------------------------------------------------- queries
