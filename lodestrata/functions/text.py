@@ -13,9 +13,10 @@ FILLER_WORDS = (
 ).split()
 NOISE_WORDS = "the a an of on at in near by and to is are was were please fix report reported there this that it its my our".split()
 
+#: A word; a word with the decimals or further groups of a number; a year that a question names.
 WORD = "[a-z0-9]+"
-#: A word, with the decimals or further groups of a number.
 TERM = r"[a-z0-9]+(?:[.,][0-9]+)*"
+NAMED_YEAR = r"(?i)\b(?:fiscal\s+|fy\s*)?((?:19|20)\d{2})\b"
 
 
 def _tokens(text: Column, pattern: str, without: list[str]) -> Column:
@@ -53,7 +54,7 @@ def token_f1(a: Column, b: Column) -> Column:
 
 def requested_year(text: Column) -> Column:
     """The first year 1900-2099 that stands alone, null if none."""
-    return F.nullif(F.regexp_extract(text, r"(?i)\b(?:fiscal\s+|fy\s*)?((?:19|20)\d{2})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(text, NAMED_YEAR, 1), F.lit(""))
 
 
 def squeezed(text: Column) -> Column:
@@ -111,18 +112,18 @@ def no_answer(text: Column) -> Column:
 
 #: Cues that route a question.
 CROSS_MODAL_CUES = ("consistent with", "reconcile", "contradict", "square with", "compare", "differ from", "versus", "match the")
-BELIEF = r"(?i)\b(?:do|does|did)\s+(?:management|the\s+company|they|he|she)\s+(?:believe|think|expect|anticipate|maintain)\b"
-WHY = r"(?i)^\s*(?:why|what\s+drove|what\s+caused)\b"
-REPORTED = r"(?i)\b(?:what|who)\s+(?:did|does)\b.*\b(?:say|state|tell|describe|note)\b|\b(?:say|said)\s+about\b"
+BELIEF = r"(?i)\b(do|does|did)\s+(management|the\s+company|they|he|she)\s+(believe|think|expect|anticipate|maintain)\b"
+WHY = r"(?i)^\s*(why|what\s+drove|what\s+caused)\b"
+REPORTED = r"(?i)\b(what|who)\s+(did|does)\b.*\b(say|state|tell|describe|note)\b|\b(say|said)\s+about\b"
 QUANTITY = (
-    r"(?i)^\s*(?:how\s+(?:much|many|large|small|high|low|concentrated|leveraged)|what\s+(?:proportion|share|percentage|fraction|portion|number|amount)"
+    r"(?i)^\s*(how\s+(much|many|large|small|high|low|concentrated|leveraged)|what\s+(proportion|share|percentage|fraction|portion|number|amount)"
     r"|what\s+were\s+total)\b"
 )
 MEASURES = (
     "revenue", "margin", "rate", "expenditure", "capex", "amount", "balance", "headcount", "employee", "proportion", "guidance", "accrued", "accrual", "income",
     "expense", "cost", "cash", "debt", "backlog", "price", "total", "growth", "per share",
 )
-FIGURE = r"(?i)[$€£]|\b\d+(?:\.\d+)?\s*(?:%|percent|million|billion)\b"
+FIGURE = r"(?i)[$€£]|\b\d+(\.\d+)?\s*(%|percent|million|billion)\b"
 
 
 def _holds_any(text: Column, words: tuple[str, ...]) -> Column:

@@ -30,7 +30,7 @@ LEAF, BLOCK, MOST_PIVOTS = 1500, 6000, 200_000
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle metres between points in degrees; null if any coordinate is."""
+    """Great-circle metres between points in degrees, on a sphere; null if any coordinate is."""
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 

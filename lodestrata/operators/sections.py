@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed value: headings of a filing's items and parts.
+#: Headings of a filing's items and parts, and where a sentence ends.
 HEADING = re.compile(r"^\s*(Item\s+\d+[A-Z]?\.?[^\n]{0,80}|PART\s+[IVX]+[^\n]{0,40})\s*$", re.IGNORECASE | re.MULTILINE)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 

@@ -53,7 +53,7 @@ def near_pairs(reports: DataFrame, rule: DedupeRule) -> DataFrame:
     Reports join by place alone and meet their other columns by equi-joins; those without a usable point have no pairs.
     """
     near = self_pairs_within(cut(located(reports, "id", "id")), rule.radius_m)
-    extra = reports.select("id", F.nullif(F.trim("category"), F.lit("")).alias("category"), "segment_id", "reported_at", "text_embedding", report_words(F.col("description")).alias("words"))
+    extra = reports.select("id", "category", "segment_id", "reported_at", "text_embedding", report_words(F.col("description")).alias("words"))
     side = lambda p: extra.select([F.col(c).alias(f"{p}{c}") for c in extra.columns])
     return near.join(side("a_"), "a_id").join(side("b_"), "b_id")
 
@@ -65,7 +65,8 @@ def _score(rule: DedupeRule) -> Column:
 def duplicate_candidates(reports: DataFrame, rule: DedupeRule | None = None, limit: int = 25) -> DataFrame:
     """report_id, other_id, metres, same_segment, text_similarity, score, rank: the `limit` likeliest duplicates of every report.
 
-    A report without a category takes others of any, one with a category only its like. Two missing segments count as the same.
+    A report with a null category takes others of any, one with a category, were it empty, only its like. Two missing segments count as the
+    same. Distances are great circles on a sphere of 6,371 km, which differ from those on a spheroid by up to half a percent.
     text_similarity is the cosine of the text vectors, null (and 0 in the score) where either has none. Missing times pass.
     """
     rule = rule or DedupeRule()
@@ -80,13 +81,14 @@ def duplicate_candidates(reports: DataFrame, rule: DedupeRule | None = None, lim
 
 
 def scored_pairs(reports: DataFrame, rule: DedupeRule | None = None) -> DataFrame:
-    """a_id < b_id, metres, in_time, same_segment, text_similarity, score of the pairs in reach whose categories don't differ.
+    """a_id < b_id, metres, in_time, same_segment, text_similarity, score of the pairs in reach whose categories don't differ; an empty category
+    differs from none.
 
     Words, or vectors if the rule names a floor for them, give text_similarity, 0 where either is missing; missing segments are
     never the same. in_time tells whether the pair lies within the rule's days, which the score leaves out.
     """
     rule = rule or DedupeRule()
-    pairs = near_pairs(reports, rule).filter(F.coalesce(F.col("a_category") == F.col("b_category"), F.lit(True)))
+    pairs = near_pairs(reports, rule).filter(F.coalesce(F.nullif("a_category", F.lit("")) == F.nullif("b_category", F.lit("")), F.lit(True)))
     if rule.semantic_floor is None:
         similarity = jaccard(F.col("a_words"), F.col("b_words"))
     else:
@@ -132,8 +134,11 @@ def clusters(reports: DataFrame, rule: DedupeRule | None = None) -> DataFrame:
     lon, lat = point_of(F.col("geom"))
     alike = F.lit(0.0) if rule.semantic_floor is not None else F.when(F.size(report_words(F.col("description"))) > 0, rule.w_text).otherwise(0.0)
     sure = (lat.isNotNull() & (rule.w_distance + alike + F.when(F.col("segment_id").isNotNull(), rule.w_segment).otherwise(0.0) >= rule.threshold)) & F.col("reported_at").isNotNull()
-    mark = F.when(sure, F.xxhash64(lat, lon, F.coalesce("category", F.lit("")), "segment_id", "description", "text_embedding", "reported_at")).otherwise(F.col("id"))
-    marked = reports.withColumn("_m", F.struct(sure.alias("s"), mark.alias("m")))
+    sure = F.coalesce(sure, F.lit(False))
+    # the columns themselves tell copies apart, no hash of them
+    same = {"lat": lat + 0.0, "lon": lon + 0.0, "category": F.coalesce("category", F.lit("")), "segment_id": F.col("segment_id"), "description": F.col("description"), "text_embedding": F.col("text_embedding"), "reported_at": F.col("reported_at")}
+    mark = F.struct(sure.alias("s"), F.when(~sure, F.col("id")).alias("id"), *[F.when(sure, c).alias(n) for n, c in same.items()])
+    marked = reports.withColumn("_m", mark)
     first = marked.groupBy("_m").agg(F.min("id").alias("_first"))
     member = marked.select("id", "_m").join(first, "_m").select(F.col("id").alias("report_id"), F.col("_first").alias("first"))
     needed = reports.select("id", "geom", "category", "description", "segment_id", "reported_at", (F.col("text_embedding") if rule.semantic_floor is not None else F.lit(None).cast("array<float>")).alias("text_embedding"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.text import archive_path, normal_cik
+from lodestrata.operators.tables import long_cells
 from lodestrata.session import cut, table
 from lodestrata.sources import readers, sinks
 from lodestrata.streaming import intake
@@ -93,6 +94,37 @@ def json_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.json_rows(t)
 
 
+def ingested_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Filings of even ids as they stand, an intake of those divisible by three, whose chunks of odd ordinal come with them: chunks afterwards."""
+    f = table(spark, d, "filings").filter("accession is not null").select("id", "cik", "accession", "kind")
+    c = table(spark, d, "chunks").join(f.select(F.col("id").alias("document_id"), "accession"), "document_id").select("accession", "id", "ordinal", "section")
+    of = lambda rows, some: rows.join(some.select("accession").distinct(), "accession", "left_semi")
+    issuers = lambda some: some.select("cik").filter("cik is not null").distinct()
+    old, new = f.filter("id % 2 = 0"), f.filter("id % 3 = 0")
+    out = sinks.ingested(issuers(new), new, of(c, new).filter("ordinal % 2 = 1"), (issuers(old), old, of(c, old)))
+    return out[2]
+
+
+def corpus_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as one document per kind, numbered within it."""
+    docs = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "kind", F.md5("text").alias("text"), "section", F.lit(None).cast("string").alias("speaker"), F.col("doc_id").alias("pos"))
+    return sinks.corpus_documents(docs)[1].select("accession", "external_id", "content", "ordinal")
+
+
+def pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Matchers' scores by the contents of both reports."""
+    key = lambda c: F.lower(F.trim(c))
+    r = table(spark, d, "reports").select(key("point_id").alias("p"), F.col("description").alias("text"))
+    m = table(spark, d, "report_matches").select(key("point_a").alias("p"), key("point_b").alias("q"), "score")
+    pairs = m.join(r, "p").select(F.col("text").alias("query"), F.col("q").alias("p"), "score").join(r, "p")
+    return sinks.pair_score_cache(pairs).withColumn("score", F.round(F.col("score").cast("double"), 6))
+
+
+def json_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Every table with its raw cells as one JSON object."""
+    return sinks.table_json(long_cells(table(spark, d, "table_cells"), table(spark, d, "fin_tables")))
+
+
 def streamed_intake(spark: SparkSession, d: str) -> DataFrame:
     """Events streamed from their files, repeats dropped within the watermark, counted per hour and type."""
     return cut(intake.hourly_counts(spark, f"{d}/events.parquet"))
@@ -100,7 +132,8 @@ def streamed_intake(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "open_data": open_data, "image_payloads": image_payloads, "filing_index": filing_index, "filing_index_all": filing_index_all, "registrants": registrants, "upserted_reports": upserted_reports, "replaced_chunks": replaced_chunks,
-    "inserted_filings": inserted_filings, "vector_cache": vector_cache, "json_rows": json_rows, "streamed_intake": streamed_intake,
+    "inserted_filings": inserted_filings, "vector_cache": vector_cache, "json_rows": json_rows, "json_tables": json_tables,
+    "ingested_chunks": ingested_chunks, "corpus_chunks": corpus_chunks, "pair_scores": pair_scores, "streamed_intake": streamed_intake,
 }
 
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -134,6 +167,24 @@ select min(id), cik, first(form order by id) from filings where id % 2 = 1 and c
     "vector_cache": f"""
 with r as (select id, substr(sha256(trim(regexp_replace(description, '{_SPACE}', ' ', 'g'))), 1, 32) as key, text_embedding as v from reports where len(text_embedding) = 384 and description is not null)
 select key, len(v)::int as width, round(list_sum(v::double[]), 6) as total from r qualify row_number() over (partition by key order by id) = 1""",
+    "ingested_chunks": """
+with f as (select id, accession from filings where accession is not null),
+o as (select distinct accession from f where id % 2 = 0), n as (select distinct accession from f where id % 3 = 0),
+c as (select accession, c.id, ordinal, section from chunks c join f on f.id = document_id)
+select * from c where accession in (select accession from o) and accession not in (select accession from n)
+union all select * from c where accession in (select accession from n) and ordinal % 2 = 1""",
+    "corpus_chunks": """
+select 'fixture-' || coalesce(kind, 'filing') as accession, doc_id as external_id, md5(text) as content, (row_number() over (partition by coalesce(kind, 'filing') order by doc_id) - 1)::int as ordinal from documents where text is not null""",
+    "pair_scores": f"""
+with s as (select substr(sha256(trim(regexp_replace(a.description, '{_SPACE}', ' ', 'g')) || chr(0) || trim(regexp_replace(b.description, '{_SPACE}', ' ', 'g'))), 1, 32) as key, score::float as score
+  from report_matches m join reports a on lower(trim(a.point_id)) = lower(trim(point_a)) join reports b on lower(trim(b.point_id)) = lower(trim(point_b)) where score is not null and a.description is not null and b.description is not null)
+select key, round(min(score)::double, 6) as score from s group by key""",
+    "json_tables": """
+with o as (select c.*, t.document_id, caption, coalesce(col_labels[case when col_idx >= 0 then col_idx + 1 else 1 end], '') as col from table_cells c join fin_tables t on t.id = table_id where not is_header qualify row_number() over (partition by table_id, row_idx, col_idx order by cell_id) = 1),
+r as (select table_id, row_idx, first(document_id) as document_id, first(caption) as caption, min(row_label) as label, list(coalesce(raw, '') order by col_idx) as raws, list(col order by col_idx) as cols from o group by 1, 2),
+j as (select table_id, first(document_id) as document_id, first(caption) as caption, first(cols order by row_idx) as cols,
+  string_agg('{' || case when label is not null then '"label":' || to_json(label) || ',' else '' end || '"values":' || to_json(raws) || '}', ',' order by row_idx) as rows from r group by 1)
+select '{"id":' || table_id || case when document_id is not null then ',"document_id":' || document_id else '' end || case when caption is not null then ',"caption":' || to_json(caption) else '' end || ',"columns":' || to_json(cols) || ',"rows":[' || rows || ']}' as value from j""",
     "json_rows": """
 select '{' || array_to_string(list_filter(['"id":' || id, '"document_id":' || document_id, '"ordinal":' || ordinal, '"caption":' || to_json(caption), '"unit":' || to_json(unit)], lambda x: x is not null), ',') || '}' as value from fin_tables""",
     "streamed_intake": """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.numbers import FIGURE, SUFFIX_SCALES, UNIT_WORDS, cell_value, extract_numbers, format_figure, numeric_match
-from lodestrata.functions.text import FILLER_WORDS
+from lodestrata.functions.text import FILLER_WORDS, NAMED_YEAR
 from lodestrata.operators import html, metrics, tables
 from lodestrata.session import spread, table
 
@@ -171,7 +171,7 @@ def _content(text: str) -> str:
 _ANSWERS = f"""with {_LONG},
 qs as (select cell_id as query_id, t.document_id as scope, 'What was ' || row_label || ' in ' || coalesce(col_labels[case when col_idx >= 0 then col_idx + 1 else 1 end], 'the period') || '?' as text
   from table_cells c join fin_tables t on t.id = c.table_id where not is_header and cell_id % 50 = 0 and row_label is not null),
-q as (select query_id, scope, {_content('text')} as qw, nullif(regexp_extract(text, '(?i)\\b(?:fiscal\\s+|fy\\s*)?((?:19|20)\\d{{2}})\\b', 1), '') as year from qs),
+q as (select query_id, scope, {_content('text')} as qw, nullif(regexp_extract(text, '{NAMED_YEAR}', 1), '') as year from qs),
 rw as (select document_id as scope, table_id, row_idx, first(row_label order by col_idx) as row_label, first(caption order by col_idx) as caption, list({{'i': col_idx, 'c': "column", 'r': raw, 'u': unit, 'v': value}} order by col_idx) as cols from lc group by 1, 2, 3),
 rr as (select *, {_content('row_label')} as lw, {_content("concat_ws(' ', row_label, caption, list_aggregate(list_transform(cols, lambda x: coalesce(x.c, '')), 'string_agg', ' '))")} as known from rw),
 se as (select query_id, rr.*, year, qw, case when year is null then cols[1] else list_filter(cols, lambda x: contains(x.c, year))[1] end as cell,

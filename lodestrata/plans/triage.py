@@ -145,7 +145,7 @@ def _pairs(similarity: str, category: str, same: str = "coalesce(a.segment_id =
     return f"""
 pt as materialized {points_sql('reports')},
 xx as materialized (select a.id as a_id, b.id as b_id, {metres_sql('a', 'b')} as metres from pt a join pt b on a.id < b.id and b.lat between a.lat - 0.0004 and a.lat + 0.0004 where {metres_sql('a', 'b')} <= 30),
-rx as (select id, nullif(trim(category), '') as category, segment_id, reported_at, text_embedding, {_WORDS} as w from reports),
+rx as (select id, category, segment_id, reported_at, text_embedding, {_WORDS} as w from reports),
 pb as (select a_id, b_id, metres, {same} as same_segment, {similarity} as text_similarity, a.category as ca, b.category as cb,
   coalesce(abs(epoch_us(a.reported_at) - epoch_us(b.reported_at)) <= 45 * 86400000000, true) as in_time from xx join rx a on a.id = a_id join rx b on b.id = b_id where {category}),
 pa as (select * from pb where {gate}),
@@ -153,7 +153,7 @@ sc as (select *, 0.45 * (1 - least(metres / 30, 1.0)) + 0.35 * coalesce(text_sim
 
 
 _JACCARD = "case when len(a.w) > 0 and len(b.w) > 0 then len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) else 0.0 end"
-_NAMED = "not coalesce(a.category <> b.category, false)"
+_NAMED = "not coalesce(nullif(a.category, '') <> nullif(b.category, ''), false)"
 _COSINE = "case when len(a.text_embedding) = len(b.text_embedding) and len(list_filter(a.text_embedding, lambda x: x <> 0)) > 0 and len(list_filter(b.text_embedding, lambda x: x <> 0)) > 0 then list_cosine_similarity(a.text_embedding::double[], b.text_embedding::double[]) end"
 _SEMANTIC = f"coalesce(greatest(0.0, least(1.0, (({_COSINE}) - 0.4) / 0.6)), 0.0)"
 _JUDGED = f"""{_pairs(_JACCARD, _NAMED)},

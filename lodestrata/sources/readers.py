@@ -21,10 +21,12 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def golden_set(spark: SparkSession, path: str) -> DataFrame:
-    """id, inputs, expected (JSON text), tags (empty by default); a missing field or a repeated id raises."""
+    """id, inputs, expected (JSON text), tags (empty by default); a missing field, a repeated id or a file without rows raises."""
     df = json_lines(spark, path, GOLDEN)
     missing = F.col("id").isNull() | F.col("inputs").isNull() | F.col("expected").isNull()
     df = df.filter(F.when(missing, F.raise_error(F.lit("golden row without id, inputs or expected")).cast("boolean")).otherwise(F.lit(True)))
+    if df.isEmpty():
+        raise ValueError(f"no rows in {path}")
     twice = df.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
     if not twice.isEmpty():
         raise ValueError(f"repeated id {twice.first().id}")
@@ -123,16 +125,18 @@ class PagedJsonReader(DataSourceReader):
         return [PageRange(i, min(self.span, pages - i)) for i in range(0, pages, self.span)]
 
     def read(self, partition: PageRange) -> Iterator[tuple]:
-        import os
+        from pyarrow import fs
 
+        # a path without a scheme is local; others are those of shared storage
+        system, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         for page in range(partition.first, partition.first + partition.pages):
             offset = page * self.size
-            name = os.path.join(self.path, f"{offset}.jsonl")
-            if not os.path.exists(name):
+            name = f"{root.rstrip('/')}/{offset}.jsonl"
+            if system.get_file_info(name).type == fs.FileType.NotFound:
                 return
             n = 0
-            with open(name, encoding="utf-8") as lines:
-                for line in lines:
+            with system.open_input_stream(name) as stream:
+                for line in stream.read().decode("utf-8").splitlines():  # one page of at most page_size rows
                     if line.strip() and n < self.size and offset + n < self.most:
                         yield offset + n, line.strip()
                         n += 1

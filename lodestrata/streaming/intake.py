@@ -6,19 +6,18 @@ Results and progress go to a new folder under the shared folder that the session
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import shared_folder
 from lodestrata.sources.sinks import replace_partitions
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the session's checkpoints; a temporary one only where the session names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "lodestrata-streams")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder beside the session's checkpoints."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def files(spark: SparkSession, path: str, schema_of: DataFrame | None = None) -> DataFrame:
@@ -34,7 +33,8 @@ def _single(spark: SparkSession, path: str) -> bool:
 
 
 def without_repeats(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
-    """The first row of every key; keys are kept no longer than `delay` behind the greatest time seen. Rows without a time pass once."""
+    """The first row of every key; keys are kept no longer than `delay` behind the greatest time seen, and rows that come later than that are
+    lost. Rows without a time pass once."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
@@ -42,7 +42,7 @@ def hourly_counts(spark: SparkSession, path: str, delay: str = "1 day") -> DataF
     """hour, event_type, events, total of everything at the path now, as a stream that ends with it."""
     stream = files(spark, path).withColumn("ts", F.col("ts").cast("timestamp"))
     events = without_repeats(stream, ["event_id"], "ts", delay)
-    folder = shared_folder(spark)
+    folder = stream_folder(spark)
     events.select("event_id", "ts", "event_type", "value").writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start().awaitTermination()
     kept = spark.read.schema("event_id long, ts timestamp, event_type string, value double").parquet(f"{folder}/rows")
     return kept.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("total"))
