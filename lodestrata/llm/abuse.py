@@ -40,7 +40,6 @@ THRESHOLD = 0.5
 #: Gradient below which a bucket's steps shrink, so that what was seen once is not learnt by heart.
 DAMPING = 0.02
 _KEPT = 300_000
-_CHUNK = 1 << 12
 
 #: Letters of other alphabets, digits and signs that pass for Latin letters.
 LOOKALIKES = str.maketrans("авеёкмнорстухіѕјԁɡһӏοαενικρτυ", "abeekmhopctyxisjdghloaevikptu")
@@ -290,30 +289,23 @@ def _epoch(seen: DataFrame, models: list[Model], held_out: bool, before, epoch:
                 model.step([bags[i] for i in use[some]], best[some], strength[some], 0.6)
             times = np.bincount(np.concatenate([bags[i] for i in use]), minlength=BUCKETS).astype(np.float32)
             moved = (model.table - start.table) * times[:, None]
-            for c in range(0, BUCKETS, _CHUNK):
-                part = slice(c, c + _CHUNK)
-                yield pd.DataFrame({"model": [k], "chunk": [c], "table": [moved[part].tobytes()], "times": [times[part].tobytes()], "seen": [((model.seen - start.seen) * times)[part].tobytes()]})
-            layer = np.concatenate([model.layer - start.layer, model.seen_layer - start.seen_layer]).astype(np.float32)
-            yield pd.DataFrame({"model": [k], "chunk": [-1], "table": [layer.tobytes()], "times": [np.ones(1, np.float32).tobytes()], "seen": [b""]})
-
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        sums = {c: np.sum([np.frombuffer(x, np.float32) for x in pdf[c]], axis=0, dtype=np.float64).astype(np.float32).tobytes() for c in ("table", "times", "seen")}
-        return pd.DataFrame({"model": pdf.model.iloc[:1], "chunk": pdf.chunk.iloc[:1], **{c: [x] for c, x in sums.items()}})
-
-    schema = "model int, chunk int, table binary, times binary, seen binary"
-    rows = seen.mapInPandas(walk, schema).groupBy("model", "chunk").applyInPandas(total, schema).collect()  # one table's size per model
-    out = [Model(m.table.copy(), m.layer.copy(), m.seen.copy(), m.seen_layer.copy()) for m in models]
-    for r in rows:
-        model, times = out[r.model], np.frombuffer(r.times, np.float32)
-        change = np.frombuffer(r.table, np.float32)
-        if r.chunk < 0:
-            layer, seen_layer = np.split(change.reshape(2 * (DIMENSIONS + 1), -1) / times[0], 2)
-            model.layer, model.seen_layer = model.layer + layer, model.seen_layer + seen_layer
-        else:
-            part = slice(r.chunk, r.chunk + _CHUNK)
-            model.table[part] += change.reshape(-1, DIMENSIONS) / np.maximum(times, 1.0)[:, None]
-            model.seen[part] += np.frombuffer(r.seen, np.float32) / np.maximum(times, 1.0)
-    shared.unpersist()
+            layer = np.concatenate([model.layer - start.layer, model.seen_layer - start.seen_layer])
+            parts = {"table": moved, "times": times, "seen": (model.seen - start.seen) * times, "layer": layer.astype(np.float32)}
+            yield pd.DataFrame({"model": [k], **{c: [x.tobytes()] for c, x in parts.items()}})
+
+    # to the driver come PARTS tables of the model's size, whatever the windows
+    rows = seen.mapInPandas(walk, "model int, table binary, times binary, seen binary, layer binary").collect()
+    out = []
+    for k, start in enumerate(models):
+        own = [r for r in rows if r.model == k]
+        if not own:
+            out.append(start)
+            continue
+        table, times, grown, layer = (np.sum([np.frombuffer(r[c], np.float32) for r in own], axis=0) for c in ("table", "times", "seen", "layer"))
+        often = np.maximum(times, 1.0)
+        layer, seen_layer = np.split(layer.reshape(2 * (DIMENSIONS + 1), -1) / len(own), 2)
+        out.append(Model(start.table + table.reshape(BUCKETS, -1) / often[:, None], start.layer + layer, start.seen + grown / often, start.seen_layer + seen_layer))
+    shared.destroy()
     return out
 
 
@@ -328,7 +320,9 @@ def _worst(seen: DataFrame, models: list[Model]) -> dict[int, float]:
                 bad = np.stack([1.0 - m.of_bags(bags)[:, 0] for m in shared.value])
                 yield pd.DataFrame([(x["doc"], float(bad[x["fold"], i])) for i, d in enumerate(pdf.docs) for x in d], columns=["doc", "bad"])
 
-    return {r.doc: r.bad for r in seen.mapInPandas(judge, "doc long, bad double").groupBy("doc").agg(F.max("bad").alias("bad")).collect()}
+    worst = {r.doc: r.bad for r in seen.mapInPandas(judge, "doc long, bad double").groupBy("doc").agg(F.max("bad").alias("bad")).collect()}
+    shared.destroy()
+    return worst
 
 
 def fit_labels(documents: DataFrame, labels: DataFrame) -> Model:
