@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lodestrata.functions import numbers
 from lodestrata.operators import html, metrics, proximity, retrieval, sections, tables, triage, units
 
 
@@ -293,7 +294,7 @@ def brute_metres(a, b):
     return 2 * 6_371_000 * math.asin(min(1, math.sqrt(x)))
 
 
-@pytest.mark.parametrize("sizes", [{}, {"pivots": 3, "block": 7}])
+@pytest.mark.parametrize("sizes", [{}, {"leaf": 50, "block": 7}])
 def test_radius_join_against_brute_force(spark, sizes):
     random.seed(9)
     spots = [(random.uniform(-1, 1) * 1e-3 + random.choice([0.0, 180.0, -179.9995, 45.0]), random.uniform(-1, 1) * 1e-3 + random.choice([0.0, 60.0, 89.9995])) for _ in range(160)]
@@ -496,3 +497,90 @@ def test_gates(spark):
     gates = spark.createDataFrame([("gone", None, None, None, True), ("floor", 0.6, None, None, True), ("ceil", None, 1.0, None, True), ("back", None, None, 0.05, True), ("fine", 0.1, 1.0, 0.05, True), ("new", None, None, 0.1, None)], "metric string, min_value double, max_value double, max_regression double, higher_is_better boolean")
     got = {r.metric: (r.verdict, r.passed) for r in metrics.gate_results(m, base, gates).collect()}
     assert got == {"gone": ("missing", False), "floor": ("below floor", False), "ceil": ("above ceiling", False), "back": ("regressed", False), "fine": ("ok", True), "new": ("no baseline yet", True)}
+
+
+def test_metric_reports(spark):
+    m = lambda df: {r.metric: round(r.value, 6) for r in df.collect()}
+    answers = spark.createDataFrame([("5", "5", 1.0, False, None, "x"), ("7", "6", 1.0, False, None, "x"), (None, "6", 1.0, False, None, "y"), (None, None, None, True, "not-extracted", "y"), ("1", None, None, True, None, "y")], "predicted string, gold string, scale_hint double, not_disclosed boolean, reason string, tag string")
+    got = m(metrics.numeric_report(answers, {"x": F.col("tag") == "x", "z": F.col("tag") == "z"}))
+    assert got == {"exact_match": round(1 / 3, 6), "answerable_n": 3, "coverage_gap": 0.2, "exact_match.x": 0.5, "refusal_precision": 0.5, "refusal_recall": 0.5, "refusal_f1": 0.5, "refusal_support": 2}
+    routes = spark.createDataFrame([("numeric", ["numeric", "cross-modal"]), ("narrative", ["narrative"]), ("numeric", []), ("cross_modal", ["cross-modal", "narrative"])], "route string, tags array<string>").withColumn("expected", metrics.expected_route(F.col("tags")))
+    assert m(metrics.routing_report(routes)) == {"accuracy": 0.5, "kappa": 0.333333, "recall.cross_modal": 0.5, "recall.narrative": 0.5}
+    assert m(metrics.heldout_report(routes)) == {"accuracy": 0.5, "leaked_to_narrative": 0.25}
+    pairs = spark.createDataFrame([(True, True, True), (False, True, True), (None, False, False), (True, None, False)], "truth boolean, said boolean, hard boolean")
+    assert m(metrics.dedupe_report(pairs, hard=F.col("hard"))) == {"pair_precision": 0.5, "pair_recall": 0.5, "pair_f1": 0.5, "pair_support": 2, "accuracy": 0.5, "false_merge_rate": 0.25, "accuracy.hard": 0.5}
+    gold = spark.createDataFrame([(1, 10), (2, 20)], "query_id long, doc_id long")
+    a = spark.createDataFrame([(1, 10, 1), (2, 20, 2)], "query_id long, doc_id long, rank int")
+    b = spark.createDataFrame([(1, 10, 1), (3, 30, 1)], "query_id long, doc_id long, rank int")
+    assert {r.query_id: round(r.delta, 4) for r in metrics.stage_diagnosis(gold, {"first": b, "last": a}).collect()} == {1: 0.0, 2: round(1 / math.log2(3), 4)}
+    assert m(metrics.scored_comparison(gold, {"b": b})) == {"b.ndcg@10": 0.5, "b.recall@10": 0.5}
+    asked = spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "query_id long")
+    r = metrics.arm_report({"x": retrieval.parity(a, b, questions=asked)}).first()
+    assert (r.queries, r.exact_order, r.top1_agreement, r.overlap, r.asymmetric_empty) == (4, 0.5, 0.25, 0.5, 2)
+
+
+def test_mean_average_precision_in_ranges_equals_one_range(spark, monkeypatch):
+    rng = random.Random(8)
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    at = lambda x: (x, 0.0, x + 10.0, 10.0)
+    truth = spark.createDataFrame([(i, "ab"[i % 2], k, at(20.0 * k)) for i in range(20) for k in range(3)], f"image_id long, label string, pos int, box {box}")
+    said = spark.createDataFrame([(i, "ab"[i % 2], rng.choice([0.1, 0.5, rng.random()]), k, at(20.0 * k + rng.uniform(0, 6))) for i in range(22) for k in range(4)], f"image_id long, label string, score double, pos int, box {box}")
+    many = {(r.label, r.threshold): round(r.ap, 9) for r in metrics.average_precision(said, truth, [0.5, 0.75]).collect()}
+    monkeypatch.setattr(metrics, "RANGES", 0)
+    assert many == {(r.label, r.threshold): round(r.ap, 9) for r in metrics.average_precision(said, truth, [0.5, 0.75]).collect()} and all(0 < x < 1 for x in many.values())
+    report = {r.metric: r.value for r in metrics.detection_report(said, truth).collect()}
+    assert report["n_predictions"] == 88 and 0 < report["map_50_95"] < report["map_50"] == pytest.approx((report["ap_50.a"] + report["ap_50.b"]) / 2) and 0 <= report["ece"] <= 1
+    empty = {r.metric: r.value for r in metrics.detection_report(said, truth.limit(0)).collect()}
+    assert empty["map_50"] == empty["map_50_95"] == 0.0
+
+
+def test_contradictions_and_covering_labels(spark):
+    rows_ = spark.createDataFrame([(1, 5.0, "It was 5.01 and 7."), (2, 5.0, "It was 6, 7, 8 and 9."), (3, None, "6"), (4, 5.0, None), (5, 5.0, "no figure")], "id long, value double, text string")
+    got = {r.id: r.contradiction for r in tables.contradictions(rows_).collect()}
+    assert got == {1: None, 2: "table cell resolves to 5; narrative states 6, 7, 8", 3: None, 4: None, 5: None}
+    q = spark.createDataFrame([(1, "What was the net debt in 2031?"), (2, "the"), (3, None)], "query_id long, text string")
+    labels = spark.createDataFrame([(7, "Net debt, adjusted"), (8, "Debt"), (9, None)], "table_id long, row_label string")
+    assert rows(tables.covering_labels(q, labels)) == [(1, 7, "Net debt, adjusted")]
+
+
+def test_anchored_documents_in_order(spark):
+    a = spark.createDataFrame([(1, "x", 0), (1, "y", 1)], "example_id long, anchor_id string, pos int")
+    hits = spark.createDataFrame([("x", 20), ("y", 10), ("y", 20), ("x", 30)], "anchor_id string, doc_id long")
+    corpus = spark.createDataFrame([(10, 0), (30, 1), (20, 2)], "doc_id long, pos int")
+    assert rows(retrieval.anchored_documents(a, hits, corpus)) == [(1, 10, 2), (1, 20, 1), (1, 30, 0)]
+
+
+def test_large_figures_are_written_out(spark):
+    values = [1e23, 2.0**60, -(2.0**53), 9007199254740993.0, 123.45, 0.0, 1e30, -1.5e16]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", numbers.format_figure(F.col("v")).alias("t"))
+    assert {r.i: r.t for r in df.collect()} == {i: (f"{v:.6f}".rstrip("0").rstrip(".") or "0") for i, v in enumerate(values)}
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.0005])
+def test_places_go_to_few_cells_at_any_size(spark, spread):
+    """Rows per place stay constant as places grow, also where all of them crowd; the join loses and doubles nothing."""
+    rng = random.Random(2)
+    rate = []
+    for n in (4000, 16_000):
+        side = spread * math.sqrt(n / 4000)
+        points = spark.createDataFrame([(i, 41.8 + rng.uniform(-side, side), -87.6 + rng.uniform(-side, side)) for i in range(n)], "id long, lat double, lon double")
+        places = proximity.cut(proximity._places(points))
+        tree = spark.sparkContext.broadcast(proximity.choose_pivots(places, 200))
+        rate.append(proximity._assigned(places, tree, F.lit(1.0)).count() / n)
+    assert rate[1] < 1.3 * rate[0] and rate[1] < 2
+
+
+def test_self_pairs_against_brute_force(spark):
+    rng = random.Random(6)
+    spots = [(41.8 + rng.uniform(-0.002, 0.002), rng.choice([-87.6, 179.9999, -179.9999]) + rng.uniform(-0.0005, 0.0005)) for _ in range(300)]
+    points = [(i, *rng.choice(spots)) for i in range(500)] + [(900, None, 1.0), (7, 41.8, -87.6), (901, -0.0, 0.0001), (902, 0.0, 0.0001)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    got = rows(proximity.self_pairs_within(df, 25.0, leaf=20, block=30).select("a_id", "b_id"))
+    want = []
+    usable = [p for p in points if p[1] is not None]
+    for i, a in enumerate(usable):
+        for b in usable[i + 1 :]:
+            h = math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+            if a[0] != b[0] and 2 * proximity.RADIUS_M * math.asin(math.sqrt(h)) <= 25:
+                want.append((min(a[0], b[0]), max(a[0], b[0])))
+    assert got == sorted(want)

@@ -110,3 +110,30 @@ def test_stream_drops_repeats_and_replaces(spark, tmp_path):
 def test_cut_keeps_rows(spark):
     df = cut(spark.range(10).withColumn("x", F.col("id") * 2))
     assert df.agg(F.sum("x")).first()[0] == 90
+
+
+def test_intake_replaces_whole_documents(spark):
+    issuers = spark.createDataFrame([("1", "old")], "cik string, name string")
+    documents = spark.createDataFrame([("a", "t"), ("b", "t"), (None, "t")], "accession string, title string")
+    chunks = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "accession string, ordinal int")
+    came = spark.createDataFrame([("a", "new"), ("c", "new")], "accession string, title string")
+    with_it = spark.createDataFrame([("a", 0), ("z", 5)], "accession string, ordinal int")
+    i, d, c = sinks.ingested(issuers.limit(0).unionByName(spark.createDataFrame([("1", "new"), ("2", "x")], issuers.schema)), came, with_it, (issuers, documents, chunks))
+    assert sorted(map(tuple, i.collect())) == [("1", "new"), ("2", "x")]
+    assert {r.accession: r.title for r in d.collect()} == {"a": "new", "b": "t", "c": "new", None: "t"}
+    assert sorted(map(tuple, c.collect())) == [("a", 0), ("b", 0)]
+
+
+def test_an_empty_golden_set_raises(spark, tmp_path):
+    (tmp_path / "g.jsonl").write_text("# nothing\n\n")
+    with pytest.raises(ValueError, match="no rows"):
+        readers.golden_set(spark, str(tmp_path / "g.jsonl"))
+
+
+def test_upserts_keep_rows_without_a_time(spark, sf):
+    import __spark_entry__ as entry
+
+    kept = entry.queries()["upserted_reports"](spark, sf)
+    raw = spark.read.parquet(f"{sf}/reports.parquet")
+    keys = raw.filter("source is not null and external_id is not null").select("source", "external_id").distinct().count()
+    assert kept.count() == keys + raw.filter("source is null or external_id is null").count()
