@@ -192,7 +192,6 @@ def _rows(cells: DataFrame) -> DataFrame:
     rows = kept.groupBy("doc_id", "table_no", "row_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("col_no", "text"))), lambda c: c["text"]).alias("cells"), F.max("rows").alias("rows"))
     whole = Window.partitionBy("doc_id", "table_no")
     rows = rows.withColumn("rows", F.max("rows").over(whole)).withColumn("caption", F.max(F.when(F.col("row_no") < 0, F.col("cells")[0])).over(whole))
-    rows = rows.withColumn("own", F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("row_no") >= 0, F.struct("row_no", "cells"))).over(whole)), lambda r: F.array_join(r["cells"], " ")), " "))  # one printed table
     rows = rows.filter("row_no >= 0").withColumn("vals", stated_values(F.col("cells"))).filter(F.size("vals") > 0)
     years = F.filter("vals", lambda v: F.replace(v, F.lit(" "), F.lit("")).rlike(YEAR))
     names = (F.size(years) >= 2) & (F.size(F.array_distinct(years)) == F.size(years)) & (F.col("row_no") < 10)
@@ -296,7 +295,8 @@ def read_tables(pages: DataFrame) -> DataFrame:
     # title rows, caption and scale of the table
     tops = rows.select(*PLACE, "top").distinct()
     titles = every.filter(F.size("vals") == 1).join(tops, PLACE).filter("row_no < top").groupBy(*PLACE).agg(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "label"))), lambda r: r["label"]).alias("titles"))
-    about = every.groupBy(*PLACE).agg(F.max("caption").alias("above"), F.max("own").alias("own")).join(tops, PLACE, "left_semi").join(titles, PLACE, "left").join(_running_scales(cells), PLACE, "left")
+    own = cells.filter("row_no >= 0").groupBy(*PLACE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_no", "col_no", "text"))), lambda c: c["text"]), " ").alias("own"))  # one printed table
+    about = every.groupBy(*PLACE).agg(F.max("caption").alias("above")).join(own, PLACE).join(tops, PLACE, "left_semi").join(titles, PLACE, "left").join(_running_scales(cells), PLACE, "left")
     caption = F.array_join(F.filter(F.concat(F.coalesce("titles", F.array().cast("array<string>")), F.array(F.coalesce("above", F.lit("")))), lambda x: x != ""), " | ")
     about = about.withColumn("caption", caption).withColumn("said", F.coalesce(scale_note(F.col("own")), scale_note(F.col("caption"))))
     about = about.withColumn("unit", F.when(F.concat("own", "caption").rlike(r"(?i)dollar|[$]"), "USD").otherwise("unknown")).withColumn("inherited", F.col("said").isNull() & F.col("running").isNotNull())
