@@ -122,6 +122,12 @@ def parts(content: str | None) -> list[tuple[str | None, str]]:
     return found
 
 
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by sorting. Both sides grow with the corpus, and a planner that reckons with compressed files, and not with what exploding
+    adds, would send whole sides through the driver."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def label_key(label: Column) -> Column:
     """The words of a label in lower case and alphabetical order; 'Speaker 4', 'SPK_04' and 'spk4' all give 'spk 4'; null for nobody."""
     plain = F.trim(F.regexp_replace(F.lower(F.regexp_replace(label, r"\s*:\s*$", "")), r"[^\p{L}\p{N}]+", " "))
@@ -155,15 +161,15 @@ def resolve_labels(labels: DataFrame, speakers: DataFrame) -> DataFrame:
     one wrong letter of a word. Keys that name nobody or two speakers give no row."""
     labels = labels.select("document_id", "key").filter("key is not null").distinct()
     known = speaker_spellings(speakers)
-    seen = labels.join(known, ["document_id", "key"], "left")
+    seen = _joined(labels, known, ["document_id", "key"], "left")
     words = known.select("document_id", F.explode(F.split("key", " ")).alias("right")).filter(F.length("right") >= 5).distinct()
     near = words.select("document_id", "right", F.explode(_deletions(F.col("right"))).alias("cut"))
     lost = seen.filter("speaker_no is null").select("document_id", "key", F.posexplode(F.split("key", " ")).alias("at", "word"))
     mended = lost.filter(F.length("word") >= 5).select("document_id", "word").distinct().withColumn("cut", F.explode(_deletions(F.col("word"))))
-    mended = mended.join(near, ["document_id", "cut"]).filter(F.levenshtein("word", "right") <= 1)
+    mended = _joined(mended, near, ["document_id", "cut"]).filter(F.levenshtein("word", "right") <= 1)
     mended = mended.groupBy("document_id", "word").agg(F.min(F.struct(F.levenshtein("word", "right").alias("d"), "right")).alias("m")).select("document_id", "word", F.col("m.right").alias("right"))
-    again = lost.join(mended, ["document_id", "word"], "left").groupBy("document_id", "key").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("right", "word"))), " ").alias("mended"))
-    again = again.join(known.withColumnRenamed("key", "mended"), ["document_id", "mended"]).select("document_id", "key", "speaker_no")
+    again = _joined(lost, mended, ["document_id", "word"], "left").groupBy("document_id", "key").agg(F.array_join(F.array_sort(F.collect_list(F.coalesce("right", "word"))), " ").alias("mended"))
+    again = _joined(again, known.withColumnRenamed("key", "mended"), ["document_id", "mended"]).select("document_id", "key", "speaker_no")
     return seen.filter("speaker_no is not null").select("document_id", "key", "speaker_no").unionByName(again)
 
 
@@ -200,7 +206,8 @@ def document_clock(rows: DataFrame) -> DataFrame:
     edges = known.groupBy("document_id", "_ob").agg(F.min_by("start", place).alias("first"), F.max_by("start", place).alias("last"))
     along = Window.partitionBy("document_id").orderBy("_ob")
     edges = edges.select("document_id", "_ob", F.lag("last").over(along).alias("_p1"), F.lead("first").over(along).alias("_n1"))
-    near = known.withColumns({"_l1": F.lag("start").over(inside), "_l2": F.lag("start", 2).over(inside), "_n": F.lead("start").over(inside)}).join(edges, ["document_id", "_ob"])
+    near = known.withColumns({"_l1": F.lag("start").over(inside), "_l2": F.lag("start", 2).over(inside), "_n": F.lead("start").over(inside)})
+    near = _joined(near, edges, ["document_id", "_ob"])
     before = F.least(F.coalesce("_l1", "_p1"), F.coalesce("_l2", "_p1"))
     behind = F.greatest(F.col("start"), F.coalesce("_n", "_n1"))
     starts = near.withColumn("_new", F.coalesce((before - behind > RESET_S) & (F.col("start") < RESTART_S), F.lit(False)).cast("int"))
@@ -209,11 +216,11 @@ def document_clock(rows: DataFrame) -> DataFrame:
         return rows.withColumn("file", F.lit(0)).drop("_ob")
     counts = starts.groupBy("document_id", "_ob").agg(F.sum("_new").alias("_n"))
     earlier = F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.withColumn("_in", F.sum("_new").over(inside)).join(counts.select("document_id", "_ob", earlier.alias("_off")), ["document_id", "_ob"]).withColumn("file", F.col("_in") + F.col("_off"))
+    starts = _joined(starts.withColumn("_in", F.sum("_new").over(inside)), counts.select("document_id", "_ob", earlier.alias("_off")), ["document_id", "_ob"]).withColumn("file", F.col("_in") + F.col("_off"))
     files = starts.groupBy("document_id", "file").agg(F.max(F.greatest("start", F.coalesce("stop", "start"))).alias("most"))
     moved = F.coalesce(F.sum("most").over(Window.partitionBy("document_id").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    starts = starts.select("document_id", "_ob", "ordinal", "id", "file").join(files.select("document_id", "file", moved.alias("_by")), ["document_id", "file"])
-    out = rows.join(starts.select("document_id", "id", "file", "_by"), ["document_id", "id"], "left")
+    starts = _joined(starts.select("document_id", "_ob", "ordinal", "id", "file"), files.select("document_id", "file", moved.alias("_by")), ["document_id", "file"])
+    out = _joined(rows, starts.select("document_id", "id", "file", "_by"), ["document_id", "id"], "left")
     return out.withColumns({"start": F.col("start") + F.col("_by"), "stop": F.col("stop") + F.col("_by"), "file": F.col("file").cast("int")}).drop("_by", "_ob")
 
 
@@ -224,10 +231,10 @@ def _filled(rows: DataFrame) -> DataFrame:
     own = F.last(here, ignorenulls=True).over(Window.partitionBy("document_id", "_ob").orderBy("ordinal", "id"))
     last = rows.filter("start is not null").groupBy("document_id", "_ob").agg(F.max_by(F.struct(F.col("start").alias("t"), F.col("ordinal").alias("anchor")), F.struct("ordinal", "id")).alias("_last"))
     # one summary row per block of ordinals that has a start: it holds for the blocks up to the next such
-    blocks = rows.select("document_id", "_ob").distinct().join(last, ["document_id", "_ob"], "left")
+    blocks = _joined(rows.select("document_id", "_ob").distinct(), last, ["document_id", "_ob"], "left")
     before = F.last("_last", ignorenulls=True).over(Window.partitionBy("document_id").orderBy("_ob").rowsBetween(Window.unboundedPreceding, -1))
     carried = blocks.select("document_id", "_ob", before.alias("_before"))
-    rows = rows.withColumn("_own", own).join(carried, ["document_id", "_ob"])
+    rows = _joined(rows.withColumn("_own", own), carried, ["document_id", "_ob"])
     at = F.coalesce("_own", "_before")
     return rows.withColumn("t", F.coalesce(at["t"], F.lit(-1.0))).withColumn("anchor", F.coalesce(at["anchor"], F.lit(-1))).drop("_own", "_before", "_ob")
 
@@ -259,7 +266,7 @@ def speech_events(chunks: DataFrame, speakers: DataFrame, texts: bool = False) -
     events = rows.select("document_id", "id", "ordinal", "start", "stop", "t", "anchor", "speaker", F.posexplode("parts").alias("seq", "p"))
     events = events.withColumn("key", label_key(F.when(F.col("seq") == 0, F.col("speaker")).otherwise(F.col("p.label")))).withColumn("text", F.col("p.text")).drop("p", "speaker")
     named = resolve_labels(events.select("document_id", "key"), speakers).withColumnRenamed("speaker_no", "named")
-    events = events.join(named, ["document_id", "key"], "left")
+    events = _joined(events, named, ["document_id", "key"], "left")
     # an hour of audio is a block; so are ORDINALS rows that stand before any time
     events = events.withColumn("seg", F.when(F.col("t") < 0, F.floor(F.coalesce("ordinal", F.lit(0)) / ORDINALS) - (1 << 40)).otherwise(F.floor(F.col("t") / BLOCK_S)).cast("long"))
     return cut(repair_clock(events.select("document_id", "id", "ordinal", "start", "stop", "seg", "t", "anchor", "seq", "named", "text")))
@@ -300,15 +307,16 @@ def with_turns(events: DataFrame) -> DataFrame:
     segments = events.groupBy("document_id", "seg").agg(F.max_by("named", F.when(F.col("named").isNotNull(), place)).alias("last"))
     before = Window.partitionBy("document_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     segments = segments.select("document_id", "seg", F.last("last", ignorenulls=True).over(before).alias("before"))
-    said = events.withColumn("speaker_no", F.last("named", ignorenulls=True).over(inside)).filter("text <> ''").join(segments, ["document_id", "seg"])
+    said = events.withColumn("speaker_no", F.last("named", ignorenulls=True).over(inside)).filter("text <> ''")
+    said = _joined(said, segments, ["document_id", "seg"])
     said = said.withColumn("speaker_no", F.coalesce("speaker_no", "before")).filter("speaker_no is not null").drop("before")
     ends = said.groupBy("document_id", "seg").agg(F.max_by("speaker_no", place).alias("end"))
     ends = ends.select("document_id", "seg", F.lag("end").over(Window.partitionBy("document_id").orderBy("seg")).alias("end"))
-    said = said.join(ends, ["document_id", "seg"]).withColumn("_prev", F.coalesce(F.lag("speaker_no").over(inside), "end"))
+    said = _joined(said, ends, ["document_id", "seg"]).withColumn("_prev", F.coalesce(F.lag("speaker_no").over(inside), "end"))
     said = said.withColumn("_new", (F.col("_prev").isNull() | (F.col("_prev") != F.col("speaker_no"))).cast("int")).withColumn("_run", F.sum("_new").over(inside)).drop("_prev", "end")
     counts = said.groupBy("document_id", "seg").agg(F.sum("_new").alias("_n"))
     counts = counts.select("document_id", "seg", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    return said.join(counts, ["document_id", "seg"]).withColumn("turn", F.col("_run") + F.col("_off")).drop("_new", "_run", "_off")
+    return _joined(said, counts, ["document_id", "seg"]).withColumn("turn", F.col("_run") + F.col("_off")).drop("_new", "_run", "_off")
 
 
 def turns(events: DataFrame) -> DataFrame:

@@ -38,6 +38,17 @@ def test_turns_cross_file_segments(spark):
     assert turns_of(spark, rows) == [(1, 2, 0, 39), (1, 1, 90, 90)]
 
 
+def test_turns_send_no_table_through_the_driver(spark):
+    """Only the ids of the documents that have speakers may be broadcast, however small the planner takes a side to be."""
+    chunks = spark.createDataFrame([(1, 1, 0, "Ada: Welcome.", 0.0, 1.0, "Lovel", "")], CHUNK)
+    events = transcripts.resolve_labels(chunks.select("document_id", transcripts.label_key(F.col("speaker")).alias("key")), spark.createDataFrame(SPEAKERS, SPEAKER))
+    assert [tuple(r) for r in events.collect()] == [(1, "lovel", 1)]
+    rows = spark.createDataFrame([(1, 1, 0, 0.0, 1.0), (1, 2, 1, 900.0, 901.0)], "document_id long, id long, ordinal int, start double, stop double")
+    parsed = transcripts.speech_events(chunks, spark.createDataFrame(SPEAKERS, SPEAKER))
+    for df in (events, transcripts._filled(transcripts.document_clock(rows)), transcripts.turns(parsed)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_turns_of_nothing(spark):
     chunks = spark.createDataFrame([], CHUNK)
     assert transcripts.turns(transcripts.speech_events(chunks, spark.createDataFrame(SPEAKERS, SPEAKER))).count() == 0
