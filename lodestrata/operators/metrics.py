@@ -6,12 +6,12 @@ come from one definition.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestrata.functions.numbers import iou, numeric_match
+from lodestrata.session import cut
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -86,30 +86,52 @@ def calibration(rows: DataFrame, confidence: str, correct: str, bins: int = 10)
     return out.crossJoin(F.broadcast(total)).withColumn("gap", gap).drop("total")
 
 
+def _hits(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
+    """image_id, label, score, pos, tp (a boolean per threshold), a row per prediction that has a score; see matched_detections.
+
+    Rows come sorted by image and label and pass through Python in batches, whatever the number of images."""
+    t = truth.groupBy("image_id", "label").agg(F.array_sort(F.collect_list(F.struct("pos", "box"))).alias("boxes"))  # one image's boxes of one label
+    near = predictions.filter("score is not null").join(t, ["image_id", "label"], "left")
+    overlaps = F.transform("boxes", lambda b: iou(F.col("box"), b["box"]))
+    order = Window.partitionBy("image_id", "label").orderBy(F.desc("score"), "pos", "box")
+    rows = near.withColumns({"overlaps": overlaps, "place": F.row_number().over(order)}).select("image_id", "label", "score", "pos", "overlaps", "place")
+
+    def greedy(batches):
+        taken: list[set] = []
+        for pdf in batches:
+            tp = []
+            for place, overlaps in zip(pdf.place.tolist(), pdf.overlaps, strict=True):
+                if place == 1:  # another image or label
+                    taken = [set() for _ in thresholds]
+                own = [] if overlaps is None else sorted((-o, i) for i, o in enumerate(overlaps))
+                hit = []
+                for threshold, gone in zip(thresholds, taken, strict=True):
+                    free = next((i for o, i in own if -o >= threshold and i not in gone), None)
+                    hit.append(free is not None)
+                    if free is not None:
+                        gone.add(free)
+                tp.append(hit)
+            yield pdf[["image_id", "label", "score", "pos"]].assign(tp=tp)
+
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    out = rows.mapInPandas(greedy, ", ".join(f"{c} {fields[c]}" for c in ("image_id", "label", "score", "pos")) + ", tp array<boolean>")
+    # pandas gives NaN back as null
+    return out.withColumn("score", F.coalesce("score", F.lit(float("nan")).cast(fields["score"]))) if fields["score"] in ("double", "float") else out
+
+
+def _at_thresholds(thresholds: list[float]) -> Column:
+    return F.explode(F.arrays_zip(F.array(*[F.lit(float(x)) for x in thresholds]).alias("threshold"), F.col("tp").alias("tp")))
+
+
 def matched_detections(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, label, image_id, score, pos, tp: predictions taken by score, each with the best box of its image and label that no
     earlier one took, if they overlap enough.
 
-    predictions (image_id, label, score, pos, box), truth (image_id, label, pos, box); pos tells rows of one image apart.
+    predictions (image_id, label, score, pos, box), truth (image_id, label, pos, box); pos orders what has one score. Predictions without a
+    score give no row; NaN is the highest score.
     """
-    p = predictions.select("image_id", "label", "score", F.col("pos").alias("p"), F.col("box").alias("pbox"))
-    t = truth.select("image_id", "label", F.col("pos").alias("t"), F.col("box").alias("tbox"))
-    pairs = p.join(t, ["image_id", "label"], "left").withColumn("overlap", iou(F.col("pbox"), F.col("tbox"))).drop("pbox", "tbox")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "p", "overlap", "t"], ascending=[False, True, False, True], kind="stable")
-        rows = []
-        for threshold in thresholds:
-            taken: set = set()
-            for (_, pos), own in pdf.groupby([-pdf.score, "p"], sort=True):
-                free = [x for x, o in zip(own.t, own.overlap, strict=True) if x == x and o >= threshold and x not in taken]
-                taken.update(free[:1])
-                rows.append((threshold, own.label.iloc[0], own.image_id.iloc[0], own.score.iloc[0], pos, bool(free)))
-        return pd.DataFrame(rows, columns=["threshold", "label", "image_id", "score", "pos", "tp"])
-
-    fields = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
-    schema = f"threshold double, label {fields['label']}, image_id {fields['image_id']}, score {fields['score']}, pos {fields['p']}, tp boolean"
-    return pairs.groupBy("image_id", "label").applyInPandas(greedy, schema)  # a group is one image's boxes of one label
+    each = _hits(predictions, truth, thresholds).select("label", "image_id", "score", "pos", _at_thresholds(thresholds).alias("m"))
+    return each.select("m.threshold", "label", "image_id", "score", "pos", "m.tp")
 
 
 #: Score ranges that a label's predictions are ranked in.
@@ -119,22 +141,32 @@ RANGES = 1000
 def average_precision(predictions: DataFrame, truth: DataFrame, thresholds: list[float]) -> DataFrame:
     """threshold, label, ap for every label of `truth`; a label without predictions scores 0.
 
-    Predictions are ranked inside ranges of score; sums before and the best precision behind a range come from one row per range.
+    Predictions are ranked inside ranges of score, once for all thresholds; sums before and the best precision behind a range come from one
+    row per range. Only hits are carried on: precision rises at them alone.
     """
     labels = truth.groupBy("label").agg(F.count("*").alias("boxes"))
-    hits = matched_detections(predictions, truth, thresholds).join(labels, "label").withColumn("range", F.floor(F.col("score") * RANGES))
+    score = F.col("score").cast("double")
+    top = F.lit((1 << 63) - 1)
+    hits = _hits(predictions, truth, thresholds).join(labels.select("label"), "label").withColumn("range", F.when(F.isnan(score), top).otherwise(F.floor(score * RANGES)))
+    hits = cut(hits)  # matched once, read by several stages
     key = ["threshold", "label"]
-    sums = hits.groupBy(*key, "range").agg(F.count("*").alias("n"), F.count_if("tp").alias("t"))
+    counts = hits.groupBy("label", "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("label").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("label", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    place = F.row_number().over(Window.partitionBy("label", "range").orderBy(F.desc("score"), "image_id", "pos", F.desc("tp")))
+    run = hits.withColumn("n", place).filter(F.exists("tp", lambda x: x)).join(counts, ["label", "range"])
+    run = run.select("label", "range", (F.col("n") + F.col("n0")).alias("n"), _at_thresholds(thresholds).alias("m")).filter("m.tp").select("m.threshold", "label", "range", "n")
+    found = run.groupBy(*key, "range").agg(F.count("*").alias("t"))
     before = Window.partitionBy(*key).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*key, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
-    down = Window.partitionBy(*key, "range").orderBy(F.desc("score"), "image_id", "pos")
-    run = hits.withColumn("t", F.sum(F.col("tp").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(down)).join(sums, [*key, "range"])
-    run = run.withColumn("precision", (F.col("t") + F.col("t0")) / (F.col("n") + F.col("n0")))
+    found = found.select(*key, "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
+    down = Window.partitionBy(*key, "range").orderBy("n")
+    run = run.withColumn("t", F.row_number().over(down)).join(found, [*key, "range"])
+    run = run.withColumn("precision", (F.col("t") + F.col("t0")) / F.col("n"))
     behind = Window.partitionBy(*key).orderBy(F.desc("range")).rowsBetween(1, Window.unboundedFollowing)
     best = run.groupBy(*key, "range").agg(F.max("precision").alias("p")).select(*key, "range", F.max("p").over(behind).alias("later"))
-    run = run.withColumn("envelope", F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing))).join(best, [*key, "range"])
+    run = run.withColumn("envelope", F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing))).join(best, [*key, "range"]).join(labels, "label")
     # recall grows by one box with every hit and stays otherwise
-    area = F.when(F.col("tp"), F.greatest("envelope", F.coalesce("later", F.lit(0.0))) / F.col("boxes")).otherwise(0.0)
+    area = F.greatest("envelope", F.coalesce("later", F.lit(0.0))) / F.col("boxes")
     ap = run.groupBy(*key).agg(F.sum(area).alias("ap"))
     grid = labels.select("label", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])).alias("threshold"))
     return grid.join(ap, key, "left").select("threshold", "label", F.coalesce("ap", F.lit(0.0)).alias("ap"))
@@ -154,7 +186,7 @@ def long_metrics(report: DataFrame, by: list[str] | None = None, suffix: str = "
 
 def mean_average_precision(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """metric, value: map_50_95 (mean over labels and IOUS), map_50, ap_50.<label>. Labels are those of the truth; without any, both means are 0."""
-    ap = average_precision(predictions, truth, list(IOUS))
+    ap = cut(average_precision(predictions, truth, list(IOUS)))  # a row per label and threshold, read three times
     means = ap.agg(F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map_50_95"), F.coalesce(F.avg(F.when(F.col("threshold") == MATCH, F.col("ap"))), F.lit(0.0)).alias("map_50"))
     return long_metrics(means).unionByName(ap.filter(F.col("threshold") == MATCH).select(F.concat(F.lit("ap_50."), F.col("label").cast("string")).alias("metric"), F.col("ap").alias("value")))
 

@@ -1,6 +1,7 @@
 import decimal
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -534,6 +535,21 @@ def test_mean_average_precision_in_ranges_equals_one_range(spark, monkeypatch):
     assert empty["map_50"] == empty["map_50_95"] == 0.0
 
 
+def test_detections_of_many_images(spark):
+    """A prediction is a row of its own even where one image's rows share score and position; the work doesn't grow by a frame per image."""
+    box = "struct<x1:double,y1:double,x2:double,y2:double>"
+    square = F.struct(F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(1.0).alias("x2"), F.lit(1.0).alias("y2"))
+    truth = spark.range(40_000).select(F.col("id").alias("image_id"), F.lit("a").alias("label"), F.lit(0).alias("pos"), square.alias("box"))
+    said = truth.select("image_id", "label", (F.col("image_id") / 40_000).alias("score"), "pos", "box")
+    began = time.perf_counter()
+    got = metrics.average_precision(said.unionByName(said.filter("image_id < 20000")), truth, list(metrics.IOUS)).collect()
+    assert time.perf_counter() - began < 60 and len(got) == 10
+    later = sum((20_000 + k) / (20_000 + 2 * k - 1) for k in range(1, 20_001))
+    assert all(r.ap == pytest.approx((20_000 + later) / 40_000, abs=1e-4) for r in got)
+    odd = spark.createDataFrame([(1, "a", 0.9, 0, (0.0, 0.0, 1.0, 1.0)), (1, "a", float("nan"), 1, (5.0, 0.0, 6.0, 1.0)), (1, "a", None, 2, (0.0, 0.0, 1.0, 1.0))], f"image_id long, label string, score double, pos int, box {box}")
+    assert [r.ap for r in metrics.average_precision(odd, truth.filter("image_id = 1"), [0.5]).collect()] == [0.5]
+
+
 def test_contradictions_and_covering_labels(spark):
     rows_ = spark.createDataFrame([(1, 5.0, "It was 5.01 and 7."), (2, 5.0, "It was 6, 7, 8 and 9."), (3, None, "6"), (4, 5.0, None), (5, 5.0, "no figure")], "id long, value double, text string")
     got = {r.id: r.contradiction for r in tables.contradictions(rows_).collect()}
