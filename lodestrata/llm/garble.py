@@ -7,19 +7,23 @@ that its pairs look usual is found by its bytes: stretches that hold a misread U
 
 from __future__ import annotations
 
+import os
 import re
+import tempfile
 import unicodedata
+import uuid
 from functools import cache
 
 import numpy as np
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.encoding import HIGH, WRONG_READERS, char_bytes, one_byte_readings, utf8_sequences
 from lodestrata.session import cut
 
-#: Pairs that the model holds, the most frequent ones; rarer ones, which a corpus has beyond that, are improbable in any case.
+#: Pairs that the model holds in memory, the most frequent ones; where a corpus has more, all lie in files beside every executor.
 MOST_PAIRS = 1 << 19
 _CHARS = 0x110000
 _START, _END = "\x02", "\x03"
@@ -116,21 +120,48 @@ def count_pairs(texts: DataFrame) -> DataFrame:
 
 
 def pair_model(texts: DataFrame) -> PairModel:
-    """The model of all texts: counts are made over the whole corpus; to the driver come at most MOST_PAIRS pairs, one row per
-    character, and a histogram of counts by eighths of powers of two."""
+    """The model of all texts: counts are made over the whole corpus; into the driver's memory come at most MOST_PAIRS pairs, one row per
+    character, and a histogram of counts by eighths of powers of two. Where there are more pairs, all are looked up in files."""
     counts = cut(count_pairs(texts))
     size = F.floor(F.log2("n") * 8).cast("int")
     histogram = counts.groupBy(size.alias("size")).agg(F.sum("n").alias("mass"), F.min("n").alias("least")).orderBy("size").toPandas()
     chars = counts.groupBy(F.shiftright("pair", 21).cast("int").alias("char")).agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")).toPandas()
     top = counts.orderBy(F.desc("n"), "pair").limit(MOST_PAIRS).toPandas()
-    return PairModel(top, chars, histogram)
+    return PairModel(top, chars, histogram, _pair_files(counts) if len(top) == MOST_PAIRS else "")
+
+
+#: The arrays of all pairs that are kept in files, each in the order of the pairs.
+_KEPT = ("pair", "n", "rows")
+
+
+def _pair_files(counts: DataFrame) -> str:
+    """The name of three files, shipped to every executor, that hold all pairs and their counts; they pass through the driver a
+    partition at a time."""
+
+    def packed(batches):
+        for pdf in batches:
+            yield pd.DataFrame({c: [pdf[c].to_numpy(np.int64).tobytes()] for c in _KEPT})
+
+    name, folder = f"pairs-{uuid.uuid4().hex}", tempfile.mkdtemp(prefix="lodestrata-")
+    paths = [os.path.join(folder, f"{name}.{c}") for c in _KEPT]
+    files = [open(p, "wb") for p in paths]  # noqa: SIM115
+    for row in counts.orderBy("pair").select(*_KEPT).mapInPandas(packed, ", ".join(f"{c} binary" for c in _KEPT)).toLocalIterator():
+        for file, data in zip(files, row, strict=True):
+            file.write(data)
+    for file, path in zip(files, paths, strict=True):
+        file.close()
+        counts.sparkSession.sparkContext.addFile(path)
+    return name
 
 
 class PairModel:
-    """Log contribution of character pairs to the corpus's mutual information, and the level below which a pair is improbable."""
+    """Log contribution of character pairs to the corpus's mutual information, and the level below which a pair is improbable.
+
+    files: the name of the files of all pairs (see _pair_files), if `pairs` are not all."""
 
-    def __init__(self, pairs: pd.DataFrame, chars: pd.DataFrame, histogram: pd.DataFrame) -> None:
+    def __init__(self, pairs: pd.DataFrame, chars: pd.DataFrame, histogram: pd.DataFrame, files: str = "") -> None:
         pairs = pairs.sort_values("pair")
+        self.files, self._open = files, None
         self.total, self.row_total = max(1.0, float(chars.n.sum())), max(1.0, float(chars["rows"].sum()))
         self.codes = pairs.pair.to_numpy(np.int64)
         self.pairs = (pairs.n.to_numpy() / self.total).astype(np.float32)
@@ -142,12 +173,26 @@ class PairModel:
         self.level = float(np.log(usual * 6.0 + 1e-12))
 
     def _shares(self, codes: np.ndarray, rows: bool = False) -> np.ndarray:
-        """Share of every adjacent pair, 0 where the model lacks it."""
+        """Share of every adjacent pair, 0 where the corpus lacks it."""
         if not len(self.codes):
             return np.zeros(max(0, len(codes) - 1), np.float32)
         pair = _pairs(codes)
         at = np.minimum(np.searchsorted(self.codes, pair), len(self.codes) - 1)
-        return np.where(self.codes[at] == pair, (self.row_pairs if rows else self.pairs)[at], 0.0)
+        held = self.codes[at] == pair
+        shares = np.where(held, (self.row_pairs if rows else self.pairs)[at], np.float32(0.0))
+        if self.files and not held.all():
+            shares[~held] = self._rare_shares(pair[~held], rows)
+        return shares
+
+    def _rare_shares(self, pair: np.ndarray, rows: bool) -> np.ndarray:
+        """The same, from the files, of which only the pages that are looked at come into memory."""
+        if self._open is None:
+            self._open = [np.memmap(SparkFiles.get(f"{self.files}.{c}"), np.int64, "r") for c in _KEPT]
+        codes, n, row_n = self._open
+        asked, back = np.unique(pair, return_inverse=True)
+        at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+        share = (row_n[at] / self.row_total if rows else n[at] / self.total).astype(np.float32)
+        return np.where(codes[at] == asked, share, np.float32(0.0))[back]
 
     def contributions(self, codes: np.ndarray) -> np.ndarray:
         """log of p(ab) * log2(p(ab) / p(a)p(b)) of every adjacent pair; unseen pairs as if half seen."""
@@ -296,7 +341,7 @@ def find_garbled(texts: DataFrame) -> DataFrame:
     """texts (table_name, record_id, text) -> table_name, record_id, restored, whole, for garbled records only.
 
     whole tells whether every garbled run could be restored. Null, empty and plain ASCII texts are never garbled; repeated rows
-    repeat; no rows give no rows. The model holds at most MOST_PAIRS pairs, whatever the corpus.
+    repeat; no rows give no rows. The model holds at most MOST_PAIRS pairs in memory and looks up all others, whatever the corpus.
     """
     shared = texts.sparkSession.sparkContext.broadcast(pair_model(texts))
 

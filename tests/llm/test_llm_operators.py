@@ -275,6 +275,24 @@ def test_match_groups(spark):
 # --------------------------------------------------------------------- garble
 
 
+def test_pairs_beyond_those_in_memory_count(spark, monkeypatch):
+    """The model and what it finds are the same however few pairs are held in memory."""
+    rng = random.Random(3)
+    words = ["café", "naïve", "résumé", "ß-Strahl", "œuvre", "plain", "margin", "Größe", "señor", "año"]
+    rows = [("t", i, " ".join(rng.choices(words, k=12))) for i in range(300)]
+    rows += [("t", 1000 + i, " ".join(rng.choices(words, k=6)).encode().decode("latin-1")) for i in range(5)]
+    df = spark.createDataFrame(rows, "table_name string, record_id long, text string")
+    codes = garble._codes([t for _, _, t in rows] + ["quite new \u4e2d"])
+    whole, found = garble.pair_model(df), sorted(map(tuple, garble.find_garbled(df).collect()))
+    assert not whole.files and len(found) >= 5
+    monkeypatch.setattr(garble, "MOST_PAIRS", 20)
+    few = garble.pair_model(df)
+    assert len(few.codes) == 20 and few.level == whole.level
+    for by_rows in (False, True):
+        assert np.array_equal(few._shares(codes, by_rows), whole._shares(codes, by_rows))
+    assert sorted(map(tuple, garble.find_garbled(df).collect())) == found
+
+
 def test_garbled_records(spark):
     rng = random.Random(5)
     vocabulary = ["Café", "Łodzin", "naïve", "plant", "margin", "– rose", "“ordinary wear”", "São Brisco", "Größe", "of", "the", "units", "Ålvik", "€5"]
