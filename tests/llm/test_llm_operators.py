@@ -194,6 +194,16 @@ def test_copies_and_few(spark):
     assert neighbours.similar_pairs(df.limit(0), 16).count() == 0
 
 
+def test_copies_make_no_more_shards(spark, monkeypatch):
+    """Shards are sized by directions: six copies of every vector make the one shard that the vectors alone make, and lose nothing."""
+    monkeypatch.setattr(neighbours, "SHARD", 900)
+    data = {int(i) + 10_000 * c: v for c in range(6) for i, v in enumerate(clustered(900, 32, 2))}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in data.items()], "id long, v array<float>").repartition(5)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 32).collect()}
+    want = brute_pairs(data, 10, 0.55)
+    assert len(got & want) / len(want) > 0.99 and len(got - want) / len(got) < 0.01
+
+
 def test_vectors_pack_without_loss():
     for v in (np.array([0.5, 1 / 1024], np.float32), np.array([0.1, 3e-9], np.float32)):
         assert np.array_equal(neighbours.unpack([neighbours.pack(v)], 2)[0], v)
